@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.encoding import count_tokens, encode_corpus
 from corvane.llm.mixing import mix_sources
-from corvane.tables import load
+from corvane.llm.splitting import split_items
+from corvane.tables import load, norm_digest, norm_path
+
+
+def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    return split_items(load(spark, folder, "file_content"), norm_digest("sha256"), norm_path("path"), F.col("content_text"), with_text=with_text)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, False).where("piece = 0").select(F.col("item").alias("sha256"))
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, True).withColumnRenamed("item", "sha256")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,5 +40,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_shares)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_ids, p8_mix, p8_shares)}
+SQL: dict[str, str] = {
+    "p1_found": "SELECT DISTINCT lower(sha256) AS sha256 FROM file_content WHERE strlen(content_text) > 4096",
+}
