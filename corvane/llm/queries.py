@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.encoding import count_tokens, encode_corpus
 from corvane.llm.mixing import mix_sources
+from corvane.llm.neighbours import nearest_vectors, similar_pairs
 from corvane.llm.splitting import split_items
 from corvane.tables import load, norm_digest, norm_path
 
@@ -23,6 +24,15 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, True).withColumnRenamed("item", "sha256")
 
 
+def p2_nearest(spark: SparkSession, folder: str, min_cosine: float = -1.0) -> DataFrame:
+    vectors = load(spark, folder, "embedding_vectors")
+    return nearest_vectors(vectors, F.col("vec_id"), [F.col("model")], F.col("embedding"), F.col("dimensions"), min_cosine=min_cosine)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(p2_nearest(spark, folder, 0.85))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -40,7 +50,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT lower(sha256) AS sha256 FROM file_content WHERE strlen(content_text) > 4096",
 }
