@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.llm.encoding import count_tokens, encode_corpus
 from corvane.llm.mixing import mix_sources
 from corvane.llm.neighbours import nearest_vectors, similar_pairs
+from corvane.llm.provenance import foreign_files
 from corvane.llm.splitting import split_items
 from corvane.tables import load, norm_digest, norm_path
 
@@ -33,6 +34,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(p2_nearest(spark, folder, 0.85))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return foreign_files(load(spark, folder, "file_manifest"), load(spark, folder, "snapshot"), load(spark, folder, "file_content"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_classes(spark, folder).select("snapshot_id", "path")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -50,7 +59,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_classes, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT lower(sha256) AS sha256 FROM file_content WHERE strlen(content_text) > 4096",
 }
