@@ -17,7 +17,7 @@ WRITTEN = ("generated", "__generated__", "_generated", "autogen", "gen", "genera
 SOURCE = ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "cs", "css", "cjs", "clj", "dart", "erl", "ex", "exs", "f90", "fs", "go", "groovy", "hs", "java", "jl", "js", "jsx", "kt", "kts", "lua", "m", "mjs", "ml", "mm", "nim", "php", "pl", "pm", "ps1", "py", "r", "rb", "roc", "rs", "scala", "sh", "sol", "sql", "swift", "ts", "tsx", "v", "vb", "vue", "zig")
 
 #: A folder of one package in one version, such as parser-4.2.1.
-VERSIONED = r"(^|/)[^/]*[a-z][^/]*-v?\d+\.\d+[^/]*/"
+VERSIONED = r"[^/]-v?\d+\.\d+[^/]*/"
 #: What tools call their outputs; matched against the name alone, in lower case.
 GENERATED_NAME = "|".join(
     (
@@ -27,10 +27,14 @@ GENERATED_NAME = "|".join(
         r"^(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|composer\.lock|gemfile\.lock|go\.sum)$",
     )
 )
-#: What bundlers and compressors call theirs.
+#: A part of the name, between dots, dashes and underscores, that each of these has.
+GENERATED_PARTS = ("pb", "pb2", "g", "freezed", "designer", "yy", "tab", "moc", "ui", "qrc", "generated", "codegen", "gen", "capnp", "lock", "sum")
+#: What bundlers and compressors call theirs; only names with one of the endings are compared.
 DELIVERED_NAME = "|".join((r"[._-]min\.(js|css|mjs|cjs|html)$", r"\.(packed|bundle|chunk|umd|iife|prod)\.(js|css|mjs|cjs)$", r"\.(js|css|mjs|cjs|ts)\.map$", r"\.[0-9a-f]{8,}\.(chunk\.)?(js|css|mjs|cjs)$"))
-#: Output folders of builds, told by two steps of the path or by a hashed name below them.
+DELIVERED_ENDINGS = ("js", "css", "mjs", "cjs", "html", "map")
+#: Output folders of builds, told by two steps of the path or by a hashed name below them; only paths with one of the folders are compared.
 BUILD_PATH = "|".join((r"(^|/)target/(debug|release)/", r"(^|/)(obj|bin)/(debug|release)/", r"(^|/)build/(generated|intermediates|outputs|assets/[^/]*-[a-z0-9_-]{8}\.(js|css|mjs)$)", r"(^|/)assets/[^/]*-(?=[^/]*[0-9])[a-z0-9_]{8}\.(js|css|mjs)$"))
+BUILD_FOLDERS = ("target", "obj", "bin", "build", "assets")
 #: First lines by which a tool says that it wrote the file.
 HEADER = r"(?i)(@generated\b|\bcode generated\b.{0,80}\bdo not edit\b|\bauto-?generated (from|by)\b.{0,120}\b(do not|don't) (edit|modify|change)|\bfile (was|is) (written|produced|(automatically |auto-?)?generated) by\b.{0,120}\b(compiler|generator|changes will be lost|do not (edit|modify)))"
 
@@ -44,11 +48,12 @@ def path_class(path: Column) -> Column:
     steps = F.split(low, "/")
     folders = F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0)))
     name = F.element_at(steps, -1)
-    names = lambda words: F.array(*map(F.lit, words))
+    parts = F.split(name, "[._-]")
+    among = lambda found, words: F.arrays_overlap(found, F.array(*map(F.lit, words)))
     return (
-        F.when(F.arrays_overlap(folders, names(COPIES)) | low.rlike(VERSIONED), "vendored")
-        .when(name.rlike(DELIVERED_NAME), "minified")
-        .when(F.arrays_overlap(folders, names(WRITTEN)) | name.rlike(GENERATED_NAME) | low.rlike(BUILD_PATH), "generated")
+        F.when(among(folders, COPIES) | low.rlike(VERSIONED), "vendored")
+        .when(F.element_at(parts, -1).isin(*DELIVERED_ENDINGS) & name.rlike(DELIVERED_NAME), "minified")
+        .when(among(folders, WRITTEN) | (among(parts, GENERATED_PARTS) & name.rlike(GENERATED_NAME)) | (among(folders, BUILD_FOLDERS) & low.rlike(BUILD_PATH)), "generated")
     )
 
 
@@ -139,25 +144,28 @@ def foreign_files(manifest: DataFrame, snapshots: DataFrame, contents: DataFrame
     copied = materialise(copied_folders(merkle_folders(once)))
 
     trees = snapshots.select(norm_key("snapshot_id").alias("snapshot_id"), norm_key("worktree").alias("worktree")).where("snapshot_id is not null and worktree is not null").groupBy("snapshot_id").agg(F.min("worktree").alias("worktree"))
-    marked = rows.select("snapshot_id", "repository_id", "path", "digest", "size").withColumn("class", path_class(F.col("path")))
-    told = marked.where("class is not null").select("snapshot_id", "path", "class")
-    open_ = lookup_join(marked.where("class is null"), trees, ["snapshot_id"], "left", salt_on=["path"]).withColumn("worktree", F.coalesce("worktree", "snapshot_id"))
+    placed = lambda some: lookup_join(some, trees, ["snapshot_id"], "left", salt_on=["path"]).withColumn("worktree", F.coalesce("worktree", "snapshot_id"))
     source = F.element_at(F.split(F.lower("path"), r"\."), -1).isin(*SOURCE)
-    by_size = open_.where((F.col("size") >= big) & source).select("worktree", "path", F.lit("data").alias("class"))
-    evidence = by_size
+    shows = F.when((F.col("size") >= big) & source, "data")
+    seen = rows.select("snapshot_id", "path", "digest", "size")
     if contents is not None:
-        texts = contents.where("sha256 is not null and content_text is not null").select(compact_digest("sha256").alias("digest"), text_class(F.col("content_text"), norm_path(F.coalesce("path", F.lit("")))).alias("class"))
-        digests = texts.where("class is not null").groupBy("digest").agg(F.min("class").alias("class"))
-        by_text = lookup_join(open_.select("worktree", "path", "digest"), digests, ["digest"], salt_on=["path"]).select("worktree", "path", "class")
-        evidence = evidence.unionByName(by_text)
-    evidence = materialise(evidence.groupBy("worktree", "path").agg(F.min("class").alias("class")))
-    shown = lookup_join(open_.select("snapshot_id", "worktree", "path"), evidence, ["worktree", "path"], salt_on=["snapshot_id"]).select("snapshot_id", "path", "class")
-    found = told.unionByName(shown)
+        texts = contents.where("sha256 is not null and content_text is not null").select(compact_digest("sha256").alias("digest"), _once_only(text_class(F.col("content_text"), norm_path(F.coalesce("path", F.lit("")))), "told"))
+        seen = lookup_join(seen, texts.groupBy("digest").agg(F.min("told").alias("told")), ["digest"], "left", salt_on=["path"])
+        shows = F.coalesce("told", shows)
+    seen = seen.withColumn("shown", shows).where("shown is not null")
+    evidence = materialise(placed(seen).groupBy("worktree", "path").agg(F.min("shown").alias("shown")))
+    marked = lookup_join(placed(rows.select("snapshot_id", "path")), evidence, ["worktree", "path"], "left", salt_on=["snapshot_id"])
+    found = marked.select("snapshot_id", "path", _once_only(F.coalesce(path_class(F.col("path")), F.col("shown")), "class"))
     if not copied.isEmpty():
         found = found.unionByName(_below(rows.select("snapshot_id", "repository_id", "path"), copied))
     return found.groupBy("snapshot_id", "path").agg(F.max("class").alias("class"))
 
 
+def _once_only(value: Column, name: str) -> Column:
+    """Rows in which `value` is not null. A plain filter would work `value` out twice, before and after it."""
+    return F.explode(F.array_compact(F.array(value))).alias(name)
+
+
 def _below(rows: DataFrame, copied: DataFrame) -> DataFrame:
     """Rows that lie in or below a copied folder of their repository. Only distinct folders are compared with their ancestors."""
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
