@@ -9,6 +9,7 @@ from corvane.llm.encoding import count_tokens, encode_corpus
 from corvane.llm.mixing import mix_sources
 from corvane.llm.neighbours import nearest_vectors, similar_pairs
 from corvane.llm.provenance import foreign_files
+from corvane.llm.residue import find_residue, without_residue
 from corvane.llm.splitting import split_items
 from corvane.tables import load, norm_digest, norm_path
 
@@ -59,7 +60,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_classes, p7_ids, p8_mix, p8_shares)}
+def p9_cases(spark: SparkSession, folder: str) -> DataFrame:
+    return find_residue(load(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_cases(spark, folder).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return without_residue(load(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_classes, p7_ids, p8_mix, p8_shares, p9_found, p9_cases, p9_clean)}
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT lower(sha256) AS sha256 FROM file_content WHERE strlen(content_text) > 4096",
 }
