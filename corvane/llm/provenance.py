@@ -74,7 +74,8 @@ def text_class(text: Column, path: Column) -> Column:
 
 
 def merkle_folders(files: DataFrame, max_depth: int = 64) -> DataFrame:
-    """A hash of every folder's tree in every snapshot: snapshot_id, repository_id, folder, depth, hash, files.
+    """A hash of every folder's tree in every snapshot: snapshot_id, repository_id, folder, depth, hash, files (in
+    the whole tree), direct (right in the folder).
 
     `files` has snapshot_id, repository_id, path, digest, once per snapshot and path. Hashes are
     made bottom-up, one level after the other: a folder's is that of the multiset of its children's
@@ -87,20 +88,20 @@ def merkle_folders(files: DataFrame, max_depth: int = 64) -> DataFrame:
     mask = F.lit(0xFFFFFFFF)
 
     def folded(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("snapshot_id", "repository_id", "folder", "depth").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("files").alias("files"))
+        return rows.groupBy("snapshot_id", "repository_id", "folder", "depth").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("files").alias("files"), F.sum("direct").alias("direct"))
 
-    own = files.select("snapshot_id", "repository_id", F.array_join(F.slice(steps, 1, depth), "/").alias("folder"), depth.alias("depth"), child.bitwiseAND(mask).alias("low"), F.shiftrightunsigned(child, 32).alias("high"), F.lit(1).cast("long").alias("files"))
+    own = files.select("snapshot_id", "repository_id", F.array_join(F.slice(steps, 1, depth), "/").alias("folder"), depth.alias("depth"), child.bitwiseAND(mask).alias("low"), F.shiftrightunsigned(child, 32).alias("high"), F.lit(1).cast("long").alias("files"), F.lit(1).cast("long").alias("direct"))
     leaves = materialise(folded(own))
     levels, carried = [], None
     deepest = leaves.agg(F.max("depth")).first()[0]
     for level in range(deepest or 0, 0, -1):
         here = leaves.where(F.col("depth") == level)
         nodes = materialise(folded(here.unionByName(carried)) if carried is not None else here)
-        levels.append(nodes.select("snapshot_id", "repository_id", "folder", "depth", F.xxhash64("low", "high", "files").alias("hash"), "files"))
+        levels.append(nodes.select("snapshot_id", "repository_id", "folder", "depth", F.xxhash64("low", "high", "files").alias("hash"), "files", "direct"))
         up = F.xxhash64(F.substring_index("folder", "/", -1), F.xxhash64("low", "high", "files"))
         parent = F.when(F.lit(level > 1), F.regexp_replace("folder", "/[^/]*$", "")).otherwise("")
-        carried = nodes.select("snapshot_id", "repository_id", parent.alias("folder"), F.lit(level - 1).alias("depth"), up.bitwiseAND(mask).alias("low"), F.shiftrightunsigned(up, 32).alias("high"), "files")
-    empty = leaves.limit(0).select("snapshot_id", "repository_id", "folder", "depth", F.lit(0).cast("long").alias("hash"), "files")
+        carried = nodes.select("snapshot_id", "repository_id", parent.alias("folder"), F.lit(level - 1).alias("depth"), up.bitwiseAND(mask).alias("low"), F.shiftrightunsigned(up, 32).alias("high"), "files", F.lit(0).cast("long").alias("direct"))
+    empty = leaves.limit(0).select("snapshot_id", "repository_id", "folder", "depth", F.lit(0).cast("long").alias("hash"), "files", "direct")
     out = empty
     for nodes in levels:
         out = out.unionByName(nodes)
@@ -110,15 +111,17 @@ def merkle_folders(files: DataFrame, max_depth: int = 64) -> DataFrame:
 def copied_folders(trees: DataFrame, least_files: int = 3, fork_share: float = 0.5) -> DataFrame:
     """Folders whose whole tree also stands in an unrelated repository: repository_id, folder.
 
-    The copy nearest to the top of its repository may be the original and is kept if it is a top
-    folder. A repository of which more than `fork_share` of the folders are shared is a fork and
+    A folder at the top of its repository may be the original and is kept. A repository of which more than `fork_share` of the files lie in shared folders is a fork and
     keeps them all.
     """
-    places = trees.where(F.col("files") >= least_files).groupBy("hash", "repository_id", "folder", "depth").agg(F.lit(1).alias("one"))
-    seen = places.groupBy("hash").agg(F.min("repository_id").alias("a"), F.max("repository_id").alias("b"), F.min("depth").alias("top")).where("a <> b").select("hash", "top")
-    shared = materialise(lookup_join(places.select("hash", "repository_id", "folder", "depth"), seen, ["hash"], salt_on=["folder"]))
-    folders = trees.groupBy("repository_id").agg(F.approx_count_distinct("folder", 0.02).alias("folders"))
-    forks = shared.groupBy("repository_id").agg(F.countDistinct("folder").alias("n")).join(folders, "repository_id").where(F.col("n") > fork_share * F.col("folders")).select("repository_id")
+    places = trees.where(F.col("files") >= least_files).groupBy("hash", "repository_id", "folder", "depth").agg(F.max("direct").alias("direct"))
+    seen = places.groupBy("hash").agg(F.min("repository_id").alias("a"), F.max("repository_id").alias("b")).where("a <> b").select("hash")
+    shared = materialise(lookup_join(places, seen, ["hash"], salt_on=["folder"]))
+
+    def weight(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("repository_id", "folder").agg(F.max("direct").alias("n")).groupBy("repository_id").agg(F.sum("n").alias(name))
+
+    forks = weight(shared, "common").join(weight(trees, "all"), "repository_id").where(F.col("common") > fork_share * F.col("all")).select("repository_id")
     kept = shared.where("depth > 1").select("repository_id", "folder").distinct()
     return kept.join(forks, "repository_id", "left_anti")
 

@@ -8,6 +8,7 @@ a variable name; names met in slots of templates are then known wherever else th
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
+from corvane.session import materialise
 
 # Words of which names of template variables are made.
 NAME_WORDS = frozenset(
@@ -67,14 +69,16 @@ ERROR_SAYINGS = (
     rf"^(?:http |error |error code:? ?|status:? ?|fehler |erreur |código de error:? ?)?[45]\d\d\s*[-:–]?\s*(?:{_HTTP})\b",
     r"^(?:http(?:/\d(?:\.\d)?)?|error(?: code)?|status|fehler|erreur|código de error|statut):?\s+[45]\d\d(?:\s*$|\s*[-:–.])",
     rf"^(?:{_HTTP})[.!]?$",
-    r"\b(?:the|this|that) (?:page|file|document|address|resource|snapshot|answer|link|url|site|content|search service|service|requested \w+)\b[^.]{0,40}\b(?:could not be (?:found|loaded|displayed|reached)|cannot be (?:found|displayed|reached)|can't be (?:found|displayed|reached)|does(?: not|n't) exist(?: any ?more)?|no longer exists|(?:was|has been) (?:moved|removed|deleted|blocked|disabled)(?: or (?:moved|removed|deleted))?|is over its \w+ quota|timed out|has (?:expired|timed out)|returned an (?:unexpected )?error|needs you to sign in|requires you to sign in|is (?:temporarily |currently )?(?:unavailable|not available)(?: right now| at the moment)?)\b",
-    r"\byour (?:request|session|connection|snapshot|\w+)\b[^.]{0,20}\b(?:timed out|has (?:expired|timed out)|could not be (?:loaded|found|completed|processed)|was blocked(?: by a security rule)?|does not exist any more|no longer exists|returned an unexpected error|is over its \w+ quota|needs you to sign in first|is (?:temporarily unavailable|not available right now))",
+    r"(?:^|[:–-] |sorry[,.] |oops! )(?:the|this|that|your|our) (?:[\w'-]+ ){1,6}?(?:could not be (?:found|loaded|displayed|reached|completed|processed)|cannot be (?:found|displayed|reached)|can't be (?:found|displayed|reached)|does(?: not|n't) exist any ?more|no longer exists|(?:was|has been) (?:moved or (?:removed|deleted)|blocked by an? [\w ]{1,20}rule)|is over its \w+ quota|timed out\b(?! (?:and|before|when))|has (?:expired|timed out)\b|returned an unexpected error|needs you to sign in|requires you to sign in|is (?:temporarily|currently) unavailable|is not available (?:right now|at the moment)|took too long to (?:answer|respond)|is down for (?:scheduled )?maintenance)",
+    r"(?:^|[:–-] |sorry[,.] |oops! )(?:we are|we're|the (?:site|service|server) is) down for (?:scheduled )?maintenance\b", r"(?:^|[:–-] |sorry[,.] |oops! )your connection (?:was|has been) (?:refused|reset|interrupted|closed)\b",
+    r"^(?:please )?try again later[.!]?$", r"^retry after \d+ seconds[.!]?$", r"^if this keeps happening, contact\b", r"^go back to the (?:start|home) ?page[.!]?$", r"^sign in to continue[.!]?$", r"^request id: [0-9a-f-]{6,}$",
+    r"^(?:veuillez réessayer plus tard|retour à l'accueil|bitte versuchen sie es später erneut|zurück zur startseite|inténtelo de nuevo más tarde|volver al inicio)[.!]?$",
     r"\byou (?:do not|don't) have (?:permission|access)\b[^.]{0,30}\b(?:view|access|see|open)?\b", r"\btoo many requests\b[^.]{0,30}\b(?:from your|were sent)", r"\bsomething went wrong(?: on our (?:end|side))?\b", r"\ban unexpected (?:condition|error) (?:kept|prevented|occurred|has occurred)\b",
-    r"\b(?:la|cette|ce|le|l') ?(?:page|document|fichier|adresse|ressource|service|lien)\b[^.]{0,40}\b(?:est introuvable|n'existe (?:plus|pas)|n'est pas disponible|est (?:momentanément |temporairement |actuellement )?indisponible|a été (?:déplacée?|supprimée?|bloquée?)|a expiré|n'a pas (?:pu être|été) (?:trouvée?|chargée?))",
+    r"(?:^|[:–-] |sorry[,.] |oops! )(?:la|cette|ce|le|cet|votre|notre|l'\w+) (?:[\w'-]+ ){0,5}?(?:est introuvable|n'existe (?:plus|pas)|n'est pas disponible|est (?:momentanément |temporairement |actuellement )?indisponible|a été (?:déplacée?|supprimée?|bloquée?)|a expiré|n'a pas (?:pu être|été) (?:trouvée?|chargée?))",
     r"\bvotre (?:session|demande|requête) (?:a expiré|a été bloquée)", r"\baccès (?:refusé|interdit)\b", r"\btrop de requêtes\b", r"\berreur interne du serveur\b", r"\bune erreur (?:inattendue )?(?:est survenue|s'est produite)\b", r"\bvous n'avez pas (?:la permission|l'autorisation|le droit)\b",
-    r"\b(?:die|diese|das|dieses|der|dieser) (?:\w+e )?(?:seite|datei|dokument|adresse|ressource|suchdienst|dienst|link|antwort|schnappschuss)\b[^.]{0,40}\b(?:wurde (?:nicht gefunden|blockiert|verschoben|gelöscht|entfernt)|konnte nicht|ist (?:derzeit |zurzeit |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)|existiert nicht(?: mehr)?|ist abgelaufen)",
+    r"(?:^|[:–-] |sorry[,.] |oops! )(?:die|diese[rs]?|das|der|ihre?|unsere?) (?:[\wäöüß-]+ ){0,5}?(?:wurde (?:nicht gefunden|blockiert|verschoben oder gelöscht|gelöscht|entfernt)|konnte nicht (?:geladen|gefunden|angezeigt)|ist (?:derzeit |zurzeit |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)|existiert nicht(?: mehr)?|ist abgelaufen)",
     r"\bihre (?:sitzung|anfrage) (?:ist abgelaufen|wurde blockiert|konnte nicht)", r"\bzugriff verweigert\b", r"\bzu viele anfragen\b", r"\binterner serverfehler\b", r"\bein (?:unerwarteter )?fehler ist aufgetreten\b",
-    r"\b(?:la|esta|el|este) (?:página|documento|archivo|dirección|recurso|servicio|enlace)\b[^.]{0,40}\b(?:no se (?:ha encontrado|encuentra|encontró)|no existe|ya no existe|no está disponible|ha sido (?:bloquead|movid|eliminad)[oa]|fue (?:movid|eliminad|bloquead)[oa]|ha (?:caducado|expirado))",
+    r"(?:^|[:–-] |sorry[,.] |oops! )(?:la|esta|el|este|su|nuestr[oa]) (?:[\wáéíóúñ-]+ ){0,5}?(?:no se (?:ha encontrado|encuentra|encontró|ha podido cargar|pudo cargar)|ya no existe|no está disponible|(?:ha sido|fue) (?:bloquead|movid|eliminad)[oa]|se ha (?:movido|eliminado|bloqueado)|ha (?:caducado|expirado))",
     r"\bsu sesión ha (?:caducado|expirado)", r"\bno se ha encontrado la página\b", r"\bacceso denegado\b", r"\bdemasiadas (?:solicitudes|peticiones)\b", r"\berror interno del servidor\b", r"\bse ha producido un error\b",
     r"^(?:ページが見つかりません|アクセスが拒否されました|内部サーバーエラー|お探しのページ)",
 )
@@ -93,7 +97,7 @@ SCRIPT_SAYINGS = (
 FILLER_SAYINGS = (
     r"\bonly here to fill the page\b", r"^sample text\b[^.]{0,30}\breplaced\b", r"^your (?:own )?text (?:goes )?here\b", r"^body copy to come\b", r"^replace this text\b", r"^add a (?:short )?description\b[^.]{0,40}\bhere\b", r"^describe (?:the|your) \w+ here\b", r"^(?:insert|type|enter|write) (?:your )?(?:text|content|title|description) here\b", r"^content (?:goes here|to come|coming soon)\b",
     r"^untitled(?: \d+)?$", r"^coming soon[.!]?$", r"\(no description provided\)", r"\(replace me\)", r"^(?:tbd|todo|tba|fixme|xxx)(?:[\s.,]+(?:tbd|todo|tba|fixme|xxx))+\W*$", r"^(?:fixme|todo|tbd):?\s+(?:write|describe|add|fill|complete) (?:this|the|a|in)\b", r"^(?:this is )?(?:dummy|placeholder|filler) text\b", r"^(?:owner|reviewers?|author|date|contact)\s*:\s*\?{2,}$", r"<fill in>|\[fill in\]",
-    r"^your (?:[\w-]+ ){1,3}(?:title|subtitle|heading|headline|tagline)$", r"\bmissing translation for\b", r"^(?:su|tu) texto aquí\b", r"^texto de (?:ejemplo|muestra|relleno)\b", r"^votre texte ici\b", r"^texte (?:d'exemple|de remplissage|factice)\b", r"\bsteht nur blindtext\b", r"^(?:muster|blind|beispiel)text\b[^.]{0,30}\b(?:ersetzen|hier)\b", r"^(?:[\w-]+ [-–] )?(?:unter|über)?(?:schrift|titel) hier (?:eingeben|einfügen)\b", r"^(?:ihr|dein) text hier\b", r"^(?:ここにテキスト|サンプルテキスト|ダミーテキスト)",
+    r"^your (?:[\w-]+ ){1,3}(?:title|subtitle|heading|headline|tagline)$", r"\bmissing (?:translation for|string:)", r"\bgoes here\b", r"^\((?:to be (?:written|added|done|completed)|write|describe|add|insert|fill in) ?[^()]*\)$", r"(?:^|[:\s])(?:_{4,}|_{2}/_{2}/_{2,4})(?:$|[\s.,;])", r"^(?:posted|written|created|published|edited|updated)\b by  +on  +", r"^(\w{2,})(?:[\s,]+\1){3,}\b", r"\binvalid date\b", r"^(?:dear|hello|hi|hallo|bonjour|hola) (?:none|null|undefined|nan)\b", r"^(?:su|tu) texto aquí\b", r"^texto de (?:ejemplo|muestra|relleno)\b", r"^votre texte ici\b", r"^texte (?:d'exemple|de remplissage|factice)\b", r"\bsteht nur blindtext\b", r"^(?:muster|blind|beispiel)text\b[^.]{0,30}\b(?:ersetzen|hier)\b", r"^(?:[\w-]+ [-–] )?(?:unter|über)?(?:schrift|titel) hier (?:eingeben|einfügen)\b", r"^(?:ihr|dein) text hier\b", r"^(?:ここにテキスト|サンプルテキスト|ダミーテキスト)",
 )
 _LEXICON = {"error": re.compile("|".join(f"(?:{p})" for p in ERROR_SAYINGS), re.I), "scripts": re.compile("|".join(f"(?:{p})" for p in SCRIPT_SAYINGS), re.I), "filler": re.compile("|".join(f"(?:{p})" for p in FILLER_SAYINGS), re.I)}
 # Pieces of text, in lower case, of which every saying above has one. Lines with none of them are passed over.
@@ -101,13 +105,13 @@ TRIGGERS = {
     "error": (
         "request", "authori", "payment", "forbidden", "found", "not allowed", "not acceptable", "conflict", "gone", "payload", "too many", "server error", "implemented", "gateway", "unavailable", "http", "error", "status", "fehler", "erreur", "statut",
         "be loaded", "be displayed", "be reached", "be completed", "be processed", "exist", "was moved", "been moved", "removed", "deleted", "blocked", "been disabled", "was disabled", "quota", "timed out", "time-out", "timeout", "expired", "to sign in", "not available", "permission", "have access", "went wrong", "unexpected",
-        "introuvable", "disponible", "indisponible", "a été", "expiré", "n'a pas", "bloquée", "accès", "trop de", "une erreur", "vous n'avez",
+        "introuvable", "disponible", "indisponible", "maintenance", "too long", "connection", "try again", "retry", "keeps happening", "start page", "home page", "réessayer", "accueil", "später", "startseite", "de nuevo", "inicio", "a été", "expiré", "n'a pas", "bloquée", "accès", "trop de", "une erreur", "vous n'avez",
         "wurde nicht", "blockiert", "verschoben", "gelöscht", "entfernt", "konnte nicht", "nicht verfügbar", "nicht erreichbar", "abgelaufen", "zugriff", "zu viele", "serverfehler",
         "no se", "encontr", "caducado", "expirado", "ha sido", "fue ", "acceso", "demasiadas", "se ha", "見つかりません", "拒否", "サーバーエラー", "お探し",
     ),
     "scripts": ("script", "cookie", "active content", "aktive inhalte", "contenu actif", "contenido activo", "for this site", "browser", "robot", "human", "captcha", "security check", "loading...", "skript", "navigateur", "navegador", "クッキー", "ロボット"),
     "filler": (
-        "fill the page", "sample text", "text here", "text goes here", "own text", "body copy", "replace this", "replace me", "description", "here", "untitled", "coming soon", "to come", "tbd", "todo", "tba", "fixme", "xxx", "dummy", "placeholder", "filler", "??", "fill in", "title", "heading", "headline", "tagline", "translation", "texto", "texte", "blindtext", "mustertext", "beispieltext", "hier", "テキスト",
+        "fill the page", "sample text", "text here", "text goes here", "own text", "body copy", "replace this", "replace me", "description", "here", "untitled", "coming soon", "to come", "tbd", "todo", "tba", "fixme", "xxx", "dummy", "placeholder", "filler", "??", "fill in", "title", "heading", "headline", "tagline", "translation", "texto", "texte", "blindtext", "mustertext", "beispieltext", "hier", "テキスト", "missing string", "to be ", "(write", "(describe", "(add", "(insert", "____", "__/__", "invalid date", "dear ", "hello ", "hi ", "hallo ", "bonjour ", "hola ", " by  on ", "bla bla", "asdf",
     ),
 }
 _FIELD_SIGNS = ("{", "<", "[", "%", "@@", "__", "«", "&lt;", "$")
@@ -148,6 +152,9 @@ def _hints(low: str) -> set[str]:
 
 _APOLOGY = re.compile(r"^(?:oops|sorry|we're sorry|we are sorry|désolée?|oups|leider|entschuldigung|hoppla|lo sentimos|¡?vaya)\s*[!.:,]\s*", re.I)
 _DEFAULT = re.compile(r"\[object Object\]|(?<![\w`'\"/.])(?:undefined|null|None|NaN|nil)(?![\w`'\"(])|NaN/NaN|00/00/0000")
+#: Characters up to which a text with a status number may be an error page as a whole.
+PAGE = 400
+_STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w.-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -201,11 +208,16 @@ def template_of(segment: str) -> str:
 def inspect(text: str | None) -> list[tuple[str, str, str]]:
     """(kind, template, name) of what may be residue: fields, defaults, filler, error or scripts.
 
-    A field comes with the name it shows; `field?` means that the name alone does not tell.
+    A field comes with the name it shows; `field?` means that the name alone does not tell. `page?` is
+    a short text that may be an error page as a whole; its name is a hash of the text.
     """
     if not text:
         return []
     found = []
+    if len(text) <= PAGE and _STATUS.search(text) and "error" in _hints(text.lower()):
+        page = " / ".join(prose_lines(text))
+        if _STATUS.search(page):
+            found.append(("page?", template_of(page), hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
     for line in prose_lines(text):
         hints = _hints(line.lower())
         signs = any(sign in line for sign in _FIELD_SIGNS)
@@ -279,7 +291,8 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     Null, empty and blank texts are no cases; neither are rows without id. Repeated rows count once.
     """
     spotted = candidates(df, doc_id, text)
-    once = spotted.groupBy("doc_id", "kind", "template", "name").agg(F.count(F.lit(1)).alias("n"))
+    # What was spotted is a small part of the corpus and is read several times, the texts only once.
+    once = materialise(spotted.distinct())
     fields = once.where("kind in ('field', 'field?') and name <> ''")
     # Slots of aligned records: one template, several texts, more than one filling.
     slots = fields.groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"), F.min("name").alias("a"), F.max("name").alias("b")).where((F.col("texts") >= least_records) & (F.col("a") != F.col("b"))).select("template")
@@ -287,8 +300,12 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     elsewhere = fields.where("kind = 'field'").groupBy("name").agg(F.approx_count_distinct("doc_id").alias("texts")).where(F.col("texts") >= least_records).select("name")
     names = in_slots.unionByName(elsewhere).distinct()
     settled = lookup_join(fields.where("kind = 'field?'"), names, ["name"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("field").alias("kind"))
-    sure = once.where("kind <> 'field?'").select("doc_id", "kind")
-    return sure.unionByName(settled).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    # Whole pages of one template, several of them with different texts.
+    pages = once.where("kind = 'page?'")
+    repeated = pages.groupBy("template").agg(F.approx_count_distinct("name").alias("texts")).where(F.col("texts") >= least_records).select("template")
+    whole = lookup_join(pages, repeated, ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("error").alias("kind"))
+    sure = once.where("kind not in ('field?', 'page?')").select("doc_id", "kind")
+    return sure.unionByName(settled).unionByName(whole).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def without_residue(df: DataFrame, doc_id: str, text: str) -> DataFrame:
