@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import general
+from corvane.plans import general, text
 
-_MODULES = (general,)
+_MODULES = (general, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
