@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import general, text
+from corvane.plans import general, manifest, paths, text
 
-_MODULES = (general, text)
+_MODULES = (general, text, manifest, paths)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
