@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import general, manifest, paths, text
+from corvane.plans import general, graph, manifest, paths, symbols, text, vectors
 
-_MODULES = (general, text, manifest, paths)
+_MODULES = (general, text, manifest, paths, vectors, symbols, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
