@@ -43,7 +43,7 @@ def nearest_to_queries(vectors: DataFrame, queries: DataFrame, k: int, digits: i
         part = queries if total <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // QUERY_BLOCK))) == block)
         table = part.select("id", "v").toArrow()
         ids = table.column("id").to_numpy()
-        matrix = np.array(table.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        matrix = np.array(table.column("v").to_pylist(), dtype=np.float64)
         if len(ids):
             matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((ids, matrix))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import general, graph, manifest, paths, symbols, text, vectors
+from corvane.plans import general, graph, manifest, paths, provenance, ranking, symbols, text, vectors
 
-_MODULES = (general, text, manifest, paths, vectors, symbols, graph)
+_MODULES = (general, text, manifest, paths, vectors, symbols, graph, ranking, provenance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
