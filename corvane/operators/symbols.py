@@ -14,7 +14,8 @@ from corvane.operators.text import lines
 #: A declaration: modifiers, a keyword, a name.
 DECLARATION = r"^\s*(?:(?:pub(?:\(\w+\))?|public|private|protected|internal|static|final|abstract|async|export|default|override|suspend|open|local|inline|const)\s+)*(fn|def|function|func|fun|proc|class|struct|interface|trait|enum|impl|module|namespace|type|object)\s+([A-Za-z_][A-Za-z0-9_]*)"
 _KIND = {"fn": "function", "def": "function", "function": "function", "func": "function", "fun": "function", "proc": "function", "impl": "implementation", "namespace": "module"}
-CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
+#: A word and the bracket behind it. Words are taken whole, so long runs of letters cost one pass.
+WORD = r"([A-Za-z0-9_]+[(]?)"
 
 
 def _kind(word: Column) -> Column:
@@ -73,7 +74,8 @@ def symbol_rank(spans: DataFrame, query: str) -> DataFrame:
 def calls(code: DataFrame, spans: DataFrame, declared_only: bool = False) -> DataFrame:
     """Call edges: file, caller, callee, calls; callee is a name with a bracket behind it in the caller's body, of a function declared anywhere if `declared_only`."""
     names = spans.where("kind = 'function'").select(F.col("name").alias("callee")).distinct()
-    used = code.where(~F.col("body").rlike(DECLARATION)).select("file", "line", F.explode(F.regexp_extract_all("body", F.lit(CALL), 1)).alias("callee"))
+    words = F.filter(F.regexp_extract_all("body", F.lit(WORD), 1), lambda w: w.endswith("(") & ~F.substring(w, 1, 1).between("0", "9"))
+    used = code.where(F.contains("body", F.lit("(")) & ~F.col("body").rlike(DECLARATION)).select("file", "line", F.explode(words).alias("w")).select("file", "line", F.rtrim("w", F.lit("(")).alias("callee"))
     known = used.join(names, "callee", "left_semi") if declared_only else used
     placed = enclosing_symbol(known, spans.where("kind = 'function'"))
     return placed.where("name is not null").groupBy("file", F.col("name").alias("caller"), "callee").agg(F.count(F.lit(1)).alias("calls"))
@@ -82,6 +84,6 @@ def calls(code: DataFrame, spans: DataFrame, declared_only: bool = False) -> Dat
 def references(code: DataFrame, spans: DataFrame) -> DataFrame:
     """How often each declared name stands as a whole word outside its declarations: name, references, files."""
     names = spans.select("name").distinct()
-    words = code.select("file", "line", F.explode(F.regexp_extract_all("body", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name"))
+    words = code.select("file", "line", F.explode(F.regexp_extract_all("body", F.lit(WORD), 1)).alias("w")).select("file", "line", F.rtrim("w", F.lit("(")).alias("name"))
     declared = spans.select("file", F.col("start_line").alias("line"), "name")
     return words.join(names, "name", "left_semi").join(declared, ["file", "line", "name"], "left_anti").groupBy("name").agg(F.count(F.lit(1)).alias("references"), F.countDistinct("file").alias("files"))

@@ -75,11 +75,11 @@ SQL = {
     "symbol_search_rank": f"WITH {_SYMBOLS}, r AS (SELECT file, name, kind, start_line, {_RANK.format(q='emit_drift_vector')}::INTEGER AS rank FROM spans) SELECT * FROM r WHERE rank IS NOT NULL",
     "symbol_prefix_rank": f"WITH {_SYMBOLS}, r AS (SELECT file, name, kind, start_line, {_RANK.format(q='Merge_')}::INTEGER AS rank FROM spans) SELECT * FROM r WHERE rank IS NOT NULL",
     "call_edges": f"""WITH {_SYMBOLS},
-used AS (SELECT file, line, unnest(regexp_extract_all(body, '{op.CALL}', 1)) AS callee FROM code WHERE NOT regexp_matches(body, '{op.DECLARATION}')),
+used AS (SELECT file, line, unnest(list_transform(list_filter(regexp_extract_all(body, '{op.WORD}', 1), lambda w: ends_with(w, '(') AND NOT (w[1] BETWEEN '0' AND '9')), lambda w: rtrim(w, '('))) AS callee FROM code WHERE NOT regexp_matches(body, '{op.DECLARATION}')),
 known AS (SELECT * FROM used),
 best AS ({_INNER.format(h='(SELECT DISTINCT file, line FROM known)', s="(SELECT * FROM spans WHERE kind = 'function')")})
 SELECT file, name AS caller, callee, count(*) AS calls FROM known JOIN best USING (file, line) GROUP BY 1, 2, 3""",
     "symbol_references": f"""WITH {_SYMBOLS},
-words AS (SELECT file, line, unnest(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM code)
+words AS (SELECT file, line, rtrim(unnest(regexp_extract_all(body, '{op.WORD}', 1)), '(') AS name FROM code)
 SELECT name, count(*) AS references, count(DISTINCT file) AS files FROM words w WHERE name IN (SELECT name FROM spans) AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.file = w.file AND s.start_line = w.line AND s.name = w.name) GROUP BY 1""".replace("AS references", 'AS "references"'),
 }

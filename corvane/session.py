@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -45,6 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Results read these files lazily, so they go when the driver ends; a driver that is killed leaves them to the owner of the folder."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df`: write it to the shared folder as Parquet and read it back.
 
@@ -52,6 +65,10 @@ def materialise(df: DataFrame) -> DataFrame:
     computed once; the session's temporary names keep runs apart.
     """
     spark = df.sparkSession
-    target = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    target = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
