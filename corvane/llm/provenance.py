@@ -39,22 +39,28 @@ BUILD_FOLDERS = ("target", "obj", "bin", "build", "assets")
 HEADER = r"(?i)(@generated\b|\bcode generated\b.{0,80}\bdo not edit\b|\bauto-?generated (from|by)\b.{0,120}\b(do not|don't) (edit|modify|change)|\bfile (was|is) (written|produced|(automatically |auto-?)?generated) by\b.{0,120}\b(compiler|generator|changes will be lost|do not (edit|modify)))"
 
 BIG = 1_000_000
+#: Of several classes the last counts.
+CLASSES = ("data", "generated", "minified", "vendored")
 HEAD_LINES = 12
 
 
-def path_class(path: Column) -> Column:
-    """vendored, generated, minified or null, told by a normalised path alone."""
-    low = F.lower(path)
-    steps = F.split(low, "/")
-    folders = F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0)))
-    name = F.element_at(steps, -1)
-    parts = F.split(name, "[._-]")
+def with_path_class(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Adds vendored, generated, minified or null, told by a normalised path alone.
+
+    The parts of the path are columns of their own on the way, so each is worked out once a row.
+    """
+    kept = [F.col(c) for c in df.columns]
+    low = df.select(*kept, F.lower(path).alias("_low"))
+    steps = low.select(*kept, "_low", F.split("_low", "/").alias("_steps"))
+    cut = steps.select(*kept, "_low", F.slice("_steps", 1, F.greatest(F.size("_steps") - 1, F.lit(0))).alias("_folders"), F.element_at("_steps", -1).alias("_name"))
+    parts = cut.select("*", F.split("_name", "[._-]").alias("_parts"))
     among = lambda found, words: F.arrays_overlap(found, F.array(*map(F.lit, words)))
-    return (
-        F.when(among(folders, COPIES) | low.rlike(VERSIONED), "vendored")
-        .when(F.element_at(parts, -1).isin(*DELIVERED_ENDINGS) & name.rlike(DELIVERED_NAME), "minified")
-        .when(among(folders, WRITTEN) | (among(parts, GENERATED_PARTS) & name.rlike(GENERATED_NAME)) | (among(folders, BUILD_FOLDERS) & low.rlike(BUILD_PATH)), "generated")
+    told = (
+        F.when(among("_folders", COPIES) | F.col("_low").rlike(VERSIONED), "vendored")
+        .when(F.element_at("_parts", -1).isin(*DELIVERED_ENDINGS) & F.col("_name").rlike(DELIVERED_NAME), "minified")
+        .when(among("_folders", WRITTEN) | (among("_parts", GENERATED_PARTS) & F.col("_name").rlike(GENERATED_NAME)) | (among("_folders", BUILD_FOLDERS) & F.col("_low").rlike(BUILD_PATH)), "generated")
     )
+    return parts.select(*kept, told.alias(name))
 
 
 def text_class(text: Column, path: Column) -> Column:
@@ -158,10 +164,14 @@ def foreign_files(manifest: DataFrame, snapshots: DataFrame, contents: DataFrame
     seen = seen.withColumn("shown", shows).where("shown is not null")
     evidence = materialise(placed(seen).groupBy("worktree", "path").agg(F.min("shown").alias("shown")))
     marked = lookup_join(placed(rows.select("snapshot_id", "path")), evidence, ["worktree", "path"], "left", salt_on=["snapshot_id"])
-    found = marked.select("snapshot_id", "path", _once_only(F.coalesce(path_class(F.col("path")), F.col("shown")), "class"))
+    told = with_path_class(marked.select("snapshot_id", "path", "shown"), "path", "told")
+    found = told.select("snapshot_id", "path", _once_only(F.coalesce("told", "shown"), "class"))
     if not copied.isEmpty():
         found = found.unionByName(_below(rows.select("snapshot_id", "repository_id", "path"), copied))
-    return found.groupBy("snapshot_id", "path").agg(F.max("class").alias("class"))
+    # Numbers in place of words let the aggregation hash instead of sort.
+    rank = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")).cast("int")
+    best = found.groupBy("snapshot_id", "path").agg(F.max(rank).alias("rank"))
+    return best.select("snapshot_id", "path", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("rank")).alias("class"))
 
 
 def _once_only(value: Column, name: str) -> Column:

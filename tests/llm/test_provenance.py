@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from corvane.llm.provenance import foreign_files, merkle_folders, path_class, text_class
+from corvane.llm.provenance import foreign_files, merkle_folders, text_class, with_path_class
 from pyspark.sql import functions as F
 
 FILES = "snapshot_id string, repository_id string, path string, sha256 string, size_bytes long, delivered_at timestamp_ntz, class string"
@@ -23,7 +23,7 @@ def test_path_class(spark):
         None: ["src/math/min.py", "web/a/admin.js", "src/generation/a.rs", "app/models/vendor.rs", "docs/vendoring_a.md", "src/external_api/a.rs", "src/codegen/b.ts", "config/a.chunk.toml", "src/sourcemap.rs", "web/src/a_bundle_loader.ts", "", "README.md"],
     }
     data = [(p, k) for k, paths in told.items() for p in paths]
-    df = spark.createDataFrame(data, "path string, want string").withColumn("got", path_class(F.col("path")))
+    df = spark.createDataFrame(data, "path string, want string").transform(lambda d: with_path_class(d, "path", "got"))
     assert [(r.path, r.got) for r in df.collect()] == data
 
 
