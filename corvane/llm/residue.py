@@ -97,7 +97,7 @@ SCRIPT_SAYINGS = (
 FILLER_SAYINGS = (
     r"\bonly here to fill the page\b", r"^sample text\b[^.]{0,30}\breplaced\b", r"^your (?:own )?text (?:goes )?here\b", r"^body copy to come\b", r"^replace this text\b", r"^add a (?:short )?description\b[^.]{0,40}\bhere\b", r"^describe (?:the|your) \w+ here\b", r"^(?:insert|type|enter|write) (?:your )?(?:text|content|title|description) here\b", r"^content (?:goes here|to come|coming soon)\b",
     r"^untitled(?: \d+)?$", r"^coming soon[.!]?$", r"\(no description provided\)", r"\(replace me\)", r"^(?:tbd|todo|tba|fixme|xxx)(?:[\s.,]+(?:tbd|todo|tba|fixme|xxx))+\W*$", r"^(?:fixme|todo|tbd):?\s+(?:write|describe|add|fill|complete) (?:this|the|a|in)\b", r"^(?:this is )?(?:dummy|placeholder|filler) text\b", r"^(?:owner|reviewers?|author|date|contact)\s*:\s*\?{2,}$", r"<fill in>|\[fill in\]",
-    r"^your (?:[\w-]+ ){1,3}(?:title|subtitle|heading|headline|tagline)$", r"\bmissing (?:translation for|string:)", r"\bgoes here\b", r"^\((?:to be (?:written|added|done|completed)|write|describe|add|insert|fill in) ?[^()]*\)$", r"(?:^|[:\s])(?:_{4,}|_{2}/_{2}/_{2,4})(?:$|[\s.,;])", r"^(?:posted|written|created|published|edited|updated)\b by  +on  +", r"^(\w{2,})(?:[\s,]+\1){3,}\b", r"\binvalid date\b", r"^(?:dear|hello|hi|hallo|bonjour|hola) (?:none|null|undefined|nan)\b", r"^(?:su|tu) texto aquí\b", r"^texto de (?:ejemplo|muestra|relleno)\b", r"^votre texte ici\b", r"^texte (?:d'exemple|de remplissage|factice)\b", r"\bsteht nur blindtext\b", r"^(?:muster|blind|beispiel)text\b[^.]{0,30}\b(?:ersetzen|hier)\b", r"^(?:[\w-]+ [-–] )?(?:unter|über)?(?:schrift|titel) hier (?:eingeben|einfügen)\b", r"^(?:ihr|dein) text hier\b", r"^(?:ここにテキスト|サンプルテキスト|ダミーテキスト)",
+    r"^your (?:[\w-]+ ){1,3}(?:title|subtitle|heading|headline|tagline)$", r"\bmissing (?:translation for|string:)", r"\bgoes here\b", r"^\((?:to be (?:written|added|done|completed)|write|describe|add|insert|fill in) ?[^()]*\)$", r"(?:^|[:\s])(?:_{4,}|_{2}/_{2}/_{2,4})(?:$|[\s.,;])", r"^(?:posted|written|created|published|edited|updated)\b by  +on  +", r"\binvalid date\b", r"^(?:dear|hello|hi|hallo|bonjour|hola) (?:none|null|undefined|nan)\b", r"^(?:su|tu) texto aquí\b", r"^texto de (?:ejemplo|muestra|relleno)\b", r"^votre texte ici\b", r"^texte (?:d'exemple|de remplissage|factice)\b", r"\bsteht nur blindtext\b", r"^(?:muster|blind|beispiel)text\b[^.]{0,30}\b(?:ersetzen|hier)\b", r"^(?:[\w-]+ [-–] )?(?:unter|über)?(?:schrift|titel) hier (?:eingeben|einfügen)\b", r"^(?:ihr|dein) text hier\b", r"^(?:ここにテキスト|サンプルテキスト|ダミーテキスト)",
 )
 _LEXICON = {"error": re.compile("|".join(f"(?:{p})" for p in ERROR_SAYINGS), re.I), "scripts": re.compile("|".join(f"(?:{p})" for p in SCRIPT_SAYINGS), re.I), "filler": re.compile("|".join(f"(?:{p})" for p in FILLER_SAYINGS), re.I)}
 # Pieces of text, in lower case, of which every saying above has one. Lines with none of them are passed over.
@@ -223,6 +223,9 @@ def inspect(text: str | None) -> list[tuple[str, str, str]]:
         signs = any(sign in line for sign in _FIELD_SIGNS)
         latin = sum(h[:6] == "latin:" for h in hints) >= 3
         kinds = [k for k in _LEXICON if k in hints]
+        first = line.split(None, 4)[:4]
+        if len(first) == 4 and first[0].isalpha() and len(set(first)) == 1:
+            found.append(("filler", "one word again and again", ""))
         if not (signs or latin or kinds or "default" in hints):
             continue
         for segment, whole in segments(line):
