@@ -122,9 +122,15 @@ def family_bits(path: Column) -> Column:
     return out.cast("long")
 
 
+def with_facts(paths: DataFrame, **facts: Column) -> DataFrame:
+    """Adds columns that later filters can't be pushed through: each is worked out once a row, behind any aggregation before."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in facts.items()]))).alias("_facts")
+    return paths.select("*", one).select(*paths.columns, *[F.col("_facts." + n).alias(n) for n in facts])
+
+
 def subtree_coverage(paths: DataFrame) -> DataFrame:
     """Per subtree and class the number of paths and the exemplar, the shortest path (then the least): subtree, source_class, paths, exemplar."""
-    rows = paths.select(subtree_root(F.col("path")).alias("subtree"), source_class(F.col("path")).alias("source_class"), F.col("path")).where("subtree is not null")
+    rows = with_facts(paths.select("path"), subtree=subtree_root(F.col("path")), source_class=source_class(F.col("path"))).where("subtree is not null")
     return rows.groupBy("subtree", "source_class").agg(F.count(F.lit(1)).alias("paths"), F.min(F.struct(F.length("path").alias("n"), F.col("path").alias("p"))).alias("e")).select("subtree", "source_class", "paths", F.col("e.p").alias("exemplar"))
 
 
@@ -144,7 +150,8 @@ def test_subject_links(paths: DataFrame, per_test: int = 6, per_subject: int = 6
     the stem, 3 for the language.
     """
     stem = F.lower(F.regexp_replace(file_stem(F.regexp_replace("path", r"\.(spec|test)(\.[^.]*)$", "$2")), r"^test_|_tests?$|Test$", ""))
-    rows = paths.select("repository_id", "path", stem.alias("stem"), language(F.lower("path")).alias("language"), path_terms(F.col("path")).alias("terms"), (predicates(F.col("path"))["is_test_support"] | file_name(F.col("path")).rlike(r"^test_|_test\.|Test\.|\.spec\.")).alias("test")).where("language is not null")
+    is_test = predicates(F.col("path"))["is_test_support"] | file_name(F.col("path")).rlike(r"^test_|_test\.|Test\.|\.spec\.")
+    rows = with_facts(paths.select("repository_id", "path"), stem=stem, language=language(F.lower("path")), terms=path_terms(F.col("path")), test=is_test).where("language is not null")
     tests = rows.where("test").select("repository_id", "stem", F.col("path").alias("test_path"), F.col("language").alias("l1"), F.col("terms").alias("t1"))
     subjects = rows.where("not test").select("repository_id", "stem", F.col("path").alias("subject_path"), F.col("language").alias("l2"), F.col("terms").alias("t2"))
     scored = tests.join(subjects, ["repository_id", "stem"]).withColumn("shared", F.size(F.array_intersect("t1", "t2"))).where("shared > 0").withColumn("score", F.col("shared") * 10 + 6 + F.when(F.col("l1") == F.col("l2"), 3).otherwise(0))
@@ -158,7 +165,7 @@ def companions(paths: DataFrame, most: int = 8) -> DataFrame:
     """Tests, settings and workflows next to an entry point: repository_id, src_path, dst_path, kind, score; at most `most` a source."""
     p = predicates(F.col("path"))
     kind = F.when(p["is_test_support"], "test").when(p["is_runtime_config"], "config").when(p["is_ci_workflow"], "workflow")
-    rows = paths.select("repository_id", "path", F.coalesce(subtree_root(F.col("path")), F.lit("")).alias("subtree"), p["is_entrypoint"].alias("entry"), kind.alias("kind"), path_terms(F.col("path")).alias("terms"))
+    rows = with_facts(paths.select("repository_id", "path"), subtree=F.coalesce(subtree_root(F.col("path")), F.lit("")), entry=p["is_entrypoint"], kind=kind, terms=path_terms(F.col("path")))
     left = rows.where("entry").select("repository_id", "subtree", F.col("path").alias("src_path"), F.col("terms").alias("t1"))
     right = rows.where("kind is not null").select("repository_id", "subtree", F.col("path").alias("dst_path"), "kind", F.col("terms").alias("t2"))
     scored = left.join(right, ["repository_id", "subtree"]).where("src_path <> dst_path").withColumn("score", F.size(F.array_intersect("t1", "t2")) * 12 + 100)
