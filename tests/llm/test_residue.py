@@ -39,8 +39,8 @@ def test_find_residue(spark, rows):
     assert rows(got, "doc_id") == [(i,) for i in range(len(CLEAN), len(texts))]
     assert without_residue(df, "doc_id", "text").where("doc_id is not null").count() == len(CLEAN) + 1
     assert find_residue(df.limit(0), F.col("doc_id"), F.col("text")).count() == 0
-    long = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 200_000 + "\nTBD TBD TBD")], "doc_id long, text string")
-    assert rows(find_residue(long, F.col("doc_id"), F.col("text")), "doc_id") == [(2,)]
+    long = spark.createDataFrame([(1, "plain words go on " * 60_000), (2, "plain words go on " * 60_000 + "\nTBD TBD TBD"), (3, "test " * 200_000)], "doc_id long, text string")
+    assert rows(find_residue(long, F.col("doc_id"), F.col("text")), "doc_id") == [(2,), (3,)]
 
 
 def test_names_and_pages_are_settled_over_the_corpus(spark, rows):
