@@ -23,9 +23,10 @@ from corvane.session import materialise
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """`sample` rows a group (model and dimensions) are taken to fit the cells; `lists` is their largest number."""
+    """At most `sample` rows a group (model and dimensions), and `total_sample` rows of all groups, are taken to fit the cells; `lists` is the largest number of cells of a group."""
 
     sample: int = 100_000
+    total_sample: int = 400_000
     lists: int = 32_768
     list_size: int = 128
     copies: int = 4
@@ -293,10 +294,11 @@ def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embeddin
 
 
 def _fit(good: DataFrame, counts: dict[str, int], s: IndexSettings) -> dict[str, CentroidGraph]:
-    """A centroid graph for each group, of a sample chosen by hash and bounded by `s.sample` rows a group."""
+    """A centroid graph for each group, of a sample chosen by hash and bounded as IndexSettings says; a group has 64 rows of it at least."""
+    most = max(64, min(s.sample, s.total_sample // max(1, len(counts))))
     wanted = None
     for name, n in counts.items():
-        share = F.lit(min(1.0, 0.9 * s.sample / n))
+        share = F.lit(min(1.0, 0.9 * most / n))
         part = (F.col("grp") == name) & ((F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1_000_000)) / 1e6) < share)
         wanted = part if wanted is None else wanted | part
     if wanted is None:
@@ -305,7 +307,7 @@ def _fit(good: DataFrame, counts: dict[str, int], s: IndexSettings) -> dict[str,
     names = np.array(table.column("grp").to_pylist(), dtype=object)
     graphs = {}
     for name, n in counts.items():
-        where = np.flatnonzero(names == name)[: s.sample]
+        where = np.flatnonzero(names == name)[:most]
         if not len(where):
             sample = _matrix(good.where(F.col("grp") == name).select("v").limit(1000).toArrow().column("v").combine_chunks())
         else:
