@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers where nothing else does: neither their PYTHONPATH nor working folder nor an archive that holds it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    context = spark.sparkContext
+    if not os.path.isdir(package) or getattr(context, "_corvane_shipped", False):
+        return
+    context._corvane_shipped = True
+    seen = [os.path.abspath(p) for p in (os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if context.master.startswith("local") and root in seen:
+        return
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "corvane"), "zip", root, os.path.basename(package)))
+
+
 _folders: set[str] = set()
 
 
