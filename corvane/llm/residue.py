@@ -59,8 +59,16 @@ _TAG = re.compile(r"</?(?:h[1-6]|p|hr|br|div|span|noscript|body|html|center|titl
 _LEAD = re.compile(r"^(?:\s|//+|/?\*+/?|#+(?=\s|$)|>+|[-•](?=\s)|--+|;+|\d+[.)]\s)+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+|(?<=[。！？])")
 _MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
-#: A line that is code although nothing marks it as such.
-_CODELIKE = re.compile(r"^\s*(?:(?:pub(?:\(\w+\))?\s+)?(?:fn|def|function|func|class|struct|impl|enum|import|from|export|const|let|var|return|if|for|while|use|#include|select|insert|update|cp|mv|echo|cd|sudo|curl|git|npm|pip|cargo)\b.*[(){};=$/<>:]|[\w.\[\]]+\s*[-+*/]?=[^=].*[;)\]]?$|\||@\w+\(|\}|\{$)", re.I)
+#: A line that is code although nothing marks it as such. Words that also begin sentences need more than a bracket or colon: a call, a block, an assignment or a path of their kind.
+_CODELIKE = re.compile(
+    r"^\s*(?:(?:pub(?:\(\w+\))?\s+)?(?:fn|def|func|struct|impl|enum|const|var|#include|cp|mv|echo|cd|sudo|curl|git|npm|pip|cargo)\b.*[(){};=$/<>:]"
+    r"|(?:pub(?:\(\w+\))?\s+)?(?:function|class|import|from|export|let|return|if|for|while|use|select|insert|update)\b(?:\s*\(|.*(?:\w\(|[{}=$<>]|::|;\s*$|:\s*$|:\s+(?:return|continue|break|pass|raise|yield|print|assert|del|throw)\b))"
+    r"|(?:import|from|use|export)\s+[.@]?[\w-]*/\S*(?:\s|$)|(?:let|export|class)\s+\w+\s*:|(?:update\s+\S+\s+set|insert\s+into\s+\S+\s+(?:values|select))\b|select\b.*\bfrom\s+\S+\s+(?:where|join|group|order|limit)\b|return\s+§$"
+    r"|[\w.\[\]]+\s*[-+*/]?=[^=].*[;)\]]?$|\||@\w+\(|\}|\{$)",
+    re.I,
+)
+#: Code whose own signs look like fields: commands of a shell, names taken from a module.
+_OWN_SIGNS = re.compile(r"^\s*(?:(?:cp|mv|echo|cd|sudo|curl|git|npm|pip|cargo|export|set)\b.*(?:\$|<[^<>]*>)|(?:import|export)\s+(?:type\s+)?(?:\w+\s*,\s*)?\{[^{}]*\}\s*(?:from\b|;|$))")
 
 _S = r"(?:^|[:\-–|]\s+|^[^\w]*(?:oops|sorry|we're sorry|désolé|oups|leider|hoppla|lo sentimos|¡?vaya)[!.:,]?\s+)"
 _HTTP = r"bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|payload too large|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out"
@@ -200,6 +208,11 @@ def segments(line: str) -> Iterator[tuple[str, bool]]:
             yield from ((p, False) for p in pieces if p)
 
 
+def codelike(line: str) -> bool:
+    """Whether a line is code by signs of its own; those of fields and unset values tell nothing."""
+    return bool(_OWN_SIGNS.match(line) or _CODELIKE.match(_DEFAULT.sub("§", FIELD.sub("§", line))))
+
+
 def template_of(segment: str) -> str:
     """A segment with marks for fields, numbers and ids: records of one template have the same."""
     return re.sub(r"\s+", " ", _MASK.sub("#", FIELD.sub("§", segment))).strip().lower()
@@ -234,7 +247,7 @@ def inspect(text: str | None) -> list[tuple[str, str, str]]:
             for kind in kinds:
                 if _LEXICON[kind].search(probe):
                     found.append((kind, template_of(bare), ""))
-            if not whole or not (signs or latin or "default" in hints) or _CODELIKE.match(bare):
+            if not whole or not (signs or latin or "default" in hints) or codelike(bare):
                 continue
             if signs:
                 found += _fields(bare)

@@ -18,6 +18,11 @@ CLEAN = [
     "| field | list<float> |", "fn load<T: Into<Name>>(value: T) -> Result<Name, Error> { todo(x) }", "TODO in comments are counted.", "export HOME=${HOME}/bin", "500 readers are moved by the ranker.", "The crawler marks pages whose only body is a request to enable JavaScript.",
 ]
 
+# Sentences that begin with a word of programming languages.
+CASES["field"] += ["If you have questions, contact {{support_email}}.", "For {{customer_name}}: your order is ready.", "Use <project name> to start.", "From {{sender_name}}, with thanks.", "If you have questions (or ideas), see https://x.org or mail {{support_email}}."]
+CASES["default"] += ["For undefined, due 00/00/0000: null"]
+CLEAN += ["import { Name } from \"x\"", "cd ${project_name}", "git clone <project name>", "if name is None: return None", "return {name}", "for (const name of names) use({name})", "update {table} set name = {name}", "let name: Option<Name>"]
+
 
 @pytest.mark.parametrize("kind", CASES)
 def test_cases(kind):
