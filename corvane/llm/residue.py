@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -164,6 +164,9 @@ _DEFAULT = re.compile(r"\[object Object\]|(?<![\w`'\"/.])(?:undefined|null|None|
 PAGE = 400
 _STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w.-])")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words joined as in names of variables; two blanks where a word was taken out.
+_JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])[a-z]+(?:[A-Z][a-z]+)+(?![\w./(-])")
+_GAP = re.compile(r"(?<=[A-Za-z:,])  (?=[A-Za-z,.])|(?<=[A-Za-z]) (?=[,!.](?:\s|$))")
 
 
 def name_parts(name: str) -> list[str]:
@@ -222,23 +225,31 @@ def inspect(text: str | None) -> list[tuple[str, str, str]]:
     """(kind, template, name) of what may be residue: fields, defaults, filler, error or scripts.
 
     A field comes with the name it shows; `field?` means that the name alone does not tell. `page?` is
-    a short text that may be an error page as a whole; its name is a hash of the text.
+    a text that may be an error page as a whole; its template is hashed, its name is a hash of the text.
     """
+    return [row for row in spotted(text) if row[0] != "slot?"]
+
+
+def spotted(text: str | None) -> list[tuple[str, str, str]]:
+    """What `inspect` gives and `slot?`: what stands before and behind a name, an unset value or a gap, with a tab between, and as its name the kind."""
     if not text:
         return []
     found = []
-    if len(text) <= PAGE and _STATUS.search(text) and "error" in _hints(text.lower()):
-        page = " / ".join(prose_lines(text))
-        if _STATUS.search(page):
-            found.append(("page?", template_of(page), hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
+    seen: set[str] = set()
+    lines = []
     for line in prose_lines(text):
         hints = _hints(line.lower())
+        seen |= hints
+        lines.append(line)
         signs = any(sign in line for sign in _FIELD_SIGNS)
         latin = sum(h[:6] == "latin:" for h in hints) >= 3
         kinds = [k for k in _LEXICON if k in hints]
         first = line.split(None, 4)[:4]
         if len(first) == 4 and first[0].isalpha() and len(set(first)) == 1:
             found.append(("filler", "one word again and again", ""))
+        if signs or "default" in hints or "  " in line or _JOINED.search(line):
+            for segment in finest(line):
+                found += _slots(segment)
         if not (signs or latin or kinds or "default" in hints):
             continue
         for segment, whole in segments(line):
@@ -258,9 +269,48 @@ def inspect(text: str | None) -> list[tuple[str, str, str]]:
                 hits = sum(w in LATIN and len(w) > 2 for w in words)
                 if hits >= 4 and hits >= 0.7 * len(words):
                     found.append(("filler", "latin", ""))
+    if len(text) <= PAGE and _STATUS.search(text) and "error" in _hints(text.lower()):
+        page = " / ".join(lines)
+        if _STATUS.search(page):
+            found.append(("page?", template_of(page), hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
     return list(dict.fromkeys(found))
 
 
+def finest(line: str) -> Iterator[str]:
+    """The sentences of a line, or its parts where they have only one, without quotes and code."""
+    for part in _TAG.split(line) if "<" in line else (line,):
+        part = _LEAD.sub("", part).strip()
+        for piece in _SENTENCE.split(part) if part else ():
+            bare = _QUOTE.sub(" § ", piece) if '"' in piece or "“" in piece else piece
+            if bare and not codelike(bare):
+                yield bare
+
+
+def aligned_form(segment: str) -> tuple[str, str]:
+    """A segment as it is compared (signs, numbers and ids masked, in lower case) and as it reads; both have the same words."""
+    raw = " ".join(FIELD.sub("§", segment).split())
+    return _MASK.sub("#", raw).lower(), raw
+
+
+def _slots(segment: str) -> Iterator[tuple[str, str, str]]:
+    """What stands around each place that names, defaults or nothing fill."""
+    places = [(m.start(), m.end(), "default") for m in _DEFAULT.finditer(segment)]
+    for m in FIELD.finditer(segment):
+        name = next((g for g in m.groups() if g and g != m[0]), "")
+        if m["weak"] and not (m[0][0] == "<" and (segment[m.start() - 1 : m.start()][-1:].isalnum() or name.lower() in _HTML)):
+            places.append((m.start(), m.end(), "field " + "".join(name_parts(name))))
+    if not places:
+        places = [(m.start(), m.end(), "field " + "".join(name_parts(m[0]))) for m in _JOINED.finditer(segment) if known_name(m[0])]
+        places += [(m.start() + 1, m.end() - 1, "default") for m in _GAP.finditer(segment)]
+    for start, end, what in places:
+        # A sign that is attached to the slot belongs to its surroundings.
+        behind = segment[end:]
+        before = aligned_form(segment[:start])[0]
+        after = aligned_form(behind)[0]
+        if len((before + " " + after).split()) >= 2 or before.endswith(":"):
+            yield "slot?", before + "\t" + after, what
+
+
 def _fields(bare: str) -> Iterator[tuple[str, str, str]]:
     template = None
     for m in FIELD.finditer(bare):
@@ -280,6 +330,11 @@ _HTML = frozenset("a abbr article aside audio b base blockquote body br button c
 
 def candidates(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """doc_id, kind, template, name of everything that may be residue. Null and blank texts give nothing."""
+    return _each(df, doc_id, text, spotted, ("kind", "template", "name"))
+
+
+def _each(df: DataFrame, doc_id: Column, text: Column, function: Callable[[str | None], Iterable[tuple]], names: tuple[str, ...]) -> DataFrame:
+    """doc_id and `names`, a row for each tuple of strings that `function` gives of a text."""
     kept = df.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     kind = kept.schema["doc_id"].dataType.simpleString()
 
@@ -287,13 +342,65 @@ def candidates(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(1)):
-                for row in inspect(value.as_py()):
+                for row in function(value.as_py()):
                     at.append(i)
                     rows.append(row)
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", "kind", "template", "name"])
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", *names])
+
+    return kept.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} string" for n in names))
+
 
-    return kept.mapInArrow(run, f"doc_id {kind}, kind string, template string, name string")
+def _readings(text: str | None) -> Iterator[tuple[str, str]]:
+    for line in prose_lines(text) if text else ():
+        yield from map(aligned_form, finest(line))
+
+
+#: Words that fill a slot at most; longer text between two pieces that recur is no value.
+FILL_WORDS = 4
+
+
+def record_slots(slots: DataFrame, df: DataFrame, doc_id: Column, text: Column, least_records: int = 3) -> DataFrame:
+    """Of `slots` (template) those that records fill: what stands before and behind stands in at least `least_records` other texts
+    around differing values, most of which are names, numbers or addresses.
+
+    All sentences of the corpus are aligned by equality: of ends that a slot has on one side, by the whole end; of slots with both, by
+    two words of each, after which the ends are compared.
+    """
+    ends = slots.select("template", F.split("template", "\t")[0].alias("before"), F.split("template", "\t")[1].alias("after")).distinct()
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    edge = lambda tokens, first: F.array_join(F.slice(tokens, 1, 2) if first else F.slice(tokens, F.greatest(F.size(tokens) - 1, F.lit(1)), 2), " ")
+    n = lambda tokens: F.least(F.size(tokens), F.lit(2))
+    ends = ends.withColumn("p", words("before")).withColumn("q", words("after"))
+    # The sign that follows a slot is attached to its last word, so the first word behind may be a part of one: it isn't compared by itself.
+    both = F.xxhash64(F.concat(n("p").cast("string"), F.when(F.size("q") > 2, 2).otherwise(1).cast("string")), edge(F.col("p"), True), F.when(F.size("q") > 2, edge(F.col("q"), False)).otherwise(F.element_at("q", -1)))
+    alone = (F.size("q") == 0) | ((F.size("q") == 1) & F.col("after").rlike(r"^[,.!?;:]+$"))
+    key = F.when(alone, F.xxhash64(F.lit("p"), "before")).when(F.size("p") == 0, F.xxhash64(F.lit("q"), F.regexp_replace("after", r"^[,.!?;:]+\s*", ""))).otherwise(both)
+    keyed = ends.select("template", "before", "after", key.alias("key"))
+    read = _each(df, doc_id, text, _readings, ("low", "raw")).withColumn("w", F.split("low", " "))
+    size = F.size("w")
+    some = lambda make: [F.when(size > k, make(k)) for k in range(1, FILL_WORDS + 1)]
+    front = some(lambda k: F.xxhash64(F.lit("p"), F.array_join(F.slice("w", 1, size - k), " ")))
+    rear = some(lambda k: F.xxhash64(F.lit("q"), F.array_join(F.slice("w", k + 1, size), " ")))
+    middle = [F.when(size >= a + c + 1, F.xxhash64(F.lit(f"{a}{c}"), F.array_join(F.slice("w", 1, a), " "), F.array_join(F.slice("w", size - c + 1, c), " "))) for a in (1, 2) for c in (1, 2)]
+    exploded = read.select("doc_id", "low", "raw", F.explode(F.array_distinct(F.array_compact(F.array(*front, *rear, *middle)))).alias("key"))
+    met = lookup_join(exploded, keyed, ["key"], salt_on=["low"]).where("startswith(low, before) and endswith(low, after)")
+    fill = F.trim(F.array_join(F.slice(F.split("raw", " "), F.when(F.col("before") == "", 1).otherwise(F.size(F.split("before", " ")) + 1), F.greatest(size_of("raw") - size_of("before") - F.when(F.regexp_replace("after", r"^[,.!?;:]+\s*", "") == "", 0).otherwise(size_of(F.regexp_replace("after", r"^[,.!?;:]+\s*", ""))), F.lit(0))), " "))
+    filled = met.select("template", "doc_id", F.regexp_replace(fill, r"[,.!?;:]+$", "").alias("fill"))
+    # Names of variables, unset values and fields fill a slot too, but are no values.
+    plain = filled.where(F.col("fill").rlike(r"[\p{L}\d]") & ~F.col("fill").contains("§") & ~F.col("fill").rlike(_DEFAULT_FILL) & ~F.col("fill").rlike(r"^[A-Za-z]+(_[A-Za-z]+)+$|^[a-z]+([A-Z][a-z]+)+$") & (size_of("fill") <= FILL_WORDS))
+    value = F.col("fill").rlike(r"^\p{Lu}|\d|@|://").cast("int")
+    counted = plain.groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"), F.approx_count_distinct("fill").alias("fills"), F.avg(value).alias("values"))
+    return counted.where((F.col("texts") >= least_records) & (F.col("fills") > 1) & (F.col("values") > 0.5)).select("template")
+
+
+def size_of(column: Column | str) -> Column:
+    """Words of a text with single blanks."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
+
+
+_DEFAULT_FILL = r"^(undefined|null|None|NaN|nil)$"
 
 
 def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int = 3) -> DataFrame:
@@ -303,24 +410,29 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     scripts (a demand for scripts, cookies or a check of the browser). Fields whose look alone does not
     tell are settled over the corpus: the name must stand in a slot of a template that at least
     `least_records` texts share and that is filled differently among them, or be written as an unmistakable
-    field elsewhere in as many texts. Code, inline or fenced, and quoted text are left aside.
+    field elsewhere in as many texts. Single unset values, names and gaps count where as many other texts fill their
+    place with values (`record_slots`). Code, inline or fenced, and quoted text are left aside.
     Null, empty and blank texts are no cases; neither are rows without id. Repeated rows count once.
     """
-    spotted = candidates(df, doc_id, text)
-    # What was spotted is a small part of the corpus and is read several times, the texts only once.
-    once = materialise(spotted.distinct())
+    # What was spotted is a small part of the corpus and is read several times, the texts once, and once more where slots are to be aligned.
+    once = materialise(candidates(df, doc_id, text).distinct())
+    gaps = once.where("kind = 'slot?'")
+    held = gaps.limit(0).select("doc_id", F.col("name").alias("what"))
+    if not gaps.isEmpty():
+        held = materialise(lookup_join(gaps, record_slots(gaps.select("template"), df, doc_id, text, least_records), ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.col("name").alias("what")))
     fields = once.where("kind in ('field', 'field?') and name <> ''")
     # Slots of aligned records: one template, several texts, more than one filling.
     slots = fields.groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"), F.min("name").alias("a"), F.max("name").alias("b")).where((F.col("texts") >= least_records) & (F.col("a") != F.col("b"))).select("template")
     in_slots = lookup_join(fields, slots, ["template"], "left_semi", salt_on=["doc_id"]).select("name")
     elsewhere = fields.where("kind = 'field'").groupBy("name").agg(F.approx_count_distinct("doc_id").alias("texts")).where(F.col("texts") >= least_records).select("name")
-    names = in_slots.unionByName(elsewhere).distinct()
+    aligned = held.where("what like 'field %'").select(F.substring_index("what", " ", -1).alias("name"))
+    names = in_slots.unionByName(elsewhere).unionByName(aligned).distinct()
     settled = lookup_join(fields.where("kind = 'field?'"), names, ["name"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("field").alias("kind"))
     # Whole pages of one template, several of them with different texts.
     pages = once.where("kind = 'page?'")
     repeated = pages.groupBy("template").agg(F.approx_count_distinct("name").alias("texts")).where(F.col("texts") >= least_records).select("template")
     whole = lookup_join(pages, repeated, ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("error").alias("kind"))
-    sure = once.where("kind not in ('field?', 'page?')").select("doc_id", "kind")
+    sure = once.where("kind not in ('field?', 'page?', 'slot?')").select("doc_id", "kind").unionByName(held.select("doc_id", F.substring_index("what", " ", 1).alias("kind")))
     return sure.unionByName(settled).unionByName(whole).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
