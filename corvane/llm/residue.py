@@ -135,6 +135,9 @@ def _automaton():
     for kind, words in TRIGGERS.items():
         for w in words:
             kinds.setdefault(w, set()).add(kind)
+    for i, words in enumerate(PAGE_TRIGGERS):
+        for w in words:
+            kinds.setdefault(w, set()).add(f"page:{i}")
     for w in _DEFAULT_SIGNS:
         kinds.setdefault(w, set()).add("default")
     for w in LATIN:
@@ -160,9 +163,30 @@ def _hints(low: str) -> set[str]:
 
 _APOLOGY = re.compile(r"^(?:oops|sorry|we're sorry|we are sorry|désolée?|oups|leider|entschuldigung|hoppla|lo sentimos|¡?vaya)\s*[!.:,]\s*", re.I)
 _DEFAULT = re.compile(r"\[object Object\]|(?<![\w`'\"/.])(?:undefined|null|None|NaN|nil)(?![\w`'\"(])|NaN/NaN|00/00/0000")
-#: Characters up to which a text with a status number may be an error page as a whole.
+#: Characters up to which a text with a status number and a word of error sayings may be an error page as a whole; longer ones need what `PAGE_SIGNS` has.
 PAGE = 400
-_STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w.-])")
+#: What error and block pages say somewhere, by kind; two kinds, or one and a status number, are evidence for a page that recurs.
+PAGE_SIGNS = (
+    r"\b(?:access|request|connection|page|site|session|visit|address|account|zugriff|anfrage|verbindung|accès|requête|acceso|solicitud)\b[^.!?/]{0,60}\b(?:denied|blocked|refused|forbidden|expired|timed out|unavailable|rejected|interrupted|reset|restricted|suspended|not found|verweigert|blockiert|gesperrt|abgelaufen|refusée?|bloquée?|interdite?|denegad[oa]|bloquead[oa])\b",
+    r"\b(?:unusual|suspicious|automated|malicious) (?:traffic|activity|requests?|behaviou?r)\b|\bungewöhnliche[nr]? (?:datenverkehr|aktivität)|\btrafic inhabituel|\btráfico inusual",
+    r"\b(?:ray|request|incident|reference|event|support|error|trace|correlation|session|vorgangs|anfrage) ?-?(?:id|code|nummer)\b\s*[:#=]|\bcorrelation id\b",
+    r"\b(?:protected by|uses?|triggered|by) (?:an? |our |the |its )?(?:\w+ )?(?:security (?:service|solution|system|rules?|policy|check)|firewall)\b|\bprotect (?:itself|our \w+|the \w+) (?:from|against)\b",
+    r"\btry(?:ing)? again\b|\breload (?:the|this) page\b|\bcome back later\b|\bversuchen sie es\b[^.]{0,30}\berneut\b|\bréessayer\b|\binténtelo de nuevo\b",
+    r"\b(?:contact|email|notify|tell|inform) (?:the|your|our|this) (?:\w+ ){0,2}(?:owner|administrators?|webmaster|support|help ?desk)\b",
+    r"\b(?:temporarily|currently) (?:unavailable|down|offline|out of service|unable)\b|\bwent wrong\b|\binternal server error\b|\bunexpected error\b|\b(?:could not|cannot|unable to) (?:be )?(?:process|complete|fulfil|serve|display|load)",
+)
+_PAGE_SIGNS = tuple(re.compile(p, re.I) for p in PAGE_SIGNS)
+# Pieces of text, in lower case, of which each of these kinds has one.
+PAGE_TRIGGERS = (
+    ("denied", "blocked", "refused", "forbidden", "expired", "timed out", "unavailable", "rejected", "interrupted", "reset", "restricted", "suspended", "not found", "verweigert", "blockiert", "gesperrt", "abgelaufen", "refusé", "bloqu", "interdit", "denegad"),
+    ("unusual", "suspicious", "automated", "malicious", "ungewöhnliche", "inhabituel", "inusual"),
+    ("id:", "id :", "id #", "id#", "id=", "id =", "code:", "code :", "code #", "code#", "code=", "code =", "nummer", "correlation id"),
+    ("security", "firewall", "protect"),
+    ("again", "reload", "come back", "erneut", "réessayer", "de nuevo"),
+    ("owner", "administrator", "webmaster", "support", "help desk", "helpdesk"),
+    ("temporarily", "currently", "went wrong", "server error", "unexpected error", "could not", "cannot", "unable to"),
+)
+_STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w-]|\.\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words joined as in names of variables; two blanks where a word was taken out.
 _JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])[a-z]+(?:[A-Z][a-z]+)+(?![\w./(-])")
@@ -225,7 +249,8 @@ def inspect(text: str | None) -> list[tuple[str, str, str]]:
     """(kind, template, name) of what may be residue: fields, defaults, filler, error or scripts.
 
     A field comes with the name it shows; `field?` means that the name alone does not tell. `page?` is
-    a text that may be an error page as a whole; its template is hashed, its name is a hash of the text.
+    a text that may be an error page as a whole; its template is hashed, its name is a hash of the text, or
+    empty if the page itself says so.
     """
     return [row for row in spotted(text) if row[0] != "slot?"]
 
@@ -269,10 +294,21 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
                 hits = sum(w in LATIN and len(w) > 2 for w in words)
                 if hits >= 4 and hits >= 0.7 * len(words):
                     found.append(("filler", "latin", ""))
-    if len(text) <= PAGE and _STATUS.search(text) and "error" in _hints(text.lower()):
+    likely = sum(h[:5] == "page:" for h in seen)
+    status = bool(_STATUS.search(text))
+    short = status and len(text) <= PAGE and "error" in _hints(text.lower())
+    if short or likely + status >= 2:
         page = " / ".join(lines)
-        if _STATUS.search(page):
-            found.append(("page?", template_of(page), hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
+        template = hashlib.md5(template_of(page).encode("utf-8", "replace")).hexdigest()
+        if short and _STATUS.search(page):
+            found.append(("page?", template, hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
+        signs = [bool(r.search(page)) for r in _PAGE_SIGNS]
+        if sum(signs) + bool(_STATUS.search(page)) >= 2 and any(signs):
+            # How often the page says so, against its sentences.
+            pieces = [p for line in lines for p in finest(line)]
+            said = sum(any(r.search(x) for r in _PAGE_SIGNS) for x in pieces)
+            if 4 * said >= len(pieces):
+                found.append(("page?", template, ""))
     return list(dict.fromkeys(found))
 
 
@@ -428,9 +464,11 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     aligned = held.where("what like 'field %'").select(F.substring_index("what", " ", -1).alias("name"))
     names = in_slots.unionByName(elsewhere).unionByName(aligned).distinct()
     settled = lookup_join(fields.where("kind = 'field?'"), names, ["name"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("field").alias("kind"))
-    # Whole pages of one template, several of them with different texts.
+    # Whole pages of one template: several with different texts, or several in all where the page says that it is one.
     pages = once.where("kind = 'page?'")
-    repeated = pages.groupBy("template").agg(F.approx_count_distinct("name").alias("texts")).where(F.col("texts") >= least_records).select("template")
+    numbered = pages.where("name <> ''").groupBy("template").agg(F.approx_count_distinct("name").alias("texts"))
+    said = pages.where("name = ''").groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"))
+    repeated = numbered.unionByName(said).where(F.col("texts") >= least_records).select("template").distinct()
     whole = lookup_join(pages, repeated, ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.lit("error").alias("kind"))
     sure = once.where("kind not in ('field?', 'page?', 'slot?')").select("doc_id", "kind").unionByName(held.select("doc_id", F.substring_index("what", " ", 1).alias("kind")))
     return sure.unionByName(settled).unionByName(whole).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

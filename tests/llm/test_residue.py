@@ -63,3 +63,15 @@ def test_filled_records_show_the_slots(spark, rows):
     data += [(20 + i, f"The result is {w}.") for i, w in enumerate(("null", "empty", "correct", "sorted", "whole"))] + [(30, "Nobody fills undefined here."), (31, "Some {quxquux} alone.")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(find_residue(df, F.col("doc_id"), F.col("text"))) == [(11, ["default"]), (12, ["default"]), (13, ["field"]), (14, ["default"]), (15, ["field"]), (16, ["default"])]
+
+
+def test_long_pages_and_pages_without_a_number_recur(spark, rows):
+    about = "The gate of the hall keeps a list of visitors for its own peace. "
+    block = "Blorp has stopped this visit as suspicious activity came from your network. " + about * 2 + "Tell the site owner and name the line below. Blorp ray id: {}. "
+    long = "Gate 503. Your visit was interrupted by gate {}. " + "The visit stays interrupted until the gate opens. " * 9
+    data = [(i, block.format(f"7d8f9{i}")) for i in range(3)] + [(10 + i, long.format(i)) for i in range(3)] + [(20 + i, block.format("77") + "Same.") for i in range(3)]
+    data += [(30, "Single: " + block.format("1")), *((40 + i, about * 9 + "A request may be rejected; try again with 500 readers.") for i in range(4)), *((50 + i, "Permission is hereby granted in connection with the software.") for i in range(4))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert len(long) > 400
+    got = rows(find_residue(df, F.col("doc_id"), F.col("text")), "doc_id")
+    assert got == sorted([(i,) for i in (0, 1, 2, 10, 11, 12, 20, 21, 22)], key=repr)
