@@ -113,11 +113,11 @@ TRIGGERS = {
     "error": (
         "request", "authori", "payment", "forbidden", "found", "not allowed", "not acceptable", "conflict", "gone", "payload", "too many", "server error", "implemented", "gateway", "unavailable", "http", "error", "status", "fehler", "erreur", "statut",
         "be loaded", "be displayed", "be reached", "be completed", "be processed", "exist", "was moved", "been moved", "removed", "deleted", "blocked", "been disabled", "was disabled", "quota", "timed out", "time-out", "timeout", "expired", "to sign in", "not available", "permission", "have access", "went wrong", "unexpected",
-        "introuvable", "disponible", "indisponible", "maintenance", "too long", "connection", "try again", "retry", "keeps happening", "start page", "home page", "réessayer", "accueil", "später", "startseite", "de nuevo", "inicio", "a été", "expiré", "n'a pas", "bloquée", "accès", "trop de", "une erreur", "vous n'avez",
+        "introuvable", "disponible", "indisponible", "maintenance", "too long", "connection", "try again", "retry", "keeps happening", "start page", "home page", "startpage", "homepage", "sign in", "réessayer", "accueil", "später", "startseite", "de nuevo", "inicio", "a été", "expiré", "n'a pas", "bloquée", "accès", "trop de", "une erreur", "vous n'avez",
         "wurde nicht", "blockiert", "verschoben", "gelöscht", "entfernt", "konnte nicht", "nicht verfügbar", "nicht erreichbar", "abgelaufen", "zugriff", "zu viele", "serverfehler",
         "no se", "encontr", "caducado", "expirado", "ha sido", "fue ", "acceso", "demasiadas", "se ha", "見つかりません", "拒否", "サーバーエラー", "お探し",
     ),
-    "scripts": ("script", "cookie", "active content", "aktive inhalte", "contenu actif", "contenido activo", "for this site", "browser", "robot", "human", "captcha", "security check", "loading...", "skript", "navigateur", "navegador", "クッキー", "ロボット"),
+    "scripts": ("script", "cookie", "active content", "aktive inhalte", "contenu actif", "contenido activo", "for this site", "site connection", "browser", "robot", "human", "captcha", "security check", "loading...", "skript", "navigateur", "navegador", "クッキー", "ロボット"),
     "filler": (
         "fill the page", "sample text", "text here", "text goes here", "own text", "body copy", "replace this", "replace me", "description", "here", "untitled", "coming soon", "to come", "tbd", "todo", "tba", "fixme", "xxx", "dummy", "placeholder", "filler", "??", "fill in", "title", "heading", "headline", "tagline", "translation", "texto", "texte", "blindtext", "mustertext", "beispieltext", "hier", "テキスト", "missing string", "to be ", "(write", "(describe", "(add", "(insert", "____", "__/__", "invalid date", "dear ", "hello ", "hi ", "hallo ", "bonjour ", "hola ", " by  on ", "bla bla", "asdf",
     ),
@@ -267,7 +267,7 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
         seen |= hints
         lines.append(line)
         signs = any(sign in line for sign in _FIELD_SIGNS)
-        latin = sum(h[:6] == "latin:" for h in hints) >= 3
+        latin = sum(h[:6] == "latin:" for h in hints) >= 3 or {"latin:lorem", "latin:ipsum"} <= hints
         kinds = [k for k in _LEXICON if k in hints]
         first = line.split(None, 4)[:4]
         if len(first) == 4 and first[0].isalpha() and len(set(first)) == 1:
@@ -283,17 +283,16 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
             for kind in kinds:
                 if _LEXICON[kind].search(probe):
                     found.append((kind, template_of(bare), ""))
-            if not whole or not (signs or latin or "default" in hints) or codelike(bare):
+            if not (whole and (signs or "default" in hints)) and not latin or codelike(bare):
+                continue
+            if latin and _latin(bare):
+                found.append(("filler", "latin", ""))
+            if not whole:
                 continue
             if signs:
                 found += _fields(bare)
             if "default" in hints and (len(_DEFAULT.findall(bare)) >= 2 or "[object Object]" in bare or "NaN/NaN" in bare):
                 found.append(("default", template_of(bare), ""))
-            if latin:
-                words = _WORD.findall(bare.lower())
-                hits = sum(w in LATIN and len(w) > 2 for w in words)
-                if hits >= 4 and hits >= 0.7 * len(words):
-                    found.append(("filler", "latin", ""))
     likely = sum(h[:5] == "page:" for h in seen)
     status = bool(_STATUS.search(text))
     short = status and len(text) <= PAGE and "error" in _hints(text.lower())
@@ -312,6 +311,13 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
     return list(dict.fromkeys(found))
 
 
+def _latin(segment: str) -> bool:
+    """Whether a segment is filler of Latin words; fewer of them do where it begins as the filler does."""
+    words = _WORD.findall(segment.lower())
+    hits = sum(w in LATIN and len(w) > 2 for w in words)
+    return (hits >= 4 or words[:2] == ["lorem", "ipsum"]) and hits >= 0.7 * len(words)
+
+
 def finest(line: str) -> Iterator[str]:
     """The sentences of a line, or its parts where they have only one, without quotes and code."""
     for part in _TAG.split(line) if "<" in line else (line,):

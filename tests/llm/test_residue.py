@@ -1,7 +1,11 @@
 """Residue against hand-written cases and their look-alikes."""
 
+import re
+import re._parser as parser
+
 import pytest
 
+from corvane.llm import residue
 from corvane.llm.residue import find_residue, inspect, without_residue
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ CLEAN = [
 
 # Sentences that begin with a word of programming languages.
 CASES["field"] += ["If you have questions, contact {{support_email}}.", "For {{customer_name}}: your order is ready.", "Use <project name> to start.", "From {{sender_name}}, with thanks.", "If you have questions (or ideas), see https://x.org or mail {{support_email}}."]
+CASES["filler"] += ["Lorem ipsum", "Lorem ipsum dolor", "The hall is open on Monday and has a key for every guest of the house. Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Lorem ipsum dolor sit amet. The hall is open on Monday and has a key for every guest of the house."]
+CASES["error"] += ["Sign in to continue.", "Go back to the homepage."]
+CLEAN += ["Lorem ipsum is what our fixture fills the page with.", "The word lorem ipsum stands in the test."]
 CASES["default"] += ["For undefined, due 00/00/0000: null"]
 CLEAN += ["import { Name } from \"x\"", "cd ${project_name}", "git clone <project name>", "if name is None: return None", "return {name}", "for (const name of names) use({name})", "update {table} set name = {name}", "let name: Option<Name>"]
 
@@ -75,3 +82,41 @@ def test_long_pages_and_pages_without_a_number_recur(spark, rows):
     assert len(long) > 400
     got = rows(find_residue(df, F.col("doc_id"), F.col("text")), "doc_id")
     assert got == sorted([(i,) for i in (0, 1, 2, 10, 11, 12, 20, 21, 22)], key=repr)
+
+
+def _examples(pattern):
+    """Shortest texts of a parsed pattern: the first of every choice, then each other choice once."""
+    out = [""]
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                some = [chr(arg)]
+            case "NOT_LITERAL":
+                some = [" "]
+            case "IN" if "NEGATE" in str(arg):
+                some = [" "]
+            case "IN":
+                some = [next((chr(a) for o, a in arg if str(o) == "LITERAL"), "5" if "DIGIT" in str(arg) else " " if "SPACE" in str(arg) else "q")]
+            case "SUBPATTERN":
+                some = _examples(arg[3])
+            case "BRANCH":
+                some = [x for branch in arg[1] for x in _examples(branch)]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                some = [x * max(arg[0], 1) for x in _examples(arg[2])] + ([""] if not arg[0] else [])
+            case _:
+                some = [""]
+        out = [out[0] + x for x in some] + [x + some[0] for x in out[1:]]
+    return out
+
+
+def test_every_saying_has_a_trigger():
+    sayings = {"error": residue.ERROR_SAYINGS, "scripts": residue.SCRIPT_SAYINGS, "filler": residue.FILLER_SAYINGS}
+    tried = 0
+    for kind, patterns in sayings.items():
+        for pattern in patterns:
+            met = [x for x in _examples(parser.parse(pattern, re.I)) if re.search(pattern, x, re.I)]
+            assert met, pattern
+            tried += len(met)
+            for text in met:
+                assert kind in residue._hints(text.lower()), text
+    assert tried > 500
