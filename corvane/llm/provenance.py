@@ -41,7 +41,11 @@ HEADER = r"(?i)(@generated\b|\bcode generated\b.{0,80}\bdo not edit\b|\bauto-?ge
 BIG = 1_000_000
 #: Of several classes the last counts.
 CLASSES = ("data", "generated", "minified", "vendored")
+#: Lines behind the leading comments in which a header may stand.
 HEAD_LINES = 12
+# How lines of comments begin; what opens and closes comments of several lines.
+COMMENT_SIGNS = ("//", "#", "--", ";", "%", "*", "<?", "<!--", "/*", "(*", "{-", "\"\"\"", "'''")
+COMMENT_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ("(*", "*)"), ("{-", "-}"), ("\"\"\"", "\"\"\""), ("'''", "'''"))
 
 
 def with_path_class(df: DataFrame, path: str, name: str) -> DataFrame:
@@ -66,17 +70,48 @@ def with_path_class(df: DataFrame, path: str, name: str) -> DataFrame:
 def text_class(text: Column, path: Column) -> Column:
     """generated by its header, minified by its layout, or null, told by the whole text.
 
-    A header stands in the first lines. A text is squeezed if a script or style sheet has lines of
+    A header stands in the comments that begin the file, however long, or in the first lines behind them. A text is squeezed if a script or style sheet has lines of
     500 characters on average, hardly a blank and names of one letter everywhere.
     """
-    head = F.array_join(F.slice(F.split(text, r"\r\n|\n|\r|;", HEAD_LINES + 1), 1, HEAD_LINES), "\n")
     size = F.length(text)
     lines = size - F.length(F.translate(text, "\n\r", "")) + 1
     blanks = size - F.length(F.translate(text, " \t", ""))
     script = F.lower(path).rlike(r"\.(js|mjs|cjs|css|ts)$")
     single = F.regexp_count(text, F.lit(r"\b[a-zA-Z]\b"))
     squeezed = script & (size > 500) & (size / lines >= 500) & (blanks * 12 < size) & (single * 40 > size)
-    return F.when(head.rlike(HEADER), "generated").when(squeezed, "minified")
+    return F.when(_may_have_header(text) & _head(text).rlike(HEADER), "generated").when(squeezed, "minified")
+
+
+def _may_have_header(text: Column) -> Column:
+    """Whether words of `HEADER` stand anywhere; few texts have any."""
+    low = F.lower(text)
+    out = low.contains("generated")
+    for words in ("file was written", "file is written", "file was produced", "file is produced"):
+        out = out | low.contains(words)
+    return out
+
+
+def _head(text: Column) -> Column:
+    """The comments and blank lines that begin a text and `HEAD_LINES` lines more. It is told line by line: a pattern over a long block would exhaust the stack."""
+    lines = F.split(text, r"\r\n|\n|\r")
+
+    def step(state: Column, raw: Column) -> Column:
+        line = F.trim(F.translate(raw, "\t\ufeff", " "))
+        comment = line == ""
+        for sign in COMMENT_SIGNS:
+            comment = comment | line.startswith(sign)
+        opened, closed = F.lit(0), F.lit(False)
+        for i, (start, end) in enumerate(COMMENT_BLOCKS, 1):
+            opened = F.when(line.startswith(start) & ~F.substring(line, len(start) + 1, 1_000_000).contains(end), i).otherwise(opened)
+            closed = closed | ((state["block"] == i) & line.contains(end))
+        inside = state["block"] > 0
+        going = state["going"] & (inside | comment)
+        block = F.when(inside & ~closed, state["block"]).when(inside, 0).otherwise(opened)
+        return F.struct(going.alias("going"), block.cast("int").alias("block"), (state["n"] + going.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(True).alias("going"), F.lit(0).alias("block"), F.lit(0).alias("n"))
+    leading = F.aggregate(lines, start, step, lambda state: state["n"])
+    return F.array_join(F.slice(lines, F.lit(1), leading + HEAD_LINES), "\n")
 
 
 def merkle_folders(files: DataFrame, max_depth: int = 64) -> DataFrame:

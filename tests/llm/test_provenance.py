@@ -60,3 +60,14 @@ def test_foreign_files(spark, rows):
     empty = files(spark)
     assert foreign_files(empty, snaps, texts).count() == 0
     assert foreign_files(files(spark, *data), snaps.limit(0), texts.limit(0)).count() > 0
+
+
+def test_headers_below_licences(spark):
+    licence = [f"Line {i} of a licence; it goes on; and on." for i in range(40)]
+    slashes, block = "\n".join("// " + x for x in licence), "/*\n" + "\n".join("  " + x for x in licence) + "\n*/"
+    made = "// Code generated by xgen 3. DO NOT EDIT."
+    code = "\n".join(f"a{i} = {i}" for i in range(20))
+    data = [(slashes + "\n\n" + made + "\nx", "generated"), (block + "\n" + made + "\nx", "generated"), (block + "\r\n\r\npackage x\r\n" + made, "generated"), ("a;" * 20 + " /* @generated */", "generated")]
+    data += [("# x\n" * 50_000 + made, "generated"), (block + "\n" + code + "\n" + made, None), (slashes + "\n" + code + "\nt = '" + made + "'", None), (block, None)]
+    df = spark.createDataFrame(data, "text string, want string").withColumn("got", text_class(F.col("text"), F.lit("a.go")))
+    assert [r.got for r in df.collect()] == [x[1] for x in data]
