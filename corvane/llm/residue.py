@@ -272,9 +272,11 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
         first = line.split(None, 4)[:4]
         if len(first) == 4 and first[0].isalpha() and len(set(first)) == 1:
             found.append(("filler", "one word again and again", ""))
-        if signs or "default" in hints or "  " in line or _JOINED.search(line):
+        # Where code was taken out of a line, its gaps are ours.
+        gaps = bool(_GAP.search(line)) and line in text
+        if signs or "default" in hints or gaps or _JOINED.search(line):
             for segment in finest(line):
-                found += _slots(segment)
+                found += _slots(segment, gaps)
         if not (signs or latin or kinds or "default" in hints):
             continue
         for segment, whole in segments(line):
@@ -334,7 +336,7 @@ def aligned_form(segment: str) -> tuple[str, str]:
     return _MASK.sub("#", raw).lower(), raw
 
 
-def _slots(segment: str) -> Iterator[tuple[str, str, str]]:
+def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
     """What stands around each place that names, defaults or nothing fill."""
     places = [(m.start(), m.end(), "default") for m in _DEFAULT.finditer(segment)]
     for m in FIELD.finditer(segment):
@@ -343,7 +345,7 @@ def _slots(segment: str) -> Iterator[tuple[str, str, str]]:
             places.append((m.start(), m.end(), "field " + "".join(name_parts(name))))
     if not places:
         places = [(m.start(), m.end(), "field " + "".join(name_parts(m[0]))) for m in _JOINED.finditer(segment) if known_name(m[0])]
-        places += [(m.start() + 1, m.end() - 1, "default") for m in _GAP.finditer(segment)]
+        places += [(m.start() + 1, m.end() - 1, "default") for m in _GAP.finditer(segment) if gaps]
     for start, end, what in places:
         # A sign that is attached to the slot belongs to its surroundings.
         behind = segment[end:]
@@ -461,7 +463,9 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     gaps = once.where("kind = 'slot?'")
     held = gaps.limit(0).select("doc_id", F.col("name").alias("what"))
     if not gaps.isEmpty():
-        held = materialise(lookup_join(gaps, record_slots(gaps.select("template"), df, doc_id, text, least_records), ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.col("name").alias("what")))
+        # The lookup is counted and joined: without a copy all texts would be read for each.
+        slots_met = materialise(record_slots(gaps.select("template"), df, doc_id, text, least_records))
+        held = materialise(lookup_join(gaps, slots_met, ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.col("name").alias("what")))
     fields = once.where("kind in ('field', 'field?') and name <> ''")
     # Slots of aligned records: one template, several texts, more than one filling.
     slots = fields.groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"), F.min("name").alias("a"), F.max("name").alias("b")).where((F.col("texts") >= least_records) & (F.col("a") != F.col("b"))).select("template")

@@ -67,7 +67,7 @@ def test_filled_records_show_the_slots(spark, rows):
     # Records with values align with those that kept a name, an unset value or a gap.
     data = [(i, f"Posted by {n} on {i} March.\n\nOwner: {n}\n\nDear {n}, your parcel number {i * 7} waits.\n\nAsk {n} for the key of the hall.\n\n{n}, come in.") for i, n in enumerate(("Anna", "Bertil Berg", "Chloe", "Dmitri"), 1)]
     data += [(11, "Posted by undefined on 3 March."), (12, "Owner: null"), (13, "Dear {foobar}, your parcel number 12 waits."), (14, "Ask  for the key of the hall."), (15, "Dear first_name, your parcel number 4 waits."), (16, "undefined, come in.")]
-    data += [(20 + i, f"The result is {w}.") for i, w in enumerate(("null", "empty", "correct", "sorted", "whole"))] + [(30, "Nobody fills undefined here."), (31, "Some {quxquux} alone.")]
+    data += [(20 + i, f"The result is {w}.") for i, w in enumerate(("null", "empty", "correct", "sorted", "whole"))] + [(30, "Nobody fills undefined here."), (31, "Some {quxquux} alone."), (32, "Ask `x` for the key of the hall.")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(find_residue(df, F.col("doc_id"), F.col("text"))) == [(11, ["default"]), (12, ["default"]), (13, ["field"]), (14, ["default"]), (15, ["field"]), (16, ["default"])]
 
