@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows up to which a narrow lookup side may be broadcast. A row of keys and counters takes some
-#: 100 bytes, so this bounds a broadcast at about 20 MB. Beyond it `joins.lookup_join` shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as `measured` counts them) up to which a lookup side may be broadcast. Beyond either `joins.lookup_join` shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def get_session(app: str = "corvane", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -36,15 +40,23 @@ def get_session(app: str = "corvane", master: str | None = None, shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local folder is chosen.
+    Where that setting is absent a local folder serves a session whose executors are threads of this
+    process (tests, a laptop). Any other master raises: parts written to the executors' own disks would be lost.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isDefined():
-            return context.getCheckpointDir().get()
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "corvane-shared")
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    if not is_local(context.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "corvane-shared")
+
+
+def is_local(master: str) -> bool:
+    """Whether executors are threads of the driver's process."""
+    return master == "local" or master.startswith("local[")
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,10 +76,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _folders: set[str] = set()
+_open: list[list[str]] = []
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    """Results read these files lazily, so they go when the driver ends; a driver that is killed leaves them to the owner of the folder."""
+    """A driver that is killed leaves its files to the owner of the folder."""
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -75,11 +88,48 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes within are removed at the end, so results must be written or collected before.
+
+    Without it they go when the driver ends, as results read them lazily.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.pop():
+            _remove(spark, folder)
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+@dataclass(frozen=True)
+class Measured:
+    """What was written: rows and bytes (an upper bound if tasks were repeated)."""
+
+    rows: int
+    size: int
+
+
+def measured(df: DataFrame) -> Measured | None:
+    """Rows and bytes of a table that `materialise` gave, else None."""
+    return getattr(df, "_corvane_measured", None)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df`: write it to the shared folder as Parquet and read it back.
 
     The files outlive any executor. Used where a result feeds several later scans, so that it is
-    computed once; the session's temporary names keep runs apart.
+    computed once; the session's temporary names keep runs apart. Rows and bytes are counted on the way
+    (`measured`).
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
@@ -87,5 +137,13 @@ def materialise(df: DataFrame) -> DataFrame:
         _folders.add(folder)
         atexit.register(_remove, spark, folder)
     target = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    if _open:
+        _open[-1].append(target)
+    seen = Observation()
+    width = F.lit(16)
+    for f in df.schema.fields:
+        width = width + _width(F.col(f"`{f.name}`"), f.dataType)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).write.parquet(target)
+    out = spark.read.schema(df.schema).parquet(target)
+    out._corvane_measured = Measured(seen.get["rows"], seen.get["size"])
+    return out

@@ -2,15 +2,17 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
 
 from corvane.functions import jsontext
-from corvane.joins import lookup_join
+from corvane.joins import is_small, lookup_join
 from corvane.operators.nested import assemble_objects, assemble_values, nested_objects, nested_values, records, shred, stripe_record
 from corvane.operators.references import orphan_references, orphan_report
 from corvane.operators.snapshots import snapshot_changes, snapshot_series, validity_intervals
+from corvane.session import intermediate_tables, is_local, materialise, measured, shared_dir
 from corvane.tables import norm_key, norm_path
 from pyspark.sql import functions as F
 
@@ -181,3 +183,42 @@ def test_orphans(spark, rows):
     assert rows(orphan_report(got)) == [("t", "2025-01", 3, 4), ("t", "2025-02", 1, 1)]
     assert orphan_references(kids, parents.limit(0), *args).count() == 8
     assert orphan_references(kids.limit(0), parents, *args).count() == 0
+
+
+def test_lookup_beyond_a_broadcast(spark, rows):
+    # A third of the rows has one key and some have none; the lookup side has 300 000 rows.
+    big = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 11 != 0, F.col("id") % 300_000).alias("k"), "id")
+    small = spark.range(300_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = lookup_join(big, small, ["k"], how, salt_on=["id"], hot_rows=20_000)
+        total = lambda df: df.agg(F.count(F.lit(1)), F.sum("id"), F.count("k")).first()
+        assert total(joined) == total(big.join(small, ["k"], how)), how
+
+
+def test_tables_are_measured(spark):
+    wide = materialise(spark.createDataFrame([(1, "x" * 1000, ["y"])], "a int, b string, c array<string>"))
+    assert measured(wide).rows == 1 and 1000 < measured(wide).size < 2000
+    assert measured(materialise(wide.limit(0))).rows == 0
+    assert is_small(wide) and not is_small(wide, size=500) and not is_small(wide, rows=0) and not is_small(spark.range(1))
+    with intermediate_tables(spark):
+        within = materialise(spark.range(3))
+        assert within.count() == 3
+        folder = within.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    stub = type("Session", (), {"conf": {}, "sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        shared_dir(stub)
+    stub.conf["spark.checkpoint.dir"] = "hdfs://x/y"
+    assert shared_dir(stub) == "hdfs://x/y"
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[3,2,1000]")
