@@ -124,8 +124,8 @@ def measured(df: DataFrame) -> Measured | None:
     return getattr(df, "_corvane_measured", None)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df`: write it to the shared folder as Parquet and read it back.
+def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage of `df`: write it to the shared folder as Parquet, in folders of `by` if given, and read it back.
 
     The files outlive any executor. Used where a result feeds several later scans, so that it is
     computed once; the session's temporary names keep runs apart. Rows and bytes are counted on the way
@@ -143,7 +143,7 @@ def materialise(df: DataFrame) -> DataFrame:
     width = F.lit(16)
     for f in df.schema.fields:
         width = width + _width(F.col(f"`{f.name}`"), f.dataType)
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).write.parquet(target)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).write.partitionBy(*by or []).parquet(target)
     out = spark.read.schema(df.schema).parquet(target)
     out._corvane_measured = Measured(seen.get["rows"], seen.get["size"])
     return out
