@@ -145,11 +145,12 @@ def merkle_folders(files: DataFrame) -> DataFrame:
     h1, h2 = _pair(F.element_at(steps, -1), "d1", "d2")
     folder = F.array_join(F.slice(steps, 1, F.size(steps) - 1), "/")
     own = files.select("snapshot_id", "repository_id", folder.alias("folder"), (F.size(steps) - 1).alias("depth"), h1.alias("h1"), h2.alias("h2"), F.lit(1).cast("long").alias("files"), F.lit(1).cast("long").alias("direct"), "solid", "code", "first")
-    leaves = materialise(_folded(own), by=["depth"])
+    # Most folders hold few files, so folding these before they meet their sub-folders would shuffle nearly as much again.
+    leaves = materialise(own, by=["depth"])
     levels, carried = [], None
     for level in range(leaves.agg(F.max("depth")).first()[0] or 0, -1, -1):
         here = leaves.where(F.col("depth") == level).select(*leaves.columns)
-        nodes = materialise(_folded(here.unionByName(carried)) if carried is not None else here)
+        nodes = materialise(_folded(here.unionByName(carried) if carried is not None else here))
         h1, h2 = _pair("h1", "h2", "files")
         levels.append(nodes.withColumns({"h1": h1, "h2": h2}))
         up1, up2 = _pair(F.substring_index("folder", "/", -1), "h1", "h2", "files")
