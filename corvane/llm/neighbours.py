@@ -18,17 +18,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
-from corvane.session import materialise
+from corvane.session import materialise, measured
 
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """At most `sample` rows a group (model and dimensions), and `total_sample` rows of all groups, are taken to fit the cells; `lists` is the largest number of cells of a group."""
+    """Bounds of the index.
+
+    At most `sample` rows of a group (model and dimensions), and `total_sample` rows of all, are taken to the driver
+    to fit centroids, for the `groups` largest groups of more than `least_rows` rows; any other group is one list. A
+    group has a list for every `list_size` rows, up to a quarter of its sample (25 000 lists). Lists of
+    more than `block` rows are searched in blocks of holders and askers, each a task of its own; of more than `inner` holders
+    in a block lists are made anew within it, so that the number of lists grows with the data.
+    """
 
     sample: int = 100_000
     total_sample: int = 400_000
-    lists: int = 32_768
+    groups: int = 4_000
+    least_rows: int = 1_024
     list_size: int = 128
+    block: int = 32_768
+    inner: int = 8_192
     copies: int = 4
     copy_ratio: float = 1.15
     probes: int = 6
@@ -184,7 +194,7 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _assign(ids: np.ndarray, vectors: np.ndarray, graph: CentroidGraph, s: IndexSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _assign(vectors: np.ndarray, graph: CentroidGraph, s: IndexSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, role) of the lists each vector lies in (role 1), looks into (2) or both (3)."""
     near, cosines = graph.search(_unit(vectors).astype(np.float32), max(s.beam, s.copies, s.probes))
     reach = np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 1e-6
@@ -218,103 +228,167 @@ def _best(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, holds: np.ndar
             yield ids[row], member_ids[top[i][good]], got[i][good]
 
 
+def _search_list(ids: np.ndarray, vectors: np.ndarray, role: np.ndarray, k: int, least: float, s: IndexSettings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What `_best` gives of one list; a large one gets lists of its own first, so an asker may come several times."""
+    asks, holds = (role & 2) > 0, (role & 1) > 0
+    if not asks.any() or not holds.any():
+        return
+    if holds.sum() <= s.inner:
+        yield from _best(ids, vectors, asks, holds, k, least)
+        return
+    rng = np.random.default_rng(s.seed)
+    held = np.flatnonzero(holds)
+    sample = vectors[np.sort(rng.choice(held, min(len(held), s.sample), replace=False))]
+    graph = CentroidGraph(fit_centroids(_unit(sample).astype(np.float32), len(held) // s.list_size, s.seed), s.degree, s.seed)
+    row, cell, inner = _assign(vectors, graph, s)
+    inner &= role[row]
+    order = np.argsort(cell, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        some = row[part]
+        if (inner[part] & 1).any() and (inner[part] & 2).any():
+            yield from _best(ids[some], vectors[some], (inner[part] & 2) > 0, (inner[part] & 1) > 0, k, least)
+
+
+def _blocks(ids: np.ndarray, row: np.ndarray, cell: np.ndarray, role: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, cell, block, role): a list of p pieces has p * p blocks; holders go to a row of them, askers to a column."""
+    p = pieces[cell]
+    if (p == 1).all():
+        return row, cell, np.zeros(len(row), np.int32), role
+    mixed = ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mine = ((mixed >> np.uint64(33)) % p.astype(np.uint64)).astype(np.int64)
+    out: dict[str, list] = {"at": [], "block": [], "role": []}
+    for bit in (1, 2):
+        at = np.repeat(np.flatnonzero(role & bit), p[(role & bit) > 0])
+        each = np.arange(len(at)) - np.repeat(np.cumsum(p[(role & bit) > 0]) - p[(role & bit) > 0], p[(role & bit) > 0])
+        out["at"].append(at)
+        out["block"].append(mine[at] * p[at] + each if bit == 1 else each * p[at] + mine[at])
+        out["role"].append(np.full(len(at), bit, np.int8))
+    at, block, kind = (np.concatenate(out[c]) for c in ("at", "block", "role"))
+    # Where a vector holds and asks in the same block it is sent once.
+    order = np.lexsort((block, at))
+    at, block, kind = at[order], block[order], kind[order]
+    fresh = np.r_[True, (np.diff(at) != 0) | (np.diff(block) != 0)]
+    return row[at[fresh]], cell[at[fresh]], block[fresh].astype(np.int32), np.add.reduceat(kind, np.flatnonzero(fresh)).astype(np.int8)
+
+
+def direction(vector: Column) -> Column:
+    """The vector at length one, in millionths: whole numbers that vectors of one direction share, whatever their lengths."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.rint(x.cast("double") * 1e6 / length).cast("int"))
+
+
 def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embedding: Column, dimensions: Column, k: int = 5, min_cosine: float = -1.0, settings: IndexSettings = IndexSettings()) -> DataFrame:
     """The k most similar vectors of every usable vector: vec_id, neighbour_id, cosine, rank from 1.
 
     Compared are vectors of the same `group` and dimensions; cosines are rounded to 6 decimals, those
     below `min_cosine` are left out and on equal cosine the smaller id comes first. Unusable vectors
     (see `usable`), and rows without id, are left out. All
-    vectors are indexed and all are searched; the sample of `settings.sample` rows a group serves
+    vectors are indexed and all are searched; the bounded sample of `settings` serves
     only to place the centroids. The result is approximate: a neighbour is missed when
     it shares no list with the vector.
 
-    Of vectors that are equal in every element the k + 1 smallest ids go into the lists; any
-    others could be nobody's neighbour, and their own neighbours are those of their copies. So a group
-    of copies of any size costs no more than k + 1 rows in a list.
+    Of vectors of one direction (equal at length one to a millionth in every element, so that their cosines are 1) the
+    k + 1 smallest ids go into the lists, and the neighbours of the others are those of these. So a
+    group of copies of any size costs no more than k + 1 rows in a list. Others see the direction
+    by these k + 1, which may differ from the rest in the last decimal of a cosine.
     """
-    spark = df.sparkSession
+    spark, s = df.sparkSession, settings
     key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in group], dimensions.cast("string"))
-    good = df.where(usable(embedding, dimensions) & vec_id.isNotNull()).select(vec_id.cast("long").alias("id"), key.alias("grp"), embedding.cast("array<float>").alias("v"))
-    # Doubles too large for a float become infinite, so usability holds for what is kept.
-    good = good.withColumn("h1", F.xxhash64("grp", "v")).withColumn("h2", F.hash("v", "grp"))
+    # Usable is what a vector of floats can hold: larger numbers would become infinite.
+    floats = embedding.cast("array<float>")
+    good = df.where(usable(floats, dimensions) & vec_id.isNotNull()).select(vec_id.cast("long").alias("id"), key.alias("grp"), floats.alias("v"))
+    good = good.withColumn("g", F.xxhash64("grp"))
+    keyed = good.withColumn("way", direction(F.col("v"))).withColumn("h1", F.xxhash64("grp", "way")).withColumn("h2", F.hash("way", "grp"))
 
-    # Only the k + 2 smallest ids of each group of copies are shuffled: the rank filter is applied before the exchange too.
+    # Only the k + 2 smallest ids of each direction are shuffled: the rank filter is applied before the exchange too.
     by_copy = Window.partitionBy("h1", "h2").orderBy("id")
-    least = good.select("h1", "h2", "id").withColumn("rn", F.row_number().over(by_copy)).where(f"rn <= {k + 2}")
+    least = keyed.select("h1", "h2", "id").withColumn("rn", F.row_number().over(by_copy)).where(f"rn <= {k + 2}")
     copies = least.groupBy("h1", "h2").agg(F.max("rn").alias("n"), F.min("id").alias("first"), F.max(F.when(F.col("rn") <= k + 1, F.col("id"))).alias("last"))
-    many = copies.where(f"n > {k + 1}").drop("n")
-    many = materialise(many)
-    marked = lookup_join(good, many, ["h1", "h2"], "left", salt_on=["id"])
-    kept = marked.where("last is null or id <= last").select("id", "grp", "v")
-    others = marked.where("id > last").select("id", "first")
-
-    counts = {r.grp: r.n for r in good.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    graphs = _fit(good, counts, settings)
-    shared = spark.sparkContext.broadcast(graphs)
-    numbers = {g: i for i, g in enumerate(sorted(graphs))}
+    many = materialise(copies.where(f"n > {k + 1}").drop("n"))
+    folded = measured(many).rows > 0
+    marked = lookup_join(keyed, many, ["h1", "h2"], "left", salt_on=["id"]) if folded else None
+    kept = (marked.where("last is null or id <= last") if folded else good).select("id", "grp", "g", "v")
+
+    counts = materialise(good.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r.grp: r.n for r in counts.where(F.col("n") > s.least_rows).orderBy(F.col("n").desc(), "grp").limit(s.groups).collect()}
+    index = _fit(good, sizes, s)
+    shared = spark.sparkContext.broadcast(index)
+    # Groups without centroids are one list each; only if there are too many groups may such a list need blocks.
+    rest = counts.where(F.col("n") > s.block)
+    if rest.count() > sum(n > s.block for n in sizes.values()):
+        kept = lookup_join(kept, rest, ["grp"], "left", salt_on=["id"]).select("id", "grp", "g", "v", "n")
+    else:
+        kept = kept.withColumn("n", F.lit(None).cast("long"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), dtype=object)
-            all_ids = batch.column(0).to_numpy()
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for name in dict.fromkeys(names.tolist()):
                 where = np.flatnonzero(names == name)
-                vectors = _matrix(batch.column(2).take(pa.array(where)))
-                row, cell, role = _assign(all_ids[where], vectors, known[name], settings)
-                data = vectors.astype("<f4")[row]
-                width = data.shape[1] * 4
-                buffer = pa.py_buffer(data.tobytes())
+                vectors, ids = _matrix(batch.column(3).take(pa.array(where))), all_ids[where]
+                if name in known:
+                    graph, pieces = known[name]
+                    row, cell, role = _assign(vectors, graph, s)
+                else:
+                    row, cell, role = np.arange(len(ids)), np.zeros(len(ids), np.int32), np.full(len(ids), 3, np.int8)
+                    pieces = np.array([-(-(batch.column(4)[int(where[0])].as_py() or 1) // s.block)])
+                row, cell, block, role = _blocks(ids, row, cell, role, pieces)
+                width = vectors.shape[1] * 4
+                buffer = pa.py_buffer(vectors.astype("<f4")[row].tobytes())
                 offsets = pa.py_buffer(np.arange(0, (len(row) + 1) * width, width, dtype=np.int32).tobytes())
                 packed = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, buffer])
-                cells = (np.int64(numbers[name]) << 32) + cell.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(role, pa.int8()), pa.array(all_ids[where][row]), packed], names=["cell", "role", "id", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(where[row])), pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(role, pa.int8()), pa.array(ids[row]), packed], names=["g", "cell", "block", "role", "id", "v"])
 
-    placed = kept.mapInArrow(place, "cell long, role tinyint, id long, v binary")
+    placed = kept.mapInArrow(place, "g long, cell int, block int, role tinyint, id long, v binary")
 
     def search(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
         blob = b"".join(table.column("v").to_pylist())
-        vectors = np.frombuffer(blob, "<f4").reshape(len(ids), -1)
-        found = list(_best(ids, vectors, (role & 2) > 0, (role & 1) > 0, k + 1, min_cosine)) if (role & 1).any() else []
+        found = list(_search_list(ids, np.frombuffer(blob, "<f4").reshape(len(ids), -1), role, k + 1, min_cosine, s))
         lists = pa.list_(pa.struct([("off", pa.int32()), ("id", pa.int64())]))
         near = [[{"off": int(o), "id": int(i)} for o, i in zip(np.rint(-c * 1e6), n)] for _, n, c in found]
         return pa.table({"id": pa.array([int(f[0]) for f in found], pa.int64()), "near": pa.array(near, lists)})
 
-    partial = placed.groupBy("cell").applyInArrow(search, "id long, near array<struct<off:int,id:bigint>>")
-    # A vector looked into few lists, so what is gathered here is bounded by probes times k + 1.
+    partial = placed.groupBy("g", "cell", "block").applyInArrow(search, "id long, near array<struct<off:int,id:bigint>>")
+    # A vector looked into few lists, so what is gathered here is bounded by probes times blocks times k + 1.
     merged = partial.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    if not many.isEmpty():
+    if folded:
         merged = materialise(merged)
         of_first = lookup_join(merged, many.select(F.col("first").alias("id")), ["id"], "left_semi", salt_on=["near"]).withColumnRenamed("id", "first")
-        of_copies = lookup_join(others, of_first, ["first"], salt_on=["id"])
+        of_copies = lookup_join(marked.where("id > last").select("id", "first"), of_first, ["first"], salt_on=["id"])
         merged = merged.unionByName(of_copies.select("id", "near"))
     own = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
     return merged.select("id", F.posexplode(own).alias("pos", "n")).select(F.col("id").alias("vec_id"), F.col("n.id").alias("neighbour_id"), (F.col("n.off") / -1e6).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
-def _fit(good: DataFrame, counts: dict[str, int], s: IndexSettings) -> dict[str, CentroidGraph]:
-    """A centroid graph for each group, of a sample chosen by hash and bounded as IndexSettings says; a group has 64 rows of it at least."""
-    most = max(64, min(s.sample, s.total_sample // max(1, len(counts))))
-    wanted = None
-    for name, n in counts.items():
-        share = F.lit(min(1.0, 0.9 * most / n))
-        part = (F.col("grp") == name) & ((F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1_000_000)) / 1e6) < share)
-        wanted = part if wanted is None else wanted | part
-    if wanted is None:
+def _fit(good: DataFrame, sizes: dict[str, int], s: IndexSettings) -> dict[str, tuple[CentroidGraph, np.ndarray]]:
+    """For each group a centroid graph and the pieces each list is cut into, of a sample chosen by hash and bounded as IndexSettings says."""
+    if not sizes:
         return {}
-    table = good.where(wanted).select("grp", "v").toArrow()
+    most = max(1, min(s.sample, s.total_sample // len(sizes)))
+    shares = good.sparkSession.createDataFrame([(name, min(1.0, 0.9 * most / n)) for name, n in sizes.items()], "grp string, share double")
+    chosen = good.join(F.broadcast(shares), "grp").where((F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1_000_000)) / 1e6) < F.col("share"))
+    table = chosen.select("grp", "v").toArrow()
     names = np.array(table.column("grp").to_pylist(), dtype=object)
-    graphs = {}
-    for name, n in counts.items():
+    out = {}
+    for name, n in sizes.items():
         where = np.flatnonzero(names == name)[:most]
         if not len(where):
-            sample = _matrix(good.where(F.col("grp") == name).select("v").limit(1000).toArrow().column("v").combine_chunks())
-        else:
-            sample = _matrix(table.column("v").take(pa.array(where)).combine_chunks())
-        lists = min(s.lists, max(1, len(sample) // 4), max(1, round(n / s.list_size)))
-        graphs[name] = CentroidGraph(fit_centroids(_unit(sample).astype(np.float32), lists, s.seed), s.degree, s.seed)
-    return graphs
+            continue  # one list
+        sample = _matrix(table.column("v").take(pa.array(where)).combine_chunks())
+        lists = min(max(1, len(sample) // 4), max(1, round(n / s.list_size)))
+        graph = CentroidGraph(fit_centroids(_unit(sample).astype(np.float32), lists, s.seed), s.degree, s.seed)
+        pieces = np.ones(len(graph.centroids), np.int64)
+        if n > s.block // 4:
+            # Rows of a list, told by some of the sample and by the mean.
+            some = sample[np.random.default_rng(s.seed).permutation(len(sample))[:10_000]]
+            row, cell, _ = _assign(some, graph, s)
+            rows = n / len(some) * np.maximum(np.bincount(cell, minlength=len(pieces)), len(row) / len(pieces))
+            pieces = np.maximum(1, np.ceil(rows / s.block)).astype(np.int64)
+        out[name] = graph, pieces
+    return out
 
 
 def similar_pairs(nearest: DataFrame) -> DataFrame:

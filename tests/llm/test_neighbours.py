@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corvane.llm.neighbours import CentroidGraph, IndexSettings, fit_centroids, nearest_vectors, similar_pairs
+from corvane.llm.neighbours import CentroidGraph, IndexSettings, _blocks, direction, fit_centroids, nearest_vectors, similar_pairs
 from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, model string, embedding array<float>, dimensions int, cosine string"
@@ -65,6 +65,44 @@ def test_ties_copies_groups_and_unusable(spark, rows):
     assert as_lists(find(spark, [(1, "m", [1e30, 1e30], 2, "x"), (2, "m", [1e-30, 1e-30], 2, "x")])) == {1: [2], 2: [1]}
 
 
+def test_one_direction_of_many_lengths(spark):
+    # A fifth of the rows points one way, with lengths of all sizes; none of it but six rows reaches a list.
+    rng = np.random.default_rng(4)
+    way = rng.normal(size=16)
+    centres = rng.normal(size=(50, 16))
+    points = [way * rng.uniform(0.1, 40) if i % 5 == 0 else centres[i % 50] + 0.25 * rng.normal(size=16) for i in range(2500)]
+    vectors = {i: np.asarray(v, np.float32).tolist() for i, v in enumerate(points)}
+    settings = IndexSettings(list_size=64)
+    got = as_lists(find(spark, [(i, "m", v, 16, "x") for i, v in vectors.items()], settings=settings))
+    want = brute(vectors, 5, -1.0)
+    assert all(got[i] == want[i] for i in vectors if i % 5 == 0)
+    assert np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in vectors]) > 0.93
+    ways = spark.createDataFrame([(v,) for i, v in vectors.items() if i % 5 == 0], "v array<float>").select(direction(F.col("v")).alias("w")).distinct().count()
+    assert ways <= 16
+
+
+def test_large_lists_are_cut_and_refined(spark):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([c + 0.3 * rng.normal(size=(50, 12)) for c in rng.normal(size=(24, 12))])
+    vectors = {i: v.astype(np.float32).tolist() for i, v in enumerate(points)}
+    data, want = [(i, "m", v, 12, "x") for i, v in vectors.items()], brute(vectors, 5, -1.0)
+    recall = lambda got: np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in vectors])
+    # Blocks compare every holder of a list with every asker, so without centroids the result is exact.
+    assert as_lists(find(spark, data, settings=IndexSettings(groups=0, least_rows=100, block=300))) == want
+    assert recall(as_lists(find(spark, data, settings=IndexSettings(least_rows=100, list_size=300, block=100)))) > 0.97
+    assert recall(as_lists(find(spark, data, settings=IndexSettings(groups=0, inner=200, list_size=64)))) > 0.9
+
+
+def test_blocks_hold_every_pair_once():
+    ids, pieces = np.arange(50, dtype=np.int64), np.array([1, 3, 2])
+    cell, role = np.arange(50) % 3, (1 + np.arange(50) % 3).astype(np.int8)
+    row, cells, block, part = _blocks(ids, np.arange(50), cell, role, pieces)
+    assert len(set(zip(row, cells, block))) == len(row)
+    met = [(a, h) for b in set(zip(cells, block)) for a in row[(cells == b[0]) & (block == b[1]) & ((part & 2) > 0)] for h in row[(cells == b[0]) & (block == b[1]) & ((part & 1) > 0)]]
+    want = {(a, h) for a in range(50) for h in range(50) if cell[a] == cell[h] and role[a] & 2 and role[h] & 1}
+    assert len(met) == len(want) and set(met) == want
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     data = rng.normal(size=(4000, 16)).astype(np.float32)
