@@ -1,9 +1,10 @@
 """Template residue and error-page text.
 
-Every text is cut into segments (sentences and lines outside code). A segment that may be residue is
-reduced to its template: marks stand for slots, numbers and ids. Templates are aligned over the
-whole corpus: where records of one template differ in a slot, what fills that slot is a value or
-a variable name; names met in slots of templates are then known wherever else they stand.
+Every text is cut into segments (sentences and lines outside code). A place that may be a slot (a name, an unset
+value, a gap) is known by the words around it. All segments of the corpus are aligned with these places: where records
+with the same surroundings are filled with values, the place is a slot, and what fills it here is residue. Whole texts
+are reduced to templates, numbers and ids masked: those that recur and say what error pages say are such pages. Words
+by which fields, filler and messages are told alone are seeds beside this.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,33 +165,42 @@ def _hints(low: str) -> set[str]:
 
 _APOLOGY = re.compile(r"^(?:oops|sorry|we're sorry|we are sorry|désolée?|oups|leider|entschuldigung|hoppla|lo sentimos|¡?vaya)\s*[!.:,]\s*", re.I)
 _DEFAULT = re.compile(r"\[object Object\]|(?<![\w`'\"/.])(?:undefined|null|None|NaN|nil)(?![\w`'\"(])|NaN/NaN|00/00/0000")
-#: Characters up to which a text with a status number and a word of error sayings may be an error page as a whole; longer ones need what `PAGE_SIGNS` has.
-PAGE = 400
+# What a page is asked for, what became of it and regrets, by language (en, fr, de, es, it, pt, nl, ru, ja).
+_THING = r"(?:access|request|connection|page|website|site|session|visit|address|account|resource|document|file|server|service|link|zugriff|anfrage|verbindung|webseite|seite|sitzung|adresse|konto|datei|dokument|dienst|accès|requête|connexion|ressource|fichier|serveur|lien|acceso|solicitud|conexión|página|sitio|sesión|recurso|archivo|servidor|enlace|accesso|richiesta|connessione|pagina|sito|sessione|risorsa|acesso|pedido|conexão|sessão|toegang|verzoek|verbinding|sessie|bestand|страница|доступ|запрос|ページ|アクセス|リクエスト)"
+_FAILED = r"(?:denied|blocked|refused|forbidden|expired|timed out|unavailable|rejected|interrupted|reset|restricted|suspended|not found|no longer (?:exists|available)|(?:has|have|was|were) (?:been )?(?:moved|removed|deleted)|verweigert|blockiert|gesperrt|abgelaufen|umgezogen|verschoben|gelöscht|entfernt|unterbrochen|nicht (?:gefunden|verfügbar|erreichbar)|refusée?|bloquée?|interdite?|expirée?|introuvable|indisponible|supprimée?|déplacée?|denegad[oa]|bloquead[oa]|caducad[oa]|expirad[oa]|eliminad[oa]|no (?:encontrad[oa]|disponible)|negat[oa]|bloccat[oa]|scadut[oa]|rimoss[oa]|spostat[oa]|non (?:trovat[oa]|disponibile)|negad[oa]|removid[oa]|não (?:encontrad[oa]|disponível)|geweigerd|geblokkeerd|verlopen|verplaatst|verwijderd|niet (?:gevonden|beschikbaar)|не найден[ао]?|запрещ[её]н[ао]?|見つかりません|拒否|できません)"
+_REGRET = r"\b(?:sorry|apologi[sz]e|apologies|unfortunately|oops|leider|entschuldig\w+|désolés?|malheureusement|lo sentimos|lamentablemente|purtroppo|spiacenti|infelizmente|desculpe|helaas|к сожалению)\b|申し訳"
 #: What error and block pages say somewhere, by kind; two kinds, or one and a status number, are evidence for a page that recurs.
 PAGE_SIGNS = (
-    r"\b(?:access|request|connection|page|site|session|visit|address|account|zugriff|anfrage|verbindung|accès|requête|acceso|solicitud)\b[^.!?/]{0,60}\b(?:denied|blocked|refused|forbidden|expired|timed out|unavailable|rejected|interrupted|reset|restricted|suspended|not found|verweigert|blockiert|gesperrt|abgelaufen|refusée?|bloquée?|interdite?|denegad[oa]|bloquead[oa])\b",
-    r"\b(?:unusual|suspicious|automated|malicious) (?:traffic|activity|requests?|behaviou?r)\b|\bungewöhnliche[nr]? (?:datenverkehr|aktivität)|\btrafic inhabituel|\btráfico inusual",
-    r"\b(?:ray|request|incident|reference|event|support|error|trace|correlation|session|vorgangs|anfrage) ?-?(?:id|code|nummer)\b\s*[:#=]|\bcorrelation id\b",
+    rf"(?<!\w){_THING}(?!\w)[^.!?/]{{0,60}}(?<!\w){_FAILED}(?!\w)|ページ[^。]{{0,20}}(?:見つかりません|できません)|アクセス[^。]{{0,20}}拒否",
+    r"\b(?:unusual|suspicious|automated|malicious) (?:traffic|activity|requests?|behaviou?r)\b|\bungewöhnliche[nr]? (?:datenverkehr|aktivität)|\btrafic inhabituel|\btráfico inusual|\btraffico (?:insolito|anomalo)",
+    r"\b(?:ray|request|incident|reference|event|support|error|trace|correlation|session|vorgangs|anfrage) ?-?(?:id|code|nummer|number)\b\s*[:#=]|\bcorrelation id\b|\b(?:incident|reference|referenz|référence|referencia|riferimento|referência|vorgang|ticket)\b\s*[:#=]?\s*#?(?=[\w-]*\d)[\w-]+",
     r"\b(?:protected by|uses?|triggered|by) (?:an? |our |the |its )?(?:\w+ )?(?:security (?:service|solution|system|rules?|policy|check)|firewall)\b|\bprotect (?:itself|our \w+|the \w+) (?:from|against)\b",
-    r"\btry(?:ing)? again\b|\breload (?:the|this) page\b|\bcome back later\b|\bversuchen sie es\b[^.]{0,30}\berneut\b|\bréessayer\b|\binténtelo de nuevo\b",
+    r"\btry(?:ing)? again\b|\breload (?:the|this) page\b|\bcome back later\b|\bversuchen sie es\b[^.]{0,30}\berneut\b|\bréessayer\b|\binténtelo de nuevo\b|\briprova(?:re)?\b|\btente novamente\b|\bprobeer het\b[^.]{0,20}\bopnieuw\b",
     r"\b(?:contact|email|notify|tell|inform) (?:the|your|our|this) (?:\w+ ){0,2}(?:owner|administrators?|webmaster|support|help ?desk)\b",
     r"\b(?:temporarily|currently) (?:unavailable|down|offline|out of service|unable)\b|\bwent wrong\b|\binternal server error\b|\bunexpected error\b|\b(?:could not|cannot|unable to) (?:be )?(?:process|complete|fulfil|serve|display|load)",
+    _REGRET,
 )
 _PAGE_SIGNS = tuple(re.compile(p, re.I) for p in PAGE_SIGNS)
 # Pieces of text, in lower case, of which each of these kinds has one.
 PAGE_TRIGGERS = (
-    ("denied", "blocked", "refused", "forbidden", "expired", "timed out", "unavailable", "rejected", "interrupted", "reset", "restricted", "suspended", "not found", "verweigert", "blockiert", "gesperrt", "abgelaufen", "refusé", "bloqu", "interdit", "denegad"),
-    ("unusual", "suspicious", "automated", "malicious", "ungewöhnliche", "inhabituel", "inusual"),
-    ("id:", "id :", "id #", "id#", "id=", "id =", "code:", "code :", "code #", "code#", "code=", "code =", "nummer", "correlation id"),
+    ("denied", "blocked", "refused", "forbidden", "expired", "timed out", "unavailable", "rejected", "interrupted", "reset", "restricted", "suspended", "not found", "no longer", "moved", "removed", "deleted", "verweigert", "blockiert", "gesperrt", "abgelaufen", "umgezogen", "verschoben", "gelöscht", "entfernt", "unterbrochen", "nicht gefunden", "nicht verfügbar", "nicht erreichbar", "refusé", "bloqu", "interdit", "expiré", "introuvable", "indisponible", "supprimé", "déplacé", "denegad", "caducad", "expirad", "eliminad", "no encontrad", "no disponible", "negat", "bloccat", "scadut", "rimoss", "spostat", "non trovat", "non disponibile", "negad", "removid", "não encontrad", "não disponível", "geweigerd", "geblokkeerd", "verlopen", "verplaatst", "verwijderd", "niet gevonden", "niet beschikbaar", "не найден", "запрещ", "見つかりません", "拒否", "できません"),
+    ("unusual", "suspicious", "automated", "malicious", "ungewöhnliche", "inhabituel", "inusual", "insolito", "anomalo"),
+    ("id:", "id :", "id #", "id#", "id=", "id =", "code:", "code :", "code #", "code#", "code=", "code =", "number:", "number :", "number #", "number#", "number=", "number =", "nummer", "correlation id", "incident", "reference", "referen", "référence", "riferimento", "referência", "vorgang", "ticket"),
     ("security", "firewall", "protect"),
-    ("again", "reload", "come back", "erneut", "réessayer", "de nuevo"),
+    ("again", "reload", "come back", "erneut", "réessayer", "de nuevo", "riprova", "novamente", "opnieuw"),
     ("owner", "administrator", "webmaster", "support", "help desk", "helpdesk"),
     ("temporarily", "currently", "went wrong", "server error", "unexpected error", "could not", "cannot", "unable to"),
+    ("sorry", "apolog", "unfortunately", "oops", "leider", "entschuldig", "désolé", "malheureusement", "lo sentimos", "lamentablemente", "purtroppo", "spiacenti", "infelizmente", "desculpe", "helaas", "к сожалению", "申し訳"),
 )
 _STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w-]|\.\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words joined as in names of variables; two blanks where a word was taken out.
-_JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])[a-z]+(?:[A-Z][a-z]+)+(?![\w./(-])")
+_JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+)+(?![\w./(-])")
+#: Words and single signs; `record_slots` cuts alike.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}\p{C}]"
+_TOKEN = regex.compile(TOKEN)
+_HUMP = re.compile(r"[a-z][A-Z]|[A-Za-z]_[A-Za-z]")
+_GAP_SIGNS = ("  ", " ,", " !", " .")
 _GAP = re.compile(r"(?<=[A-Za-z:,])  (?=[A-Za-z,.])|(?<=[A-Za-z]) (?=[,!.](?:\s|$))")
 
 
@@ -273,8 +284,8 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
         if len(first) == 4 and first[0].isalpha() and len(set(first)) == 1:
             found.append(("filler", "one word again and again", ""))
         # Where code was taken out of a line, its gaps are ours.
-        gaps = bool(_GAP.search(line)) and line in text
-        if signs or "default" in hints or gaps or _JOINED.search(line):
+        gaps = any(x in line for x in _GAP_SIGNS) and bool(_GAP.search(line)) and line in text
+        if signs or "default" in hints or gaps or (_HUMP.search(line) and _JOINED.search(line)):
             for segment in finest(line):
                 found += _slots(segment, gaps)
         if not (signs or latin or kinds or "default" in hints):
@@ -297,17 +308,20 @@ def spotted(text: str | None) -> list[tuple[str, str, str]]:
                 found.append(("default", template_of(bare), ""))
     likely = sum(h[:5] == "page:" for h in seen)
     status = bool(_STATUS.search(text))
-    short = status and len(text) <= PAGE and "error" in _hints(text.lower())
-    if short or likely + status >= 2:
+    if status and "error" in seen or likely + status >= 2:
         page = " / ".join(lines)
         template = hashlib.md5(template_of(page).encode("utf-8", "replace")).hexdigest()
-        if short and _STATUS.search(page):
-            found.append(("page?", template, hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
-        signs = [bool(r.search(page)) for r in _PAGE_SIGNS]
-        if sum(signs) + bool(_STATUS.search(page)) >= 2 and any(signs):
-            # How often the page says so, against its sentences.
-            pieces = [p for line in lines for p in finest(line)]
-            said = sum(any(r.search(x) for r in _PAGE_SIGNS) for x in pieces)
+        status = bool(_STATUS.search(page))
+        may = [r for i, r in enumerate(_PAGE_SIGNS) if f"page:{i}" in seen]
+        kinds = sum(bool(r.search(page)) for r in may)
+        # How often the text says so, against its sentences: a page that is more than its message tells it once in four of them.
+        pieces = [p for line in lines for p in finest(line)]
+        if status and "error" in seen:
+            said = sum(bool(_STATUS.search(x)) or "error" in _hints(x.lower()) for x in pieces)
+            if 4 * said >= len(pieces):
+                found.append(("page?", template, hashlib.md5(text.encode("utf-8", "replace")).hexdigest()))
+        if kinds and kinds + status >= 2:
+            said = sum(any(r.search(x) for r in may) for x in pieces)
             if 4 * said >= len(pieces):
                 found.append(("page?", template, ""))
     return list(dict.fromkeys(found))
@@ -330,14 +344,15 @@ def finest(line: str) -> Iterator[str]:
                 yield bare
 
 
-def aligned_form(segment: str) -> tuple[str, str]:
-    """A segment as it is compared (signs, numbers and ids masked, in lower case) and as it reads; both have the same words."""
-    raw = " ".join(FIELD.sub("§", segment).split())
-    return _MASK.sub("#", raw).lower(), raw
+def words_of(segment: str) -> list[str]:
+    """Words and signs of a segment in lower case, numbers masked, without signs that lead it."""
+    found = [("#" if any(c.isdigit() for c in w) else w) for w in _TOKEN.findall(segment.lower())]
+    first = next((i for i, w in enumerate(found) if w[0].isalnum() or w[0] == "#" or w[0] == "_"), len(found))
+    return found[first:]
 
 
 def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
-    """What stands around each place that names, defaults or nothing fill."""
+    """What stands around each place that names, defaults or nothing fill: two words before, two behind and all others."""
     places = [(m.start(), m.end(), "default") for m in _DEFAULT.finditer(segment)]
     for m in FIELD.finditer(segment):
         name = next((g for g in m.groups() if g and g != m[0]), "")
@@ -347,12 +362,13 @@ def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
         places = [(m.start(), m.end(), "field " + "".join(name_parts(m[0]))) for m in _JOINED.finditer(segment) if known_name(m[0])]
         places += [(m.start() + 1, m.end() - 1, "default") for m in _GAP.finditer(segment) if gaps]
     for start, end, what in places:
-        # A sign that is attached to the slot belongs to its surroundings.
-        behind = segment[end:]
-        before = aligned_form(segment[:start])[0]
-        after = aligned_form(behind)[0]
-        if len((before + " " + after).split()) >= 2 or before.endswith(":"):
-            yield "slot?", before + "\t" + after, what
+        before = words_of(FIELD.sub(" ", segment[:start]))
+        # Signs behind a slot are no marks of a list.
+        after = words_of("x " + FIELD.sub(" ", segment[end:]))[1:]
+        told = [w for w in before + after if w[0].isalpha()]
+        if len(told) >= 2 or before[-1:] == [":"]:
+            left, right = (["^", "^", *before])[-2:], ([*after, "$", "$"])[:2]
+            yield "slot?", "\t".join((" ".join(left), " ".join(right), " ".join(dict.fromkeys(before + after)))), what
 
 
 def _fields(bare: str) -> Iterator[tuple[str, str, str]]:
@@ -374,11 +390,6 @@ _HTML = frozenset("a abbr article aside audio b base blockquote body br button c
 
 def candidates(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """doc_id, kind, template, name of everything that may be residue. Null and blank texts give nothing."""
-    return _each(df, doc_id, text, spotted, ("kind", "template", "name"))
-
-
-def _each(df: DataFrame, doc_id: Column, text: Column, function: Callable[[str | None], Iterable[tuple]], names: tuple[str, ...]) -> DataFrame:
-    """doc_id and `names`, a row for each tuple of strings that `function` gives of a text."""
     kept = df.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     kind = kept.schema["doc_id"].dataType.simpleString()
 
@@ -386,64 +397,54 @@ def _each(df: DataFrame, doc_id: Column, text: Column, function: Callable[[str |
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(1)):
-                for row in function(value.as_py()):
+                for row in spotted(value.as_py()):
                     at.append(i)
                     rows.append(row)
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", *names])
-
-    return kept.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} string" for n in names))
+            columns = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", "kind", "template", "name"])
 
-
-def _readings(text: str | None) -> Iterator[tuple[str, str]]:
-    for line in prose_lines(text) if text else ():
-        yield from map(aligned_form, finest(line))
+    return kept.mapInArrow(run, f"doc_id {kind}, kind string, template string, name string")
 
 
 #: Words that fill a slot at most; longer text between two pieces that recur is no value.
 FILL_WORDS = 4
+#: Share of the words around a slot that an aligned record has too; the others are slots of their own.
+ALIKE = 0.6
 
 
 def record_slots(slots: DataFrame, df: DataFrame, doc_id: Column, text: Column, least_records: int = 3) -> DataFrame:
-    """Of `slots` (template) those that records fill: what stands before and behind stands in at least `least_records` other texts
-    around differing values, most of which are names, numbers or addresses.
+    """Of `slots` (template, as `_slots` gives it) those that records fill: at least `least_records` other texts have
+    differing values, mostly names, numbers or addresses, between the same two words before and behind, and
+    `ALIKE` of the other words of the segment.
 
-    All sentences of the corpus are aligned by equality: of ends that a slot has on one side, by the whole end; of slots with both, by
-    two words of each, after which the ends are compared.
+    All segments of the corpus are compared, by equality. First the two words before each word are looked up
+    among those of the slots; where they are, the two words behind 1 to `FILL_WORDS` words are too.
     """
-    ends = slots.select("template", F.split("template", "\t")[0].alias("before"), F.split("template", "\t")[1].alias("after")).distinct()
-    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-    edge = lambda tokens, first: F.array_join(F.slice(tokens, 1, 2) if first else F.slice(tokens, F.greatest(F.size(tokens) - 1, F.lit(1)), 2), " ")
-    n = lambda tokens: F.least(F.size(tokens), F.lit(2))
-    ends = ends.withColumn("p", words("before")).withColumn("q", words("after"))
-    # The sign that follows a slot is attached to its last word, so the first word behind may be a part of one: it isn't compared by itself.
-    both = F.xxhash64(F.concat(n("p").cast("string"), F.when(F.size("q") > 2, 2).otherwise(1).cast("string")), edge(F.col("p"), True), F.when(F.size("q") > 2, edge(F.col("q"), False)).otherwise(F.element_at("q", -1)))
-    alone = (F.size("q") == 0) | ((F.size("q") == 1) & F.col("after").rlike(r"^[,.!?;:]+$"))
-    key = F.when(alone, F.xxhash64(F.lit("p"), "before")).when(F.size("p") == 0, F.xxhash64(F.lit("q"), F.regexp_replace("after", r"^[,.!?;:]+\s*", ""))).otherwise(both)
-    keyed = ends.select("template", "before", "after", key.alias("key"))
-    read = _each(df, doc_id, text, _readings, ("low", "raw")).withColumn("w", F.split("low", " "))
-    size = F.size("w")
-    some = lambda make: [F.when(size > k, make(k)) for k in range(1, FILL_WORDS + 1)]
-    front = some(lambda k: F.xxhash64(F.lit("p"), F.array_join(F.slice("w", 1, size - k), " ")))
-    rear = some(lambda k: F.xxhash64(F.lit("q"), F.array_join(F.slice("w", k + 1, size), " ")))
-    middle = [F.when(size >= a + c + 1, F.xxhash64(F.lit(f"{a}{c}"), F.array_join(F.slice("w", 1, a), " "), F.array_join(F.slice("w", size - c + 1, c), " "))) for a in (1, 2) for c in (1, 2)]
-    exploded = read.select("doc_id", "low", "raw", F.explode(F.array_distinct(F.array_compact(F.array(*front, *rear, *middle)))).alias("key"))
-    met = lookup_join(exploded, keyed, ["key"], salt_on=["low"]).where("startswith(low, before) and endswith(low, after)")
-    fill = F.trim(F.array_join(F.slice(F.split("raw", " "), F.when(F.col("before") == "", 1).otherwise(F.size(F.split("before", " ")) + 1), F.greatest(size_of("raw") - size_of("before") - F.when(F.regexp_replace("after", r"^[,.!?;:]+\s*", "") == "", 0).otherwise(size_of(F.regexp_replace("after", r"^[,.!?;:]+\s*", ""))), F.lit(0))), " "))
-    filled = met.select("template", "doc_id", F.regexp_replace(fill, r"[,.!?;:]+$", "").alias("fill"))
+    part = F.split("template", "\t")
+    keyed = materialise(slots.select("template").distinct().select("template", part[0].alias("left"), part[1].alias("right"), F.split(part[2], " ").alias("others")))
+    segment = F.explode(F.split("text", r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|[\r\n\u000b\f\u0085\u2028\u2029]+"))
+    read = df.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null").select("doc_id", segment.alias("segment"))
+    read = read.select("doc_id", F.regexp_extract_all(F.regexp_replace("segment", r"^[^\p{L}\p{M}\p{N}_]+", ""), F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw").between(2, 1_000_000))
+    low = F.transform("raw", lambda w: F.when(w.rlike(r"\p{Nd}"), "#").otherwise(F.lower(w)))
+    at = lambda words, i: F.element_at(words, i)
+    marked = read.select("doc_id", "raw", F.concat(F.array(F.lit("^"), F.lit("^")), low, F.array(F.lit("$"), F.lit("$"))).alias("low"))
+    # A slot stands before word i; a segment ends with two marks.
+    places = marked.select("doc_id", "raw", "low", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("raw")), lambda i: F.concat_ws(" ", at(F.col("low"), i), at(F.col("low"), i + 1)))).alias("i", "left"))
+    met = lookup_join(places, keyed.select("left").distinct(), ["left"], "left_semi", salt_on=["doc_id", "i"])
+    behind = F.transform(F.sequence(F.lit(1), F.least(F.lit(FILL_WORDS), F.size("raw") - F.col("i"))), lambda n: F.struct(n.alias("n"), F.concat_ws(" ", at(F.col("low"), F.col("i") + n + 3), F.try_element_at(F.col("low"), F.col("i") + n + 4)).alias("right")))
+    ends = met.select("doc_id", "raw", "low", "i", "left", F.explode(behind).alias("b")).select("doc_id", "raw", "low", "i", "left", "b.n", "b.right")
+    # A segment that ends behind the slot shows one mark where nothing follows.
+    ends = ends.withColumn("right", F.when(F.col("i") + F.col("n") == F.size("raw"), "$ $").otherwise(F.col("right")))
+    same = lookup_join(ends, keyed, ["left", "right"], salt_on=["doc_id", "i"])
+    alike = same.where(F.size(F.array_intersect("others", "low")) >= ALIKE * F.size("others"))
+    filled = alike.select("template", "doc_id", F.array_join(F.slice("raw", F.col("i") + 1, F.col("n")), " ").alias("fill"))
     # Names of variables, unset values and fields fill a slot too, but are no values.
-    plain = filled.where(F.col("fill").rlike(r"[\p{L}\d]") & ~F.col("fill").contains("§") & ~F.col("fill").rlike(_DEFAULT_FILL) & ~F.col("fill").rlike(r"^[A-Za-z]+(_[A-Za-z]+)+$|^[a-z]+([A-Z][a-z]+)+$") & (size_of("fill") <= FILL_WORDS))
-    value = F.col("fill").rlike(r"^\p{Lu}|\d|@|://").cast("int")
+    plain = filled.where(F.col("fill").rlike(r"[\p{L}\p{N}]") & ~F.col("fill").rlike(r"[{}<>$%@\[\]]{1}\s*[A-Za-z_]") & ~F.col("fill").rlike(_DEFAULT_FILL) & ~F.col("fill").rlike(r"^[A-Za-z]+(_[A-Za-z]+)+$|^([a-z]+|[A-Z][a-z]+)([A-Z][a-z]+)+$"))
+    value = F.col("fill").rlike(r"^\p{Lu}|\p{Nd}|@|: / /").cast("int")
     counted = plain.groupBy("template").agg(F.approx_count_distinct("doc_id").alias("texts"), F.approx_count_distinct("fill").alias("fills"), F.avg(value).alias("values"))
     return counted.where((F.col("texts") >= least_records) & (F.col("fills") > 1) & (F.col("values") > 0.5)).select("template")
 
 
-def size_of(column: Column | str) -> Column:
-    """Words of a text with single blanks."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
-
-
 _DEFAULT_FILL = r"^(undefined|null|None|NaN|nil)$"
 
 
@@ -458,13 +459,12 @@ def find_residue(df: DataFrame, doc_id: Column, text: Column, least_records: int
     place with values (`record_slots`). Code, inline or fenced, and quoted text are left aside.
     Null, empty and blank texts are no cases; neither are rows without id. Repeated rows count once.
     """
-    # What was spotted is a small part of the corpus and is read several times, the texts once, and once more where slots are to be aligned.
+    # What was spotted is a small part of the corpus and is read several times; the texts are read once, and once more where places are to be aligned.
     once = materialise(candidates(df, doc_id, text).distinct())
     gaps = once.where("kind = 'slot?'")
     held = gaps.limit(0).select("doc_id", F.col("name").alias("what"))
     if not gaps.isEmpty():
-        # The lookup is counted and joined: without a copy all texts would be read for each.
-        slots_met = materialise(record_slots(gaps.select("template"), df, doc_id, text, least_records))
+        slots_met = record_slots(gaps.select("template"), df, doc_id, text, least_records)
         held = materialise(lookup_join(gaps, slots_met, ["template"], "left_semi", salt_on=["doc_id"]).select("doc_id", F.col("name").alias("what")))
     fields = once.where("kind in ('field', 'field?') and name <> ''")
     # Slots of aligned records: one template, several texts, more than one filling.
