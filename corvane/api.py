@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.intent import read_query
 from corvane.operators import paths, ranking, symbols, text
+from corvane.operators.surfaces import with_surfaces
 from corvane.tables import norm_path
 
 MAX_RESULTS = 200
@@ -54,30 +55,33 @@ class Corpus:
         key = F.concat_ws(":", "repository_id", "path")
         return text.lines(self.files.select(key.alias("file"), "text"), ["file"], "text")
 
-    def search_symbol(self, query: str, limit: int = 50) -> DataFrame:
-        found = symbols.symbol_rank(symbols.symbols(self._code()), query)
-        return found.orderBy("rank", "file", "start_line").limit(min(limit, MAX_RESULTS))
+    def _spans(self) -> DataFrame:
+        return symbols.symbols(self.files.select(F.concat_ws(":", "repository_id", "path").alias("file"), "text"))
+
+    def search_symbol(self, query: str, limit: int = 50, path_class: str | None = None) -> DataFrame:
+        """file, name, canonical, kind, start_line, rank; `path_class` (runtime, support or project) restricts the files."""
+        corpus = self if path_class is None else Corpus(with_surfaces(self.files, "path_class").where(F.col("path_class") == path_class))
+        return symbols.search_symbols(corpus._spans(), query, min(limit, MAX_RESULTS))
 
     def document_symbols(self, path: str) -> DataFrame:
-        return symbols.symbols(self.files.where(F.col("path") == path).transform(lambda f: Corpus(f)._code())).orderBy("file", "start_line")
+        """The symbol tree of a file."""
+        return symbols.outline_rows(Corpus(self.files.where(F.col("path") == path))._spans()).orderBy("file", "place")
 
     def find_references(self, name: str, limit: int = 100) -> DataFrame:
         """Lines that hold the name as a whole word: file, line, is_definition."""
         code = self._code().where(F.contains("body", F.lit(name)))
         whole = code.where(F.array_contains(F.transform(F.regexp_extract_all("body", F.lit(symbols.WORD), 1), lambda w: F.rtrim(w, F.lit("("))), name))
-        declared = F.regexp_extract("body", symbols.DECLARATION, 2) == name
+        declared = (F.regexp_extract("body", symbols.DECLARATION, 2) == name) | (F.regexp_extract("body", symbols.METHOD, 1) == name)
         return whole.select("file", "line", declared.alias("is_definition")).orderBy("file", "line").limit(min(limit, MAX_RESULTS))
 
     def go_to_definition(self, name: str) -> DataFrame:
-        return symbols.symbols(self._code()).where(F.col("name") == name).orderBy("file", "start_line")
+        return self._spans().where(F.col("name") == name).select("file", "kind", "name", "container", "start_line", "end_line").orderBy("file", "start_line")
 
     def outgoing_calls(self, name: str) -> DataFrame:
-        code = self._code()
-        return symbols.calls(code, symbols.symbols(code)).where(F.col("caller") == name).orderBy("file", "callee")
+        return symbols.calls(self._code(), self._spans()).where(F.col("caller") == name).orderBy("file", "callee")
 
     def incoming_calls(self, name: str) -> DataFrame:
-        code = self._code()
-        return symbols.calls(code, symbols.symbols(code)).where(F.col("callee") == name).orderBy("file", "caller")
+        return symbols.calls(self._code(), self._spans()).where(F.col("callee") == name).orderBy("file", "caller")
 
     def search_hybrid(self, query: str, limit: int = 16) -> DataFrame:
         """Documents by fused evidence of text, path and shared terms: document, path, score, line, anchors, sources."""
@@ -86,16 +90,16 @@ class Corpus:
         document = F.concat_ws(":", "repository_id", "path")
         recall = text.lines(self.files.select(document.alias("document"), "text"), ["document"], "text").where(F.col("body").rlike(text.term_pattern(terms)))
         hit = F.lit(0)
-        for t in terms[:12]:
+        for t in terms:
             hit = hit + F.contains(F.lower("body"), F.lit(t)).cast("int")
         scored = recall.withColumn("hits", hit)
         frequency = scored.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.max("hits").alias("most"), F.min(F.struct((-F.col("hits")).alias("h"), "line")).alias("at"))
         lexical = scored.join(frequency.select("document", "n"), "document").select("document", "line", F.lit("lexical").alias("channel"), (F.sqrt("n") * F.col("hits")).alias("raw_score"), F.col("body").alias("excerpt"))
         semantic = frequency.select("document", F.col("at.line").alias("line"), F.lit("semantic").alias("channel"), (F.col("most") / len(terms)).alias("raw_score"), F.lit("").alias("excerpt"))
         shared = F.size(F.array_intersect(paths.path_terms(F.col("path")), F.array(*map(F.lit, terms))))
-        flags = paths.predicates(F.col("path"))
-        rules = [r for r, wanted in ((ranking.Rule("readme", factor=1.45, all_of=("is_readme",)), "docs"), (ranking.Rule("tests", factor=1.24, all_of=("is_test_support",)), "tests"), (ranking.Rule("config", factor=1.4, all_of=("is_runtime_config",)), "config"), (ranking.Rule("workflow", factor=2.2, all_of=("is_build_workflow",)), "ci")) if wanted in intent.flags]
-        quality, _ = ranking.apply_rules(F.lit(1.0), rules, flags)
-        witness = self.files.select(document.alias("document"), F.lit(1).alias("line"), F.lit("witness").alias("channel"), (shared * quality).alias("raw_score"), F.col("path").alias("excerpt")).where("raw_score > 0")
+        rules = [r for r, wanted in ((ranking.Rule("readme", factor=1.45, all_of=("is_readme",)), "docs"), (ranking.Rule("tests", factor=1.24, all_of=("is_test_support",)), "tests"), (ranking.Rule("config", factor=1.4, all_of=("is_runtime_config_artifact",)), "config"), (ranking.Rule("workflow", factor=2.2, all_of=("is_build_workflow",)), "ci")) if wanted in intent.flags]
+        named = [n for r in rules for n in r.all_of]
+        quality, _ = ranking.apply_rules(F.lit(1.0), rules, {n: F.col(n) for n in named})
+        witness = (with_surfaces(self.files, *named) if named else self.files).select(document.alias("document"), F.lit(1).alias("line"), F.lit("witness").alias("channel"), (shared * quality).alias("raw_score"), F.col("path").alias("excerpt")).where("raw_score > 0")
         blended = ranking.blend(ranking.normalise(lexical.unionByName(semantic).unionByName(witness)))
         return ranking.roll_up(blended).orderBy(F.col("score").desc(), "document").limit(min(limit, MAX_RESULTS))

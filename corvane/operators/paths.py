@@ -1,22 +1,25 @@
-"""What a repository-relative path tells: classes, surfaces, terms, relations between files.
-
-Everything here is a pure expression over one string column, so it runs inside code generation.
-"""
+"""What a repository-relative path tells: classes, terms, relations between files. Surfaces are in `surfaces`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Endings of languages, the longer first.
-LANGUAGES = ((".blade.php", "blade"), (".rs", "rust"), (".php", "php"), (".go", "go"), (".java", "java"), (".py", "python"), (".kt", "kotlin"), (".kts", "kotlin"), (".lua", "lua"), (".nim", "nim"), (".roc", "roc"), (".ts", "typescript"), (".tsx", "typescript"), (".js", "typescript"), (".jsx", "typescript"))
+from corvane.joins import lookup_join
+from corvane.operators.surfaces import LANGUAGES, LOWER, UPPER, with_facts, with_surfaces
+from corvane.session import materialise
+
 # Words of a path that tell little.
 DULL = ("src", "lib", "app", "main", "index", "mod", "core", "test", "tests", "internal", "pkg", "cmd")
-# Roots under which a package has a name of its own.
+# Folders below which a package has a name of its own, and roles within one.
 PACKAGE_ROOTS = ("apps", "packages", "crates", "libs", "services")
-ROLES = ("src", "tests", "test", "app", "lib")
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ROLES = ("src", "tests", "test", "pages", "routes", "api", "server", "cli", "bin")
+#: Classes whose files no test is about.
+NO_SUBJECTS = ("documentation", "readme", "fixtures", "benchmark_docs", "specs")
+#: Rows of one term in a group beyond which its pairs are worked out by signature.
+COMMON = 64
 
 
 def ascii_lower(col: Column) -> Column:
@@ -24,12 +27,8 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def under(path: Column, folder: str) -> Column:
-    """Whether a folder of that name stands at the start or anywhere inside."""
-    return path.startswith(folder + "/") | path.contains("/" + folder + "/")
-
-
 def language(path: Column) -> Column:
+    """The language by the ending, the longest of which counts; null for others."""
     out = None
     for ending, name in LANGUAGES:
         out = F.when(path.endswith(ending), name) if out is None else out.when(path.endswith(ending), name)
@@ -45,62 +44,12 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(.)\.[^.]*$", "$1")
 
 
-def predicates(path: Column) -> dict[str, Column]:
-    """Surfaces a path belongs to, by name."""
-    low = F.lower(path)
-    name = file_name(low)
-    is_test_name = low.rlike(r"_tests?\.(go|rs)$") | name.rlike(r"^test_.*\.py$|_test\.py$")
-    fixture = under(low, "fixtures")
-    source = language(low).isNotNull()
-    config = name.isin("cargo.toml", "cargo.lock", "package.json", "package-lock.json", "pyproject.toml", "setup.py", "go.mod", "go.sum", "composer.json", "tsconfig.json", "rustfmt.toml", "clippy.toml", "rust-toolchain.toml", ".env", ".env.example") | name.rlike(r"\.(rockspec|nimble)$")
-    test = ~config & ~fixture & (((under(low, "tests") | under(low, "test")) & source) | is_test_name)
-    ci = path.rlike(r"^\.github/workflows/[^/]*\.ya?ml$")
-    entry = path.rlike(r"(^|/)src/(main|lib)\.rs$") | name.isin("__main__.py", "main.py", "app.py", "manage.py", "cli.py", "run.py", "main.go") | (~test & name.rlike(r"^(main|server|cli|app|bootstrap)\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$"))
-    return {
-        "is_test_support": test,
-        "is_fixture_support": fixture,
-        "is_example_support": under(path, "examples"),
-        "is_bench_support": under(path, "benches") | under(path, "bench"),
-        "is_runtime_config": config,
-        "is_ci_workflow": ci,
-        "is_build_workflow": ci & low.rlike(r"(^|[^a-z])(build|bundle|deploy|pages|publish|release)([^a-z]|$)"),
-        "is_entrypoint": entry,
-        "is_cli_test": test & (under(low, "cli") | low.endswith("/cli.rs")),
-        "is_error_contract": under(low, "contracts") & low.rlike(r"(^|[^a-z])(errors?|failures?)([^a-z]|$)"),
-        "is_tool_contract": low.startswith("contracts/tools/") | low.contains("/contracts/tools/"),
-        "is_readme": (path == "README.md") | path.endswith("/README.md"),
-        "is_scripts_ops": name.isin("justfile", "makefile") | path.startswith("scripts/") | path.startswith("xtask/") | path.contains("/scripts/"),
-        "is_blade_view": path.startswith("resources/views/") & path.endswith(".blade.php"),
-        "is_migration": path.startswith("database/migrations/"),
-    }
-
-
-def path_class(path: Column) -> Column:
-    """support, platform, runtime or project."""
-    root_file = ~path.contains("/") & language(path).isNotNull()
-    return (
-        F.when(path.rlike(r"(^|/)(tests?|bench(es)?|examples?)(/|$)"), "support").when(path.endswith(".roc") & under(path, "platform"), "platform")
-        .when(path.rlike(r"^(app|bootstrap|routes|database/(migrations|seeders|factories))/"), "runtime").when(path.startswith("resources/views/"), "support")
-        .when(under(path, "src") | root_file, "runtime").otherwise("project")
-    )
-
-
-def source_class(path: Column) -> Column:
-    """The first that holds: error and tool contracts, benchmark docs, readme, documentation, fixtures, workflows, specs, tests, else the path class."""
-    p = predicates(path)
-    return (
-        F.when(p["is_error_contract"], "error_contracts").when(p["is_tool_contract"], "tool_contracts").when(path.startswith("benchmarks/"), "benchmark_docs").when(p["is_readme"], "readme")
-        .when(path.startswith("docs/"), "documentation").when(p["is_fixture_support"], "fixtures").when(p["is_ci_workflow"], "support").when(path.startswith("specs/"), "specs").when(p["is_test_support"], "tests").otherwise(path_class(path))
-    )
-
-
 def subtree_root(path: Column) -> Column:
-    """The folder a file counts to: a package (with its role), a role with what follows, else the first folder; null for files at the top."""
-    steps = F.split(path, "/")
-    n = F.size(steps)
+    """The folder a file counts to: a package (with its role, if one follows), a role with what follows, else the first folder; null for files at the top."""
+    steps = F.filter(F.split(F.regexp_replace(path, r"^(\./)+", ""), "/"), lambda s: s != "")
     step = lambda i: F.get(steps, F.lit(i))
     joined = lambda k: F.array_join(F.slice(steps, 1, k), "/")
-    return F.when(n <= 1, None).when(step(0).isin(*PACKAGE_ROOTS) & (n > 2), F.when(step(2).isin(*ROLES) & (n > 3), joined(3)).otherwise(joined(2))).when(step(0).isin(*ROLES) & (n > 2), joined(2)).otherwise(step(0))
+    return F.when(F.size(steps) <= 1, None).when(step(0).isin(*PACKAGE_ROOTS), F.when(step(2).isin(*ROLES), joined(3)).otherwise(joined(2))).when(step(0).isin(*ROLES), joined(2)).otherwise(step(0))
 
 
 def path_terms(path: Column) -> Column:
@@ -111,63 +60,165 @@ def path_terms(path: Column) -> Column:
 
 
 #: Bits of the families a path belongs to.
-FAMILIES = ("is_test_support", "is_entrypoint", "is_runtime_config", "is_ci_workflow", "is_readme", "is_bench_support", "is_example_support", "is_scripts_ops")
+FAMILIES = ("is_test_support", "is_entrypoint", "is_runtime_config_artifact", "is_ci_workflow", "is_readme", "is_bench_support", "is_example_support", "is_scripts_ops", "is_package_surface", "is_build_config", "is_workspace_config", "is_runtime_companion")
 
 
-def family_bits(path: Column) -> Column:
-    p = predicates(path)
+def family_bits() -> Column:
+    """Over the columns of `with_surfaces`."""
     out = F.lit(0)
     for i, name in enumerate(FAMILIES):
-        out = out.bitwiseOR(F.when(p[name], 1 << i).otherwise(0))
+        out = out.bitwiseOR(F.when(F.col(name), 1 << i).otherwise(0))
     return out.cast("long")
 
 
-def with_facts(paths: DataFrame, **facts: Column) -> DataFrame:
-    """Adds columns that later filters can't be pushed through: each is worked out once a row, behind any aggregation before."""
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in facts.items()]))).alias("_facts")
-    return paths.select("*", one).select(*paths.columns, *[F.col("_facts." + n).alias(n) for n in facts])
-
-
 def subtree_coverage(paths: DataFrame) -> DataFrame:
     """Per subtree and class the number of paths and the exemplar, the shortest path (then the least): subtree, source_class, paths, exemplar."""
-    rows = with_facts(paths.select("path"), subtree=subtree_root(F.col("path")), source_class=source_class(F.col("path"))).where("subtree is not null")
+    rows = with_facts(with_surfaces(paths.select("path"), "source_class"), subtree=subtree_root(F.col("path"))).where("subtree is not null")
     return rows.groupBy("subtree", "source_class").agg(F.count(F.lit(1)).alias("paths"), F.min(F.struct(F.length("path").alias("n"), F.col("path").alias("p"))).alias("e")).select("subtree", "source_class", "paths", F.col("e.p").alias("exemplar"))
 
 
+#: Words that settings and workflows are asked for by, whatever their path says.
+ALIASES = {"is_entrypoint": ("entrypoint", "main"), "is_ci_workflow": ("workflow", "ci"), "is_runtime_config_artifact": ("config", "manifest"), "is_test_support": ("tests",), "is_readme": ("documentation",)}
+
+
 def term_weights(paths: DataFrame, most: int = 24) -> DataFrame:
-    """The strongest terms of each path: path, term, weight. A term of the path weighs 3, one of the stem 4 more; of equal weights the lesser term stays."""
-    terms = paths.select("path", F.explode(path_terms(F.col("path"))).alias("term"), F.lit(3).alias("w"))
-    stems = paths.select("path", F.explode(path_terms(file_stem(F.col("path")))).alias("term"), F.lit(4).alias("w"))
+    """The strongest terms of each path: path, term, weight. A term of the path weighs 3, one of the stem 4 more, an alias of its surfaces 2, every term of an entry point 3 more; of equal weights the lesser term stays."""
+    rows = with_facts(with_surfaces(paths.select("path"), *ALIASES), terms=path_terms(F.col("path")), stem_terms=path_terms(file_stem(F.col("path"))))
+    weighed = lambda terms, w: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    none = F.array().cast("array<string>")
+    alias = F.flatten(F.array(*[F.when(F.col(n), F.array(*map(F.lit, words))).otherwise(none) for n, words in ALIASES.items()]))
+    every = F.concat(weighed(F.col("terms"), 3), weighed(F.col("stem_terms"), 4), weighed(alias, 2), weighed(F.when(F.col("is_entrypoint"), F.col("terms")).otherwise(none), 3))
     w = Window.partitionBy("path").orderBy(F.col("weight").desc(), "term")
-    return terms.unionByName(stems).groupBy("path", "term").agg(F.sum("w").alias("weight")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("path", "term", "weight")
+    return rows.select("path", F.explode(every).alias("t")).select("path", "t.*").groupBy("path", "term").agg(F.sum("w").alias("weight")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("path", "term", "weight")
+
+
+def closest_pairs(left: DataFrame, right: DataFrame, group: list[str], score: Callable[[Column, Column, str, str], Column], fits: Callable[[str, str], Column], k: int, common: int = COMMON) -> DataFrame:
+    """For each row of `left` the k rows of `right` in its group that score highest: group, left_path, right_path, shared, score.
+
+    Both sides have the columns of `group`, path, terms, stem and traits (a struct). Pairs must have a term or the stem in
+    common, and `fits` must hold; `score` gets the number of shared terms, whether stems are equal, and where the traits of
+    both are; a column `extra` is 1 where an equal stem is none of the shared terms. On equal scores the lesser path comes first.
+
+    Terms and stems are joined by equality. Of items that more than `common` rows of a group have, pairs are not formed: all
+    rows with the same such items and traits score alike for whoever shares nothing rarer with them, so only the k + 1 least of
+    them are candidates. The result is exact, and no pair is formed of two rows that have only common items.
+    """
+    items = F.when(F.col("stem") != "", F.concat("terms", F.array(F.concat(F.lit("="), F.col("stem"))))).otherwise(F.col("terms"))
+    sides = {}
+    for name, side in (("l", left), ("r", right)):
+        sides[name] = side.select(*group, F.col("path").alias(f"{name}_path"), items.alias(f"{name}_items"), F.col("traits").alias(f"{name}_traits"))
+    counts = sides["r"].select(*group, F.explode("r_items").alias("item")).groupBy(*group, "item").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(counts.where(F.col("n") > common).drop("n"))
+    split = {}
+    for name, side in sides.items():
+        each = side.select(*group, f"{name}_path", F.explode(f"{name}_items").alias("item"))
+        marked = lookup_join(each, hot, [*group, "item"], "left_semi", salt_on=[f"{name}_path"])
+        split[name] = side.join(marked.groupBy(*group, f"{name}_path").agg(F.array_sort(F.collect_set("item")).alias(f"{name}_hot")), [*group, f"{name}_path"], "left")
+        split[name] = materialise(split[name].withColumn(f"{name}_hot", F.coalesce(f"{name}_hot", F.array().cast("array<string>"))))
+
+    def scored(pairs: DataFrame, one: str, other: str) -> DataFrame:
+        both = F.array_intersect(one, other)
+        same = F.exists(both, lambda i: i.startswith("="))
+        stem = F.substring(F.get(F.filter(both, lambda i: i.startswith("=")), F.lit(0)), 2, 2_147_483_647)
+        told = pairs.withColumn("same", same).withColumn("shared", F.size(both) - F.col("same").cast("int"))
+        told = told.withColumn("extra", F.when(F.col("same"), (~F.array_contains(both, F.lower(stem))).cast("int")).otherwise(0))
+        return told.where((F.col("shared") > 0) | F.col("same")).where(fits("l_traits", "r_traits")).withColumn("score", score(F.col("shared"), F.col("same"), "l_traits", "r_traits"))
+
+    rare = lambda name: split[name].select("*", F.explode(F.array_except(f"{name}_items", f"{name}_hot")).alias("item")).drop(f"{name}_hot")
+    met = rare("l").join(rare("r"), [*group, "item"]).where("l_path <> r_path")
+    near = scored(met, "l_items", "r_items")
+    by_rare = near.groupBy(*group, "l_path", "r_path").agg(F.max("shared").alias("shared"), F.max("score").alias("score"))
+    kinds = {n: [*group, f"{n}_hot", f"{n}_traits"] for n in split}
+    w = Window.partitionBy(*group, "r_hot", "r_traits").orderBy("r_path")
+    least = split["r"].where(F.size("r_hot") > 0).select(*kinds["r"], "r_path").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn")
+    asked = split["l"].where(F.size("l_hot") > 0).select(*kinds["l"]).distinct()
+    r_kinds = least.select(*kinds["r"]).distinct()
+    kind_pairs = asked.withColumn("item", F.explode("l_hot")).join(r_kinds.withColumn("item", F.explode("r_hot")), [*group, "item"]).drop("item").distinct()
+    ranked = scored(kind_pairs, "l_hot", "r_hot").join(least, kinds["r"])
+    first = Window.partitionBy(*kinds["l"]).orderBy(F.col("score").desc(), "r_path")
+    best = ranked.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).select(*kinds["l"], "r_path", "shared", "score")
+    by_kind = split["l"].select(*kinds["l"], "l_path").join(best, kinds["l"]).where("l_path <> r_path").select(*group, "l_path", "r_path", "shared", "score")
+    every = by_rare.unionByName(by_kind).groupBy(*group, "l_path", "r_path").agg(F.max("shared").alias("shared"), F.max("score").alias("score"))
+    top = Window.partitionBy(*group, "l_path").orderBy(F.col("score").desc(), "r_path")
+    return every.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= k).select(*group, F.col("l_path").alias("left_path"), F.col("r_path").alias("right_path"), "shared", "score")
+
+
+def test_stem(path: Column) -> Column:
+    """The stem without what tests add to it, in lower case."""
+    return F.lower(F.regexp_replace(file_stem(F.regexp_replace(path, r"\.(spec|test)(\.[^.]*)$", "$2")), r"^test_|_tests?$|Test$", ""))
 
 
 def test_subject_links(paths: DataFrame, per_test: int = 6, per_subject: int = 6) -> DataFrame:
     """Tests and the sources they are about: repository_id, test_path, subject_path, shared, score.
 
-    Paths of one repository are joined on the stem without test affixes, an equality, instead of comparing
-    every test with every source; shared counts the terms both have. Score: 10 a shared term, 6 for
-    the stem, 3 for the language.
+    A link needs a shared term and the same language (or none; PHP and its templates count as one). Score: 10 a shared term, 6 for an
+    equal stem, 3 for the language, 2 for a runtime subject, 1 for one of support. The best of each test are kept, then the best of each subject.
     """
-    stem = F.lower(F.regexp_replace(file_stem(F.regexp_replace("path", r"\.(spec|test)(\.[^.]*)$", "$2")), r"^test_|_tests?$|Test$", ""))
-    is_test = predicates(F.col("path"))["is_test_support"] | file_name(F.col("path")).rlike(r"^test_|_test\.|Test\.|\.spec\.")
-    rows = with_facts(paths.select("repository_id", "path"), stem=stem, language=language(F.lower("path")), terms=path_terms(F.col("path")), test=is_test).where("language is not null")
-    tests = rows.where("test").select("repository_id", "stem", F.col("path").alias("test_path"), F.col("language").alias("l1"), F.col("terms").alias("t1"))
-    subjects = rows.where("not test").select("repository_id", "stem", F.col("path").alias("subject_path"), F.col("language").alias("l2"), F.col("terms").alias("t2"))
-    scored = tests.join(subjects, ["repository_id", "stem"]).withColumn("shared", F.size(F.array_intersect("t1", "t2"))).where("shared > 0").withColumn("score", F.col("shared") * 10 + 6 + F.when(F.col("l1") == F.col("l2"), 3).otherwise(0))
-    w1 = Window.partitionBy("repository_id", "test_path").orderBy(F.col("score").desc(), "subject_path")
-    w2 = Window.partitionBy("repository_id", "subject_path").orderBy(F.col("score").desc(), "test_path")
-    first = scored.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= per_test)
-    return first.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= per_subject).select("repository_id", "test_path", "subject_path", "shared", "score")
+    rows = with_surfaces(paths.select("repository_id", "path"), "language", "path_class", "source_class", "is_test_support", "is_test_harness")
+    signal = file_name(F.col("path")).rlike(r"^test_|_test\.|Test\.|\.spec\.|\.test\.")
+    rows = with_facts(rows, terms=path_terms(F.col("path")), stem=test_stem(F.col("path")), test=(F.col("source_class") == "tests") | F.col("is_test_support") | F.col("is_test_harness") | signal)
+    rows = rows.withColumn("traits", F.struct("language", "path_class"))
+    tests, subjects = rows.where("test"), rows.where(~F.col("test") & ~F.col("source_class").isin(*NO_SUBJECTS))
+
+    def fits(a: str, b: str) -> Column:
+        php = F.col(f"{a}.language").isin("php", "blade") & F.col(f"{b}.language").isin("php", "blade")
+        return (F.col("shared") > 0) & F.coalesce((F.col(f"{a}.language") == F.col(f"{b}.language")) | php, F.lit(True))
+
+    def score(shared: Column, same: Column, a: str, b: str) -> Column:
+        kind = F.col(f"{b}.path_class")
+        alike = F.coalesce(F.col(f"{a}.language") == F.col(f"{b}.language"), F.lit(False))
+        return shared * 10 + same.cast("int") * 6 + alike.cast("int") * 3 + F.when(kind == "runtime", 2).when(kind == "support", 1).otherwise(0)
+
+    first = closest_pairs(tests, subjects, ["repository_id"], score, fits, per_test)
+    w = Window.partitionBy("repository_id", "right_path").orderBy(F.col("score").desc(), "left_path")
+    return first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_subject).select("repository_id", F.col("left_path").alias("test_path"), F.col("right_path").alias("subject_path"), "shared", "score")
+
+
+#: Kinds of what stands beside an entry point; the first that holds counts.
+ENTRY_KINDS = (("is_build_workflow", "entrypoint_workflow"), ("is_runtime_config_artifact", "entrypoint_config"), ("is_build_config", "entrypoint_config"), ("is_package_surface", "entrypoint_package"), ("is_workspace_config", "entrypoint_workspace"), ("is_runtime_companion", "companion_surface"))
+#: What stands beside runtime files.
+COMPANIONS = ("is_test_support", "is_test_harness", "is_package_surface", "is_build_config", "is_workspace_config", "is_build_workflow", "is_runtime_config_artifact")
 
 
 def companions(paths: DataFrame, most: int = 8) -> DataFrame:
-    """Tests, settings and workflows next to an entry point: repository_id, src_path, dst_path, kind, score; at most `most` a source."""
-    p = predicates(F.col("path"))
-    kind = F.when(p["is_test_support"], "test").when(p["is_runtime_config"], "config").when(p["is_ci_workflow"], "workflow")
-    rows = with_facts(paths.select("repository_id", "path"), subtree=F.coalesce(subtree_root(F.col("path")), F.lit("")), entry=p["is_entrypoint"], kind=kind, terms=path_terms(F.col("path")))
-    left = rows.where("entry").select("repository_id", "subtree", F.col("path").alias("src_path"), F.col("terms").alias("t1"))
-    right = rows.where("kind is not null").select("repository_id", "subtree", F.col("path").alias("dst_path"), "kind", F.col("terms").alias("t2"))
-    scored = left.join(right, ["repository_id", "subtree"]).where("src_path <> dst_path").withColumn("score", F.size(F.array_intersect("t1", "t2")) * 12 + 100)
-    w = Window.partitionBy("repository_id", "src_path").orderBy(F.col("score").desc(), "dst_path", "kind")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("repository_id", "src_path", "dst_path", "kind", "score")
+    """What belongs to entry points and runtime files of the same subtree: repository_id, src_path, dst_path, kind, score; at most `most` a source and rule.
+
+    A pair shares a term or the stem. Beside an entry point stand workflows, settings, packages and runtime files: 100, 12 a shared
+    term (an equal stem is one too, eight count at most), 18 for an equal stem, 6 for an equal class. Beside a runtime file stand tests and settings: 80, 20 for an equal stem.
+    """
+    told = with_surfaces(paths.select("repository_id", "path"), "is_entrypoint", "source_class", *dict.fromkeys([*(n for n, _ in ENTRY_KINDS), *COMPANIONS]))
+    beside = F.when(F.col(ENTRY_KINDS[0][0]), ENTRY_KINDS[0][1])
+    for name, kind in ENTRY_KINDS[1:]:
+        beside = beside.when(F.col(name), kind)
+    companion = F.lit(False)
+    for name in COMPANIONS:
+        companion = companion | F.col(name)
+    rows = with_facts(told, subtree=subtree_root(F.col("path")), beside=beside, companion=companion, terms=path_terms(F.col("path")), stem=file_stem(F.col("path"))).where("subtree is not null")
+    rows = materialise(rows.select("repository_id", "subtree", "path", "terms", "stem", "source_class", "beside", "companion", "is_entrypoint", "is_runtime_companion"))
+    group = ["repository_id", "subtree"]
+    entry = lambda shared, same, a, b: F.least(shared + F.col("extra"), F.lit(8)) * 12 + same.cast("int") * 18 + (F.col(f"{a}.source_class") == F.col(f"{b}.source_class")).cast("int") * 6 + 100
+    traits = lambda df, *c: df.withColumn("traits", F.struct(*c))
+    one = closest_pairs(traits(rows.where("is_entrypoint"), "source_class"), traits(rows.where("beside is not null"), "source_class", "beside"), group, entry, lambda a, b: F.lit(True), most)
+    one = one.join(rows.select("repository_id", F.col("path").alias("right_path"), F.col("beside").alias("kind")), ["repository_id", "right_path"])
+    nothing = F.lit(0).alias("none")
+    two = closest_pairs(traits(rows.where("is_entrypoint or is_runtime_companion"), nothing), traits(rows.where("companion"), nothing), group, lambda shared, same, a, b: same.cast("int") * 20 + 80, lambda a, b: F.lit(True), most)
+    two = two.withColumn("kind", F.lit("companion_surface")).select(*one.columns)
+    return one.unionByName(two).groupBy("repository_id", "left_path", "right_path", "kind").agg(F.max("score").alias("score")).select("repository_id", F.col("left_path").alias("src_path"), F.col("right_path").alias("dst_path"), "kind", "score")
+
+
+def name_overlap(symbols: DataFrame, most: int = 8) -> DataFrame:
+    """Files of one subtree that declare symbols of the same name: src_path, dst_path, score; at most `most` a source.
+
+    `symbols` has path and name; letters' case counts not. Score: 96, 8 for the same language. Of a name's files only the least in path,
+    of each language and of all, can be among the best, so a name that stands everywhere forms no pairs of all its files.
+    """
+    rows = with_facts(symbols.select("path", F.lower("name").alias("name")).where("path is not null and name <> ''").distinct(), subtree=subtree_root(F.col("path")), language=language(F.lower("path"))).where("subtree is not null")
+    rows = materialise(rows)
+    within = Window.partitionBy("subtree", "name", "language").orderBy("path")
+    over = Window.partitionBy("subtree", "name").orderBy("path")
+    least = rows.select(F.col("path").alias("dst_path"), "subtree", "name", F.col("language").alias("dst_language"), F.row_number().over(within).alias("a"), F.row_number().over(over).alias("b")).where((F.col("a") <= most + 1) | (F.col("b") <= most + 1)).drop("a", "b")
+    pairs = lookup_join(rows.withColumnRenamed("path", "src_path"), least, ["subtree", "name"], salt_on=["src_path"]).where("src_path <> dst_path")
+    same = F.coalesce(F.col("language") == F.col("dst_language"), F.lit(False)).cast("int")
+    scored = pairs.groupBy("src_path", "dst_path").agg(F.max(96 + 8 * same).alias("score"))
+    w = Window.partitionBy("src_path").orderBy(F.col("score").desc(), "dst_path")
+    return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("src_path", "dst_path", "score")

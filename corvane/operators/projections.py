@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import paths as op
+from corvane.operators.surfaces import with_surfaces
 
 
 def bundle(files: DataFrame) -> dict[str, DataFrame]:
     """The projections of a listing (repository_id, path), by name, ready for `sources.sinks.publish`."""
     rows = files.select("repository_id", "path").where("path is not null").distinct()
+    told = with_surfaces(rows, "path_class", "source_class", *op.FAMILIES)
     path = F.col("path")
-    witness = op.with_facts(rows, path_class=op.path_class(path), source_class=op.source_class(path), stem=op.file_stem(path), terms=op.path_terms(path), subtree=op.subtree_root(path), family_bits=op.family_bits(path))
-    entry = op.with_facts(rows, entry=op.predicates(path)["is_entrypoint"], terms=op.path_terms(path), path_class=op.path_class(path)).where("entry").drop("entry")
+    witness = op.with_facts(told, stem=op.file_stem(path), terms=op.path_terms(path), subtree=op.subtree_root(path), family_bits=op.family_bits()).drop(*op.FAMILIES)
+    entry = witness.join(told.where("is_entrypoint").select("repository_id", "path"), ["repository_id", "path"], "left_semi").select("repository_id", "path", "terms", "path_class")
     links = op.test_subject_links(rows)
     relations = op.companions(rows).unionByName(links.select("repository_id", F.col("test_path").alias("src_path"), F.col("subject_path").alias("dst_path"), F.lit("subject").alias("kind"), "score"))
     return {"path_witness": witness, "entrypoint_surface": entry, "test_subject": links, "path_relation": relations, "subtree_coverage": op.subtree_coverage(rows), "surface_terms": op.term_weights(rows)}

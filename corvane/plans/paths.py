@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import paths as op
+from corvane.operators.surfaces import LANGUAGES, LOWER, PARTS, STAGES, UPPER, Place, names, with_surfaces
 from corvane.plans.general import _key, _path
 from corvane.tables import load, norm_key, norm_path
 
@@ -22,15 +23,16 @@ def path_language(spark, folder):
 
 
 def path_predicates(spark, folder):
-    return _paths(spark, folder).select("path", *[c.alias(n) for n, c in op.predicates(F.col("path")).items()])
+    """All surfaces of every path."""
+    return with_surfaces(_paths(spark, folder), *_FLAGS)
 
 
 def path_class(spark, folder):
-    return _paths(spark, folder).select("path", op.path_class(F.col("path")).alias("path_class"))
+    return with_surfaces(_paths(spark, folder), "path_class")
 
 
 def path_source_class(spark, folder):
-    return _paths(spark, folder).select("path", op.source_class(F.col("path")).alias("source_class"))
+    return with_surfaces(_paths(spark, folder), "source_class")
 
 
 def subtree_root(spark, folder):
@@ -42,7 +44,7 @@ def path_terms(spark, folder):
 
 
 def family_bits(spark, folder):
-    return _paths(spark, folder).select("path", op.family_bits(F.col("path")).alias("bits"))
+    return with_surfaces(_paths(spark, folder), *op.FAMILIES).select("path", op.family_bits().alias("bits"))
 
 
 def subtree_coverage(spark, folder):
@@ -62,51 +64,77 @@ def companion_relations(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (path_language, path_predicates, path_class, path_source_class, subtree_root, path_terms, family_bits, subtree_coverage, surface_term_weights, test_subject_links, companion_relations)}
+_FLAGS = [n for n in names() if n.startswith("is_")]
 
 _PATHS = f"paths AS (SELECT DISTINCT {_path('path')} AS path FROM file_manifest WHERE path IS NOT NULL)"
 _REPO_PATHS = f"paths AS (SELECT DISTINCT {_key('repository_id')} AS repository_id, {_path('path')} AS path FROM file_manifest WHERE path IS NOT NULL AND repository_id IS NOT NULL)"
 
 
-def _under(p, folder):
-    return f"(starts_with({p}, '{folder}/') OR contains({p}, '/{folder}/'))"
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+class Sql(str):
+    """A condition in SQL that is joined as columns are."""
+
+    def __and__(self, other):
+        return Sql(f"({self} AND {other})")
+
+    def __or__(self, other):
+        return Sql(f"({self} OR {other})")
+
+    def __invert__(self):
+        return Sql(f"(NOT {self})")
+
+
+class SqlPlace(Place):
+    """The vocabulary of surfaces in SQL."""
+
+    def ref(self, name):
+        return Sql(name)
+
+    def _starts(self, column, text):
+        return Sql(f"starts_with({column}, {_q(text)})")
+
+    def _ends(self, column, text):
+        return Sql(f"ends_with({column}, {_q(text)})")
+
+    def _has(self, column, text):
+        return Sql(f"contains({column}, {_q(text)})")
+
+    def _among(self, column, values):
+        return Sql(f"({column} IN ({', '.join(map(_q, values))}))")
+
+    def choose(self, cases, otherwise):
+        return Sql("CASE " + " ".join(f"WHEN {c} THEN {_q(v)}" for c, v in cases) + (f" ELSE {_q(otherwise)}" if otherwise is not None else "") + " END")
+
+    def known(self, name):
+        return Sql(f"({name} IS NOT NULL)")
+
+
+def surfaces_sql(table, path="path"):
+    """CTEs that end in `surfaces`: the columns of `table` and all surfaces of `path`, stage by stage."""
+    low = f"translate({{0}}, '{UPPER}', '{LOWER}')"
+    cut = "regexp_replace({0}, '(.)\\.[^.]*$', '\\1')"
+    words = "' ' || trim(regexp_replace(" + low.format("regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')") + ", '[^a-z0-9]+', ' ', 'g')) || ' '"
+    out = [f"s0a AS (SELECT *, regexp_replace({path}, '^(\\./)+', '') AS s_path FROM {table})", f"s0b AS (SELECT *, {low.format('s_path')} AS s_low FROM s0a)"]
+    name, own = "regexp_extract(s_low, '[^/]*$')", "regexp_extract(s_path, '[^/]*$')"
+    out.append(f"s0 AS (SELECT *, {name} AS s_name, {cut.format(name)} AS s_stem, regexp_extract({name}, '.\\.([^.]+)$', 1) AS s_ext, '/' || s_low || '/' AS s_steps, {words.format(cut.format(own))} AS s_words, {words.format('s_low')} AS s_all_words FROM s0b)")
+    for i, stage in enumerate(STAGES, 1):
+        out.append(f"s{i}x AS (SELECT *, {', '.join(f'{c} AS {n}' for n, c in stage(SqlPlace()).items())} FROM {'s0' if i == 1 else f's{i - 1}x'})")
+    out.append(f"surfaces AS (SELECT * EXCLUDE ({', '.join(PARTS)}) FROM s{len(STAGES)}x)")
+    return ", ".join(out)
 
 
 def _language(p):
-    return "CASE " + " ".join(f"WHEN ends_with({p}, '{e}') THEN '{n}'" for e, n in op.LANGUAGES) + " END"
-
-
-_LOW, _NAME = "lower(path)", "regexp_extract(lower(path), '[^/]*$')"
-_CONFIG = f"({_NAME} IN ('cargo.toml','cargo.lock','package.json','package-lock.json','pyproject.toml','setup.py','go.mod','go.sum','composer.json','tsconfig.json','rustfmt.toml','clippy.toml','rust-toolchain.toml','.env','.env.example') OR regexp_matches({_NAME}, '\\.(rockspec|nimble)$'))"
-_FIXTURE = _under(_LOW, "fixtures")
-_TEST = f"(NOT {_CONFIG} AND NOT {_FIXTURE} AND ((({_under(_LOW, 'tests')} OR {_under(_LOW, 'test')}) AND ({_language(_LOW)}) IS NOT NULL) OR regexp_matches({_LOW}, '_tests?\\.(go|rs)$') OR regexp_matches({_NAME}, '^test_.*\\.py$|_test\\.py$')))"
-_CI = "regexp_matches(path, '^\\.github/workflows/[^/]*\\.ya?ml$')"
-_PREDICATES = {
-    "is_test_support": _TEST,
-    "is_fixture_support": _FIXTURE,
-    "is_example_support": _under("path", "examples"),
-    "is_bench_support": f"({_under('path', 'benches')} OR {_under('path', 'bench')})",
-    "is_runtime_config": _CONFIG,
-    "is_ci_workflow": _CI,
-    "is_build_workflow": f"({_CI} AND regexp_matches({_LOW}, '(^|[^a-z])(build|bundle|deploy|pages|publish|release)([^a-z]|$)'))",
-    "is_entrypoint": f"(regexp_matches(path, '(^|/)src/(main|lib)\\.rs$') OR {_NAME} IN ('__main__.py','main.py','app.py','manage.py','cli.py','run.py','main.go') OR (NOT {_TEST} AND regexp_matches({_NAME}, '^(main|server|cli|app|bootstrap)\\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$')))",
-    "is_cli_test": f"({_TEST} AND ({_under(_LOW, 'cli')} OR ends_with({_LOW}, '/cli.rs')))",
-    "is_error_contract": f"({_under(_LOW, 'contracts')} AND regexp_matches({_LOW}, '(^|[^a-z])(errors?|failures?)([^a-z]|$)'))",
-    "is_tool_contract": f"(starts_with({_LOW}, 'contracts/tools/') OR contains({_LOW}, '/contracts/tools/'))",
-    "is_readme": "(path = 'README.md' OR ends_with(path, '/README.md'))",
-    "is_scripts_ops": f"({_NAME} IN ('justfile','makefile') OR starts_with(path, 'scripts/') OR starts_with(path, 'xtask/') OR contains(path, '/scripts/'))",
-    "is_blade_view": "(starts_with(path, 'resources/views/') AND ends_with(path, '.blade.php'))",
-    "is_migration": "starts_with(path, 'database/migrations/')",
-}
-_CLASS = f"""CASE WHEN regexp_matches(path, '(^|/)(tests?|bench(es)?|examples?)(/|$)') THEN 'support' WHEN ends_with(path, '.roc') AND {_under('path', 'platform')} THEN 'platform'
- WHEN regexp_matches(path, '^(app|bootstrap|routes|database/(migrations|seeders|factories))/') THEN 'runtime' WHEN starts_with(path, 'resources/views/') THEN 'support'
- WHEN {_under('path', 'src')} OR (NOT contains(path, '/') AND ({_language('path')}) IS NOT NULL) THEN 'runtime' ELSE 'project' END"""
-_SOURCE = f"""CASE WHEN {_PREDICATES['is_error_contract']} THEN 'error_contracts' WHEN {_PREDICATES['is_tool_contract']} THEN 'tool_contracts' WHEN starts_with(path, 'benchmarks/') THEN 'benchmark_docs' WHEN {_PREDICATES['is_readme']} THEN 'readme'
- WHEN starts_with(path, 'docs/') THEN 'documentation' WHEN {_FIXTURE} THEN 'fixtures' WHEN {_CI} THEN 'support' WHEN starts_with(path, 'specs/') THEN 'specs' WHEN {_TEST} THEN 'tests' ELSE {_CLASS} END"""
-_STEPS = "string_split(path, '/')"
+    return "CASE " + " ".join(f"WHEN ends_with({p}, '{e}') THEN '{n}'" for e, n in LANGUAGES) + " END"
+
+
+_STEPS = "list_filter(string_split(regexp_replace(path, '^(\\./)+', ''), '/'), lambda s: s <> '')"
 _ROLE = "(" + ",".join(f"'{r}'" for r in op.ROLES) + ")"
 _SUBTREE = f"""CASE WHEN len({_STEPS}) <= 1 THEN NULL
- WHEN {_STEPS}[1] IN ({','.join(f"'{r}'" for r in op.PACKAGE_ROOTS)}) AND len({_STEPS}) > 2 THEN CASE WHEN {_STEPS}[3] IN {_ROLE} AND len({_STEPS}) > 3 THEN array_to_string({_STEPS}[1:3], '/') ELSE array_to_string({_STEPS}[1:2], '/') END
- WHEN {_STEPS}[1] IN {_ROLE} AND len({_STEPS}) > 2 THEN array_to_string({_STEPS}[1:2], '/') ELSE {_STEPS}[1] END"""
+ WHEN {_STEPS}[1] IN ({','.join(f"'{r}'" for r in op.PACKAGE_ROOTS)}) THEN CASE WHEN {_STEPS}[3] IN {_ROLE} THEN array_to_string({_STEPS}[1:3], '/') ELSE array_to_string({_STEPS}[1:2], '/') END
+ WHEN {_STEPS}[1] IN {_ROLE} THEN array_to_string({_STEPS}[1:2], '/') ELSE {_STEPS}[1] END"""
 
 
 def _stem(p):
@@ -121,27 +149,40 @@ def _terms(p):
     return f"list_filter({kept}, lambda t, i: list_position({kept}, t) = i)"
 
 
-_BITS = " | ".join(f"(CASE WHEN {_PREDICATES[n]} THEN {1 << i} ELSE 0 END)" for i, n in enumerate(op.FAMILIES))
+_BITS = " | ".join(f"(CASE WHEN {n} THEN {1 << i} ELSE 0 END)" for i, n in enumerate(op.FAMILIES))
+_PATH_SURFACES, _REPO_SURFACES = f"WITH {_PATHS}, {surfaces_sql('paths')}", f"WITH {_REPO_PATHS}, {surfaces_sql('paths')}"
+_ALIAS = " UNION ALL ".join(f"SELECT path, '{w}' AS term, 2 AS w FROM surfaces WHERE {n}" for n, words in op.ALIASES.items() for w in words)
+_SIGNAL = r"^test_|_test\.|Test\.|\.spec\.|\.test\."
+_TEST_STEM = f"""lower(regexp_replace({_stem(r"regexp_replace(path, '\.(spec|test)(\.[^.]*)$', '\2')")}, '^test_|_tests?$|Test$', '', 'g'))"""
+_BESIDE = "CASE " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in op.ENTRY_KINDS) + " END"
 SQL = {
     "path_language": f"WITH {_PATHS} SELECT {_language('lower(path)')} AS language, count(*) AS paths FROM paths GROUP BY 1",
-    "path_predicates": f"WITH {_PATHS} SELECT path, " + ", ".join(f"{c} AS {n}" for n, c in _PREDICATES.items()) + " FROM paths",
-    "path_class": f"WITH {_PATHS} SELECT path, {_CLASS} AS path_class FROM paths",
-    "path_source_class": f"WITH {_PATHS} SELECT path, {_SOURCE} AS source_class FROM paths",
+    "path_predicates": f"{_PATH_SURFACES} SELECT path, {', '.join(_FLAGS)} FROM surfaces",
+    "path_class": f"{_PATH_SURFACES} SELECT path, path_class FROM surfaces",
+    "path_source_class": f"{_PATH_SURFACES} SELECT path, source_class FROM surfaces",
     "subtree_root": f"WITH {_PATHS} SELECT path, {_SUBTREE} AS subtree FROM paths",
     "path_terms": f"WITH {_PATHS} SELECT path, array_to_string({_terms('path')}, ' ') AS terms, {_stem('path')} AS stem FROM paths",
-    "family_bits": f"WITH {_PATHS} SELECT path, ({_BITS})::BIGINT AS bits FROM paths",
-    "subtree_coverage": f"WITH {_PATHS}, rows_ AS (SELECT {_SUBTREE} AS subtree, {_SOURCE} AS source_class, path FROM paths) SELECT subtree, source_class, count(*) AS paths, arg_min(path, (length(path), path)) AS exemplar FROM rows_ WHERE subtree IS NOT NULL GROUP BY 1, 2",
-    "surface_term_weights": f"""WITH {_PATHS}, t AS (SELECT path, unnest({_terms('path')}) AS term, 3 AS w FROM paths UNION ALL SELECT path, unnest({_terms(_stem('path'))}) AS term, 4 FROM paths),
+    "family_bits": f"{_PATH_SURFACES} SELECT path, ({_BITS})::BIGINT AS bits FROM surfaces",
+    "subtree_coverage": f"{_PATH_SURFACES}, rows_ AS (SELECT {_SUBTREE} AS subtree, source_class, path FROM surfaces) SELECT subtree, source_class, count(*) AS paths, arg_min(path, (length(path), path)) AS exemplar FROM rows_ WHERE subtree IS NOT NULL GROUP BY 1, 2",
+    "surface_term_weights": f"""{_PATH_SURFACES}, t AS (SELECT path, unnest({_terms('path')}) AS term, 3 AS w FROM paths UNION ALL SELECT path, unnest({_terms(_stem('path'))}) AS term, 4 FROM paths
+  UNION ALL SELECT path, unnest({_terms('path')}) AS term, 3 FROM surfaces WHERE is_entrypoint UNION ALL {_ALIAS}),
 s AS (SELECT path, term, sum(w)::BIGINT AS weight FROM t GROUP BY 1, 2) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY weight DESC, term) <= 24""",
-    "test_subject_links": f"""WITH {_REPO_PATHS},
-r AS (SELECT repository_id, path, lower(regexp_replace({_stem("regexp_replace(path, '\\.(spec|test)(\\.[^.]*)$', '\\2')")}, '^test_|_tests?$|Test$', '', 'g')) AS stem, {_language('lower(path)')} AS language, {_terms('path')} AS terms,
-  ({_TEST} OR regexp_matches(regexp_extract(path, '[^/]*$'), '^test_|_test\\.|Test\\.|\\.spec\\.')) AS test FROM paths),
-j AS (SELECT t.repository_id, t.path AS test_path, s.path AS subject_path, len(list_intersect(t.terms, s.terms))::INTEGER AS shared, t.language = s.language AS same FROM r t JOIN r s ON t.repository_id = s.repository_id AND t.stem = s.stem WHERE t.test AND NOT s.test AND t.language IS NOT NULL AND s.language IS NOT NULL),
-k AS (SELECT repository_id, test_path, subject_path, shared, (shared * 10 + 6 + CASE WHEN same THEN 3 ELSE 0 END)::INTEGER AS score FROM j WHERE shared > 0),
+    # Compares every test with every source, which is what the operator avoids; made for small tables.
+    "test_subject_links": f"""{_REPO_SURFACES},
+r AS MATERIALIZED (SELECT *, {_TEST_STEM} AS stem, {_terms('path')} AS terms,
+  (source_class = 'tests' OR is_test_support OR is_test_harness OR regexp_matches(regexp_extract(path, '[^/]*$'), '{_SIGNAL}')) AS test FROM surfaces),
+j AS (SELECT t.repository_id, t.path AS test_path, s.path AS subject_path, len(list_intersect(t.terms, s.terms))::INTEGER AS shared, coalesce(t.language = s.language, false) AS same, t.stem = s.stem AND t.stem <> '' AS stems, s.path_class AS kind
+  FROM r t JOIN r s ON t.repository_id = s.repository_id AND t.path <> s.path
+  WHERE t.test AND NOT s.test AND s.source_class NOT IN ({','.join(repr(c) for c in op.NO_SUBJECTS)}) AND coalesce(t.language = s.language OR (t.language IN ('php','blade') AND s.language IN ('php','blade')), true)),
+k AS (SELECT repository_id, test_path, subject_path, shared, (shared * 10 + stems::INTEGER * 6 + same::INTEGER * 3 + CASE kind WHEN 'runtime' THEN 2 WHEN 'support' THEN 1 ELSE 0 END)::INTEGER AS score FROM j WHERE shared > 0),
 a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY repository_id, test_path ORDER BY score DESC, subject_path) <= 6)
 SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY repository_id, subject_path ORDER BY score DESC, test_path) <= 6""",
-    "companion_relations": f"""WITH {_REPO_PATHS},
-r AS (SELECT repository_id, path, coalesce({_SUBTREE}, '') AS subtree, {_PREDICATES['is_entrypoint']} AS entry, CASE WHEN {_TEST} THEN 'test' WHEN {_CONFIG} THEN 'config' WHEN {_CI} THEN 'workflow' END AS kind, {_terms('path')} AS terms FROM paths),
-j AS (SELECT a.repository_id, a.path AS src_path, b.path AS dst_path, b.kind, (len(list_intersect(a.terms, b.terms)) * 12 + 100)::INTEGER AS score FROM r a JOIN r b ON a.repository_id = b.repository_id AND a.subtree = b.subtree AND a.path <> b.path WHERE a.entry AND b.kind IS NOT NULL)
-SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY repository_id, src_path ORDER BY score DESC, dst_path, kind) <= 8""",
+    "companion_relations": f"""{_REPO_SURFACES},
+r AS MATERIALIZED (SELECT *, {_SUBTREE} AS subtree, {_BESIDE} AS beside, ({' OR '.join(op.COMPANIONS)}) AS companion, {_terms('path')} AS terms, {_stem('path')} AS stem FROM surfaces),
+p AS (SELECT a.repository_id, a.path AS src_path, b.path AS dst_path, b.beside, a.is_entrypoint AND b.beside IS NOT NULL AS one, (a.is_entrypoint OR a.is_runtime_companion) AND b.companion AS two, list_intersect(a.terms, b.terms) AS both_, a.stem = b.stem AND a.stem <> '' AS same, a.stem AS stem, a.source_class = b.source_class AS alike
+  FROM r a JOIN r b ON a.repository_id = b.repository_id AND a.subtree = b.subtree AND a.path <> b.path WHERE (a.is_entrypoint OR a.is_runtime_companion) AND (b.beside IS NOT NULL OR b.companion)),
+q AS (SELECT *, least(len(both_) + CASE WHEN same AND NOT list_contains(both_, lower(stem)) THEN 1 ELSE 0 END, 8) AS n FROM p WHERE len(both_) > 0 OR same),
+u AS (SELECT repository_id, src_path, dst_path, beside AS kind, (100 + n * 12 + same::INTEGER * 18 + alike::INTEGER * 6)::INTEGER AS score FROM q WHERE one QUALIFY row_number() OVER (PARTITION BY repository_id, src_path ORDER BY score DESC, dst_path) <= 8),
+v AS (SELECT repository_id, src_path, dst_path, 'companion_surface' AS kind, (80 + same::INTEGER * 20)::INTEGER AS score FROM q WHERE two QUALIFY row_number() OVER (PARTITION BY repository_id, src_path ORDER BY score DESC, dst_path) <= 8)
+SELECT repository_id, src_path, dst_path, kind, max(score)::INTEGER AS score FROM (SELECT * FROM u UNION ALL SELECT * FROM v) GROUP BY 1, 2, 3, 4""",
 }

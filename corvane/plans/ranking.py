@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators import paths, ranking as op
 from corvane.plans import text as search
-from corvane.plans.paths import _CLASS, _PATHS, _PREDICATES, _terms
+from corvane.operators.surfaces import with_surfaces
+from corvane.plans.paths import _PATHS, _terms, surfaces_sql
 from corvane.plans.text import _MATCHES, _RECALL
 from corvane.tables import load, norm_path
 
@@ -17,7 +18,7 @@ RULES = [
     op.Rule("tests.prefers", factor=1.24, all_of=("is_test_support",)),
     op.Rule("fixtures.prefers", factor=1.14, all_of=("is_fixture_support",)),
     op.Rule("noise.penalises", factor=0.08, any_of=("is_ci_workflow", "is_scripts_ops")),
-    op.Rule("config.prefers", factor=1.4, add=0.1, all_of=("is_runtime_config",), none_of=("is_test_support",)),
+    op.Rule("config.prefers", factor=1.4, add=0.1, all_of=("is_runtime_config_artifact",), none_of=("is_test_support",)),
 ]
 
 
@@ -62,9 +63,10 @@ def search_hybrid(spark, folder):
 
 def path_quality(spark, folder):
     rows = load(spark, folder, "file_manifest").select(norm_path("path").alias("path")).where("path is not null").distinct()
-    base = F.when(paths.path_class(F.col("path")) == "runtime", 1.0).when(paths.path_class(F.col("path")) == "support", 0.9).otherwise(0.78)
-    score, fired = op.apply_rules(base, RULES, paths.predicates(F.col("path")))
-    return rows.select("path", F.round(score, 6).alias("quality"), F.array_join(fired, ",").alias("fired"))
+    named = list(dict.fromkeys(n for r in RULES for n in (*r.all_of, *r.any_of, *r.none_of)))
+    base = F.when(F.col("path_class") == "runtime", 1.0).when(F.col("path_class") == "support", 0.9).otherwise(0.78)
+    score, fired = op.apply_rules(base, RULES, {n: F.col(n) for n in named})
+    return with_surfaces(rows, "path_class", *named).select("path", F.round(score, 6).alias("quality"), F.array_join(fired, ",").alias("fired"))
 
 
 QUERIES = {f.__name__: f for f in (channel_normalise, blend_channels, document_rollup, bounded_anchor_pool, search_hybrid, path_quality)}
@@ -87,15 +89,15 @@ _ORDER = "blended DESC, lexical DESC, witness DESC, graph DESC, semantic DESC, d
 _ROLL = f"""{_BLEND},
 placed AS (SELECT document, line, blended, row_number() OVER (PARTITION BY document ORDER BY {_ORDER}) - 1 AS n FROM blended),
 rolled AS (SELECT document, round(1 - product(1 - blended * CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, 0.35::DOUBLE / n) END), 6) AS score, min(line) FILTER (n = 0) AS line, count(*)::INTEGER AS anchors FROM placed GROUP BY 1)"""
-_FIRED = ", ".join("CASE WHEN " + (" AND ".join([*(_PREDICATES[x] for x in r.all_of), *([f"({' OR '.join(_PREDICATES[x] for x in r.any_of)})"] if r.any_of else []), *(f"NOT {_PREDICATES[x]}" for x in r.none_of)])) + f" THEN '{r.id}' END" for r in RULES)
+_FIRED = ", ".join("CASE WHEN " + (" AND ".join([*(x for x in r.all_of), *([f"({' OR '.join(x for x in r.any_of)})"] if r.any_of else []), *(f"NOT {x}" for x in r.none_of)])) + f" THEN '{r.id}' END" for r in RULES)
 
 
 def _quality() -> str:
-    score = f"CASE WHEN ({_CLASS}) = 'runtime' THEN 1.0::DOUBLE WHEN ({_CLASS}) = 'support' THEN 0.9::DOUBLE ELSE 0.78::DOUBLE END"
-    steps = f"s0 AS (SELECT path, {score} AS q, [{_FIRED}] AS f FROM paths)"
+    score = f"CASE WHEN path_class = 'runtime' THEN 1.0::DOUBLE WHEN path_class = 'support' THEN 0.9::DOUBLE ELSE 0.78::DOUBLE END"
+    steps = f"{surfaces_sql('paths')}, q0 AS (SELECT path, {score} AS q, [{_FIRED}] AS f FROM surfaces)"
     for i, r in enumerate(RULES):
-        steps += f", s{i + 1} AS (SELECT path, CASE WHEN f[{i + 1}] IS NOT NULL THEN q * {r.factor}::DOUBLE + {r.add}::DOUBLE ELSE q END AS q, f FROM s{i})"
-    return f"WITH {_PATHS}, {steps} SELECT path, round(q, 6) AS quality, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS fired FROM s{len(RULES)}"
+        steps += f", q{i + 1} AS (SELECT path, CASE WHEN f[{i + 1}] IS NOT NULL THEN q * {r.factor}::DOUBLE + {r.add}::DOUBLE ELSE q END AS q, f FROM q{i})"
+    return f"WITH {_PATHS}, {steps} SELECT path, round(q, 6) AS quality, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS fired FROM q{len(RULES)}"
 
 
 SQL = {
