@@ -176,12 +176,6 @@ class CentroidGraph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(cosines, order, 1)
 
 
-def usable(embedding: Column, dimensions: Column) -> Column:
-    """Exactly `dimensions` elements, all finite and not all zero."""
-    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embedding.isNotNull() & dimensions.isNotNull() & (F.size(embedding) == dimensions) & finite & F.exists(embedding, lambda x: x != 0)
-
-
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first so that squares neither overflow nor vanish."""
     wide = vectors.astype(np.float64)
@@ -194,6 +188,11 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of 32-bit floats of equal length, kept as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
+
+
 def _assign(vectors: np.ndarray, graph: CentroidGraph, s: IndexSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, role) of the lists each vector lies in (role 1), looks into (2) or both (3)."""
     near, cosines = graph.search(_unit(vectors).astype(np.float32), max(s.beam, s.copies, s.probes))
@@ -271,10 +270,42 @@ def _blocks(ids: np.ndarray, row: np.ndarray, cell: np.ndarray, role: np.ndarray
     return row[at[fresh]], cell[at[fresh]], block[fresh].astype(np.int32), np.add.reduceat(kind, np.flatnonzero(fresh)).astype(np.int8)
 
 
-def direction(vector: Column) -> Column:
-    """The vector at length one, in millionths: whole numbers that vectors of one direction share, whatever their lengths."""
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.rint(x.cast("double") * 1e6 / length).cast("int"))
+def directions(unit: np.ndarray) -> np.ndarray:
+    """Unit vectors in millionths: whole numbers that vectors of one direction share, whatever their lengths."""
+    return np.rint(unit * 1e6).astype(np.int32)
+
+
+def prepared(df: DataFrame, vec_id: Column, group: list[Column], embedding: Column, dimensions: Column) -> DataFrame:
+    """The usable vectors: id, grp and g (their group and its hash), v (32-bit floats as bytes), h1, h2 (128 bits of hash of group and direction).
+
+    A vector is usable if it has exactly `dimensions` elements, all finite as 32-bit floats and not all zero. Rows without id are left out.
+    """
+    key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in group], dimensions.cast("string"))
+    rows = df.select(vec_id.cast("long").alias("id"), key.alias("grp"), F.xxhash64(key).alias("g"), embedding.cast("array<float>").alias("v"), dimensions.cast("int").alias("d"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            lengths, wanted = batch.column(3).value_lengths().to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths):
+                where = np.flatnonzero((lengths == d) & (wanted == d))
+                if not len(where) or d < 1:
+                    continue
+                vectors = _matrix(batch.column(3).take(pa.array(where))).astype(np.float32)
+                good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+                where, vectors = where[good], vectors[good]
+                if not len(where):
+                    continue
+                part = batch.take(pa.array(where))
+                way, seeds = directions(_unit(vectors)), part.column(2).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+                hashes = [np.array([xxhash.xxh64_intdigest(row, (seed + n) & 0xFFFFFFFFFFFFFFFF) for row, seed in zip(way, seeds)], np.uint64).view(np.int64) for n in (1, 2)]
+                width = int(d) * 4
+                packed = pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(np.arange(0, (len(where) + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(vectors.astype("<f4").tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), packed, *map(pa.array, hashes)], names=["id", "grp", "g", "v", "h1", "h2"])
+
+    fit = F.col("v").isNotNull() & F.col("d").isNotNull() & F.col("id").isNotNull() & (F.size("v") == F.col("d"))
+    return rows.where(fit).mapInArrow(run, "id long, grp string, g long, v binary, h1 long, h2 long")
 
 
 def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embedding: Column, dimensions: Column, k: int = 5, min_cosine: float = -1.0, settings: IndexSettings = IndexSettings()) -> DataFrame:
@@ -282,7 +313,7 @@ def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embeddin
 
     Compared are vectors of the same `group` and dimensions; cosines are rounded to 6 decimals, those
     below `min_cosine` are left out and on equal cosine the smaller id comes first. Unusable vectors
-    (see `usable`), and rows without id, are left out. All
+    (see `prepared`), and rows without id, are left out. All
     vectors are indexed and all are searched; the bounded sample of `settings` serves
     only to place the centroids. The result is approximate: a neighbour is missed when
     it shares no list with the vector.
@@ -293,20 +324,16 @@ def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embeddin
     by these k + 1, which may differ from the rest in the last decimal of a cosine.
     """
     spark, s = df.sparkSession, settings
-    key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in group], dimensions.cast("string"))
-    # Usable is what a vector of floats can hold: larger numbers would become infinite.
-    floats = embedding.cast("array<float>")
-    good = df.where(usable(floats, dimensions) & vec_id.isNotNull()).select(vec_id.cast("long").alias("id"), key.alias("grp"), floats.alias("v"))
-    good = good.withColumn("g", F.xxhash64("grp"))
-    keyed = good.withColumn("way", direction(F.col("v"))).withColumn("h1", F.xxhash64("grp", "way")).withColumn("h2", F.hash("way", "grp"))
+    # Written once; the steps below read only the columns they need.
+    good = materialise(prepared(df, vec_id, group, embedding, dimensions))
 
     # Only the k + 2 smallest ids of each direction are shuffled: the rank filter is applied before the exchange too.
     by_copy = Window.partitionBy("h1", "h2").orderBy("id")
-    least = keyed.select("h1", "h2", "id").withColumn("rn", F.row_number().over(by_copy)).where(f"rn <= {k + 2}")
+    least = good.select("h1", "h2", "id").withColumn("rn", F.row_number().over(by_copy)).where(f"rn <= {k + 2}")
     copies = least.groupBy("h1", "h2").agg(F.max("rn").alias("n"), F.min("id").alias("first"), F.max(F.when(F.col("rn") <= k + 1, F.col("id"))).alias("last"))
     many = materialise(copies.where(f"n > {k + 1}").drop("n"))
     folded = measured(many).rows > 0
-    marked = lookup_join(keyed, many, ["h1", "h2"], "left", salt_on=["id"]) if folded else None
+    marked = lookup_join(good, many, ["h1", "h2"], "left", salt_on=["id"]) if folded else None
     kept = (marked.where("last is null or id <= last") if folded else good).select("id", "grp", "g", "v")
 
     counts = materialise(good.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
@@ -327,7 +354,7 @@ def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embeddin
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for name in dict.fromkeys(names.tolist()):
                 where = np.flatnonzero(names == name)
-                vectors, ids = _matrix(batch.column(3).take(pa.array(where))), all_ids[where]
+                vectors, ids = _floats(batch.column(3).take(pa.array(where))), all_ids[where]
                 if name in known:
                     graph, pieces = known[name]
                     row, cell, role = _assign(vectors, graph, s)
@@ -345,8 +372,7 @@ def nearest_vectors(df: DataFrame, vec_id: Column, group: list[Column], embeddin
 
     def search(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
-        blob = b"".join(table.column("v").to_pylist())
-        found = list(_search_list(ids, np.frombuffer(blob, "<f4").reshape(len(ids), -1), role, k + 1, min_cosine, s))
+        found = list(_search_list(ids, _floats(table.column("v")), role, k + 1, min_cosine, s))
         lists = pa.list_(pa.struct([("off", pa.int32()), ("id", pa.int64())]))
         near = [[{"off": int(o), "id": int(i)} for o, i in zip(np.rint(-c * 1e6), n)] for _, n, c in found]
         return pa.table({"id": pa.array([int(f[0]) for f in found], pa.int64()), "near": pa.array(near, lists)})
@@ -377,7 +403,7 @@ def _fit(good: DataFrame, sizes: dict[str, int], s: IndexSettings) -> dict[str,
         where = np.flatnonzero(names == name)[:most]
         if not len(where):
             continue  # one list
-        sample = _matrix(table.column("v").take(pa.array(where)).combine_chunks())
+        sample = _floats(table.column("v").take(pa.array(where)))
         lists = min(max(1, len(sample) // 4), max(1, round(n / s.list_size)))
         graph = CentroidGraph(fit_centroids(_unit(sample).astype(np.float32), lists, s.seed), s.degree, s.seed)
         pieces = np.ones(len(graph.centroids), np.int64)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corvane.llm.neighbours import CentroidGraph, IndexSettings, _blocks, direction, fit_centroids, nearest_vectors, similar_pairs
+from corvane.llm.neighbours import CentroidGraph, IndexSettings, _blocks, fit_centroids, nearest_vectors, prepared, similar_pairs
 from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, model string, embedding array<float>, dimensions int, cosine string"
@@ -77,7 +77,8 @@ def test_one_direction_of_many_lengths(spark):
     want = brute(vectors, 5, -1.0)
     assert all(got[i] == want[i] for i in vectors if i % 5 == 0)
     assert np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in vectors]) > 0.93
-    ways = spark.createDataFrame([(v,) for i, v in vectors.items() if i % 5 == 0], "v array<float>").select(direction(F.col("v")).alias("w")).distinct().count()
+    rows = spark.createDataFrame([(i, "m", v, 16, "x") for i, v in vectors.items()], SCHEMA)
+    ways = prepared(rows.where("vec_id % 5 = 0"), F.col("vec_id"), [F.col("model")], F.col("embedding"), F.col("dimensions")).select("h1", "h2").distinct().count()
     assert ways <= 16
 
 
