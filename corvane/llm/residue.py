@@ -12,10 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,9 +195,11 @@ _STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w-]|\.\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words joined as in names of variables; two blanks where a word was taken out.
 _JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+)+(?![\w./(-])")
-#: Words and single signs; `record_slots` cuts alike.
-TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}\p{C}]"
-_TOKEN = regex.compile(TOKEN)
+#: Words and single signs, and what is masked before they are cut: words with digits.
+_TOKEN, _MASKED = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w*\d\w*")
+#: Where the segments that are aligned end: at sentences and lines.
+_SEGMENT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|[\r\n\x0b\x0c\x85\u2028\u2029]+")
+_FIRST = re.compile(r"^[^\w]+")
 _HUMP = re.compile(r"[a-z][A-Z]|[A-Za-z]_[A-Za-z]")
 _GAP_SIGNS = ("  ", " ,", " !", " .")
 _GAP = re.compile(r"(?<=[A-Za-z:,])  (?=[A-Za-z,.])|(?<=[A-Za-z]) (?=[,!.](?:\s|$))")
@@ -345,10 +346,8 @@ def finest(line: str) -> Iterator[str]:
 
 
 def words_of(segment: str) -> list[str]:
-    """Words and signs of a segment in lower case, numbers masked, without signs that lead it."""
-    found = [("#" if any(c.isdigit() for c in w) else w) for w in _TOKEN.findall(segment.lower())]
-    first = next((i for i, w in enumerate(found) if w[0].isalnum() or w[0] == "#" or w[0] == "_"), len(found))
-    return found[first:]
+    """Words and signs of a segment in lower case, words with digits masked, without signs that lead it."""
+    return _TOKEN.findall(_MASKED.sub("#", _FIRST.sub("", segment)).lower())
 
 
 def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
@@ -362,9 +361,9 @@ def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
         places = [(m.start(), m.end(), "field " + "".join(name_parts(m[0]))) for m in _JOINED.finditer(segment) if known_name(m[0])]
         places += [(m.start() + 1, m.end() - 1, "default") for m in _GAP.finditer(segment) if gaps]
     for start, end, what in places:
-        before = words_of(FIELD.sub(" ", segment[:start]))
+        before = words_of(FIELD.sub(" ", segment[:start]))[-NEAR:]
         # Signs behind a slot are no marks of a list.
-        after = words_of("x " + FIELD.sub(" ", segment[end:]))[1:]
+        after = words_of("x " + FIELD.sub(" ", segment[end:]))[1 : NEAR + 1]
         told = [w for w in before + after if w[0].isalpha()]
         if len(told) >= 2 or before[-1:] == [":"]:
             left, right = (["^", "^", *before])[-2:], ([*after, "$", "$"])[:2]
@@ -408,36 +407,87 @@ def candidates(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 #: Words that fill a slot at most; longer text between two pieces that recur is no value.
 FILL_WORDS = 4
-#: Share of the words around a slot that an aligned record has too; the others are slots of their own.
-ALIKE = 0.6
+#: Words on either side of a slot that are compared, and the share of them that an aligned record has too; the others are slots of their own.
+NEAR, ALIKE = 64, 0.6
+#: Bits of a filter of surroundings, which is sent to all tasks: it only saves rows, the join behind it is exact.
+FILTER_BITS = 1 << 22
+
+
+def _filter(slots: DataFrame, value: Column) -> bytes:
+    """A filter with the bits set that hashes of `value` name; at most FILTER_BITS numbers are collected, however many slots there are."""
+    import numpy as np
+
+    bits = np.zeros(FILTER_BITS, bool)
+    found = slots.select(F.xxhash64(value).bitwiseAND(FILTER_BITS - 1).cast("int").alias("bit")).distinct().toArrow()
+    bits[found.column("bit").to_numpy()] = True
+    return bits.tobytes()
+
+
+def aligned(text: str, lefts: Callable[[str], bool], pairs: Callable[[str], bool]) -> Iterator[tuple[str, str, str, str]]:
+    """(two words before, two behind, fill, words near by) of all places of a text whose surroundings may be those of slots."""
+    for segment in _SEGMENT.split(text):
+        segment = _FIRST.sub("", segment)
+        low = _TOKEN.findall(_MASKED.sub("#", segment).lower())
+        if len(low) < 2:
+            continue
+        raw = None
+        one, two = "^", "^"
+        for i, word in enumerate(low):
+            left = one + " " + two
+            one, two = two, word
+            if not lefts(left):
+                continue
+            for n in range(1, min(FILL_WORDS, len(low) - i) + 1):
+                right = " ".join((low[i + n : i + n + 2] + ["$", "$"])[:2])
+                if pairs(left + "\t" + right):
+                    if raw is None:
+                        raw = _TOKEN.findall(segment)
+                        raw = raw if len(raw) == len(low) else low
+                    yield left, right, " ".join(raw[i : i + n]), " ".join(low[max(0, i - NEAR) : i] + low[i + n : i + n + NEAR])
 
 
 def record_slots(slots: DataFrame, df: DataFrame, doc_id: Column, text: Column, least_records: int = 3) -> DataFrame:
     """Of `slots` (template, as `_slots` gives it) those that records fill: at least `least_records` other texts have
     differing values, mostly names, numbers or addresses, between the same two words before and behind, and
-    `ALIKE` of the other words of the segment.
+    `ALIKE` of the other words near by.
 
-    All segments of the corpus are compared, by equality. First the two words before each word are looked up
-    among those of the slots; where they are, the two words behind 1 to `FILL_WORDS` words are too.
+    All segments of the corpus are aligned with all slots by equality of the words around a place of 1 to `FILL_WORDS`
+    words. Filters of a fixed size leave few places to be joined.
     """
     part = F.split("template", "\t")
     keyed = materialise(slots.select("template").distinct().select("template", part[0].alias("left"), part[1].alias("right"), F.split(part[2], " ").alias("others")))
-    segment = F.explode(F.split("text", r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|[\r\n\u000b\f\u0085\u2028\u2029]+"))
-    read = df.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null").select("doc_id", segment.alias("segment"))
-    read = read.select("doc_id", F.regexp_extract_all(F.regexp_replace("segment", r"^[^\p{L}\p{M}\p{N}_]+", ""), F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw").between(2, 1_000_000))
-    low = F.transform("raw", lambda w: F.when(w.rlike(r"\p{Nd}"), "#").otherwise(F.lower(w)))
-    at = lambda words, i: F.element_at(words, i)
-    marked = read.select("doc_id", "raw", F.concat(F.array(F.lit("^"), F.lit("^")), low, F.array(F.lit("$"), F.lit("$"))).alias("low"))
-    # A slot stands before word i; a segment ends with two marks.
-    places = marked.select("doc_id", "raw", "low", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("raw")), lambda i: F.concat_ws(" ", at(F.col("low"), i), at(F.col("low"), i + 1)))).alias("i", "left"))
-    met = lookup_join(places, keyed.select("left").distinct(), ["left"], "left_semi", salt_on=["doc_id", "i"])
-    behind = F.transform(F.sequence(F.lit(1), F.least(F.lit(FILL_WORDS), F.size("raw") - F.col("i"))), lambda n: F.struct(n.alias("n"), F.concat_ws(" ", at(F.col("low"), F.col("i") + n + 3), F.try_element_at(F.col("low"), F.col("i") + n + 4)).alias("right")))
-    ends = met.select("doc_id", "raw", "low", "i", "left", F.explode(behind).alias("b")).select("doc_id", "raw", "low", "i", "left", "b.n", "b.right")
-    # A segment that ends behind the slot shows one mark where nothing follows.
-    ends = ends.withColumn("right", F.when(F.col("i") + F.col("n") == F.size("raw"), "$ $").otherwise(F.col("right")))
-    same = lookup_join(ends, keyed, ["left", "right"], salt_on=["doc_id", "i"])
-    alike = same.where(F.size(F.array_intersect("others", "low")) >= ALIKE * F.size("others"))
-    filled = alike.select("template", "doc_id", F.array_join(F.slice("raw", F.col("i") + 1, F.col("n")), " ").alias("fill"))
+    context = df.sparkSession.sparkContext
+    known = context.broadcast((_filter(keyed, F.col("left")), _filter(keyed, F.concat_ws("\t", "left", "right"))))
+
+    def tester(bits: bytes) -> Callable[[str], bool]:
+        import xxhash
+
+        told: dict[str, bool] = {}
+
+        def test(value: str) -> bool:
+            if (out := told.get(value)) is None:
+                if len(told) > 200_000:
+                    told.clear()
+                out = told[value] = bool(bits[xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 42) & (FILTER_BITS - 1)])
+            return out
+
+        return test
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts, pairs = (tester(bits) for bits in known.value)
+        for batch in batches:
+            at, rows = [], []
+            for i, value in enumerate(batch.column(1)):
+                for row in aligned(value.as_py(), lefts, pairs):
+                    at.append(i)
+                    rows.append(row)
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", "left", "right", "fill", "near"])
+
+    read = df.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
+    places = read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, left string, right string, fill string, near string")
+    same = lookup_join(places, keyed, ["left", "right"], salt_on=["doc_id", "fill"])
+    filled = same.where(F.size(F.array_intersect("others", F.split("near", " "))) >= ALIKE * F.size("others"))
     # Names of variables, unset values and fields fill a slot too, but are no values.
     plain = filled.where(F.col("fill").rlike(r"[\p{L}\p{N}]") & ~F.col("fill").rlike(r"[{}<>$%@\[\]]{1}\s*[A-Za-z_]") & ~F.col("fill").rlike(_DEFAULT_FILL) & ~F.col("fill").rlike(r"^[A-Za-z]+(_[A-Za-z]+)+$|^([a-z]+|[A-Z][a-z]+)([A-Z][a-z]+)+$"))
     value = F.col("fill").rlike(r"^\p{Lu}|\p{Nd}|@|: / /").cast("int")
