@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
+from corvane.session import materialise
 
 LIMIT, OVERLAP = 4_096, 256
 
@@ -164,11 +165,11 @@ def split_items(df: DataFrame, item: Column, path: Column, text: Column, limit:
 
 
 def _once(wide: DataFrame) -> DataFrame:
-    """One row per item. Only items that come more than once are shuffled with their texts.
+    """One row per item. Only items that come more than once are shuffled with their texts; the table is read three times, once to find them.
 
     Partial aggregation leaves one row a task of an item that comes very often.
     """
-    repeated = wide.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
+    repeated = materialise(wide.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item"))
     once = lookup_join(wide, repeated, ["item"], "left_anti", salt_on=["path"])
     least = F.min(F.struct(F.coalesce("path", F.lit("")).alias("path"), "text")).alias("row")
     chosen = lookup_join(wide, repeated, ["item"], "left_semi", salt_on=["path"]).groupBy("item").agg(least)
