@@ -1,7 +1,7 @@
 """Declarations of a source text and how they nest, told by the first line and the indentation.
 
 There is no grammar: a declaration is a line that begins with modifiers, a keyword and a name; it reaches to the last
-line before one that is not indented further and closes nothing.
+line before one that is indented less, or no further and closes nothing.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def outline(text: str) -> list[tuple[str, str, int, int, list[tuple[str, str, in
             continue
         bare = line.lstrip(" \t")
         indent = len(line) - len(bare)
-        if not _CLOSER.match(line):
-            while open_ and open_[-1][0] >= indent:
-                out[open_.pop()[1]][3] = last
+        closes = bool(_CLOSER.match(line))
+        while open_ and (open_[-1][0] > indent or (open_[-1][0] == indent and not closes)):
+            out[open_.pop()[1]][3] = last
         if found := declared(line):
             out.append([*found, number, 0, [at for _, at in open_]])
             open_.append((indent, len(out) - 1))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SYMBOLS = "file string, kind string, name string, qualified string, start_line int, end_line int, start_column int, end_column int"
 _KINDS = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
@@ -88,3 +90,46 @@ def python_symbols(df: DataFrame, file: Column, text: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return df.select(file.cast("string").alias("file"), text.alias("text")).where("text is not null").mapInArrow(run, SYMBOLS)
+
+
+MATCHES = "file string, kind string, name string, line int, column int, last_line int"
+STACK = "file string, line int, column int, depth int, kind string, name string, first_line int, last_line int"
+
+
+def _rows(df: DataFrame, make: Callable[[tuple], Iterable[tuple]], schema: str, texts: dict[str, pa.DataType]) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [texts[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for record in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))) for r in make(record)]
+            columns = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+_TYPES = {"string": pa.string(), "int": pa.int32()}
+
+
+def search_structural(df: DataFrame, file: Column, text: Column, kind: str, name: str | None = None, within: str | None = None) -> DataFrame:
+    """Nodes of a kind (and name, and inside a node of another kind) in Python texts: file, kind, name, line, column, last_line. Other texts have none."""
+    rows = df.select(file.cast("string").alias("file"), text.alias("text")).where("text is not null")
+    return _rows(rows, lambda r: ((r[0], *m) for m in matching_nodes(r[1], kind, name, within)), MATCHES, _TYPES)
+
+
+def inspect_syntax_tree(df: DataFrame, file: Column, text: Column, line: Column, column: Column) -> DataFrame:
+    """The nodes around a place of each Python text, the outermost first: file, line, column, depth, kind, name, first_line, last_line."""
+    rows = df.select(file.cast("string").alias("file"), text.alias("text"), line.cast("int").alias("line"), column.cast("int").alias("column")).where("text is not null and line is not null and column is not null")
+    return _rows(rows, lambda r: ((r[0], r[2], r[3], i, *n) for i, n in enumerate(stack_at(r[1], r[2], r[3]))), STACK, _TYPES)
+
+
+def node_counts(df: DataFrame, text: Column) -> DataFrame:
+    """How many nodes of each kind the Python texts have: kind, nodes. Counts of a text are folded before rows leave it."""
+
+    def kinds(record: tuple) -> Iterable[tuple]:
+        tree = parse(record[0])
+        return Counter(type(n).__name__ for n in ast.walk(tree)).items() if tree else ()
+
+    counted = _rows(df.select(text.alias("text")).where("text is not null"), kinds, "kind string, nodes int", _TYPES)
+    return counted.groupBy("kind").agg(F.sum("nodes").alias("nodes"))

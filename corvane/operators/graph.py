@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.joins import lookup_join
+from corvane.session import materialise, materialise_as
+
 # How far a relation can be trusted, and the weight it has in the graph channel.
 CONFIDENCE = {"calls": "high", "refers_to": "high", "implements": "high", "extends": "high", "contains": "medium", "defined_in": "low"}
 WEIGHTS = {"calls": 1.0, "refers_to": 0.9, "implements": 0.95, "extends": 0.9, "contains": 0.6, "defined_in": 0.5}
@@ -13,9 +16,13 @@ WEIGHTS = {"calls": 1.0, "refers_to": 0.9, "implements": 0.95, "extends": 0.9, "
 def edge_set(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges once each, edges with an unknown end): src, dst, kind. Null ends are unknown."""
     once = edges.select("src", "dst", "kind").distinct()
-    ids = nodes.select("id").where("id is not null").distinct()
-    known = once.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
-    return known, once.exceptAll(known)
+    ids = materialise(nodes.select("id").where("id is not null").distinct())
+    flagged = once
+    for end, other in (("src", "dst"), ("dst", "src")):
+        side = materialise_as(ids, ids.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_known")))
+        flagged = lookup_join(flagged, side, [end], "left", salt_on=[other, "kind"])
+    both = F.col("src_known").isNotNull() & F.col("dst_known").isNotNull()
+    return flagged.where(both).select("src", "dst", "kind"), flagged.where(~both).select("src", "dst", "kind")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

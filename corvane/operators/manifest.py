@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
 from corvane.operators.snapshots import snapshot_series
+from corvane.session import materialise
 from corvane.tables import norm_digest, norm_key, norm_path
 
 
@@ -31,7 +32,7 @@ def same_file() -> F.Column:
 
 
 def _paired(snapshots: DataFrame, manifest: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
-    series = snapshot_series(snapshots, manifest)
+    series = materialise(snapshot_series(snapshots, manifest))
     rows = lookup_join(manifest_rows(manifest).drop("repository_id"), series.select("snapshot_id", "worktree", "seq", "last_seq"), ["snapshot_id"], salt_on=["path"])
     new = rows.where("seq > 1").select("worktree", "seq", "path", "digest", "size", "mtime", F.lit(True).alias("is_new"))
     old = rows.where("seq < last_seq").select("worktree", (F.col("seq") + 1).alias("seq"), "path", F.col("digest").alias("old_digest"), F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.lit(True).alias("is_old"))
@@ -61,11 +62,12 @@ def changed_only_reuse(snapshots: DataFrame, manifest: DataFrame) -> DataFrame:
 
     A digest is reused where the last full snapshot of the worktree has the path with the same size and mtime.
     """
-    dim = snapshot_dim(snapshots)
-    part = dim.where("kind = 'changed_only'").select("snapshot_id", "worktree", F.col("created_at").alias("at"))
-    full = dim.where("kind = 'manifest'").select(F.col("snapshot_id").alias("full_id"), "worktree", "created_at")
-    before = part.join(full, "worktree", "left").where("created_at is null or created_at < at").groupBy("snapshot_id").agg(F.max(F.struct("created_at", "full_id")).alias("b")).select("snapshot_id", "b.full_id")
-    before = part.select("snapshot_id").join(before, "snapshot_id", "left")
+    dim = snapshot_dim(snapshots).where("kind in ('changed_only', 'manifest')")
+    # The last full snapshot before is carried forward over the worktree's snapshots in order; of equal times a full one does not count as before.
+    w = Window.partitionBy("worktree").orderBy(F.col("created_at").asc_nulls_first(), F.col("kind"), "snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    full = F.when((F.col("kind") == "manifest") & F.col("created_at").isNotNull(), F.col("snapshot_id"))
+    carried = dim.withColumn("full_id", F.when(F.col("worktree").isNotNull() & F.col("created_at").isNotNull(), F.last(full, ignorenulls=True).over(w)))
+    before = carried.where("kind = 'changed_only'").select("snapshot_id", "full_id")
     rows = manifest_rows(manifest).drop("repository_id")
     new = lookup_join(rows, before, ["snapshot_id"], salt_on=["path"])
     old = lookup_join(rows.withColumnRenamed("snapshot_id", "full_id"), before.select("full_id").where("full_id is not null").distinct(), ["full_id"], salt_on=["path"])

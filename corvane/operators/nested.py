@@ -11,6 +11,7 @@ Every repeated or optional ancestor can be rebuilt from the levels of any one le
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ from corvane.functions.jsontext import Number, parse
 
 LEVELS = "source_table string, record_id string, leaf array<string>, r array<int>, d array<int>, v array<string>"
 OBJECTS = "source_table string, record_id string, node_path string, parent_path string"
+ROWS = "source_table string, record_id string, table string, row_path string, parent_table string, parent_path string"
 VALUES = "source_table string, record_id string, object_path string, field string, kind string, value string"
 
 
@@ -138,41 +140,58 @@ def _pointer(name: str) -> str:
     return name.replace("~", "~0").replace("/", "~1")
 
 
-def assemble_objects(columns: Iterable[tuple[tuple[str, ...], tuple[list, list, list]]]) -> list[tuple[str, str]]:
-    """(node_path, parent_path) of each object of a record, from the level sequences alone.
+def _walk(columns: Iterable[tuple[tuple[str, ...], tuple[list, list, list]]], wanted: str) -> Iterator[tuple[tuple[str, ...], int, int, list[str], list[int]]]:
+    """Every time a place of the schema that ends in the step `wanted` comes into being: (leaf, steps of the place, place around, pointers by number of steps, list positions).
 
-    Each object place is rebuilt from the first column below it. The root object is not listed.
+    Each place is rebuilt from the first column below it. Columns come in the order of a walk, so those with a common
+    prefix stand together, and what the column before shares has been told. Pointers are kept from entry to entry:
+    behind the list that an entry continues they are written anew, as far as the entry is defined.
     """
-    out, done = [], set()
+    last: tuple[str, ...] = ()
     for leaf, (rs, ds, _) in columns:
-        places = [i + 1 for i, step in enumerate(leaf) if step == "{"]
-        # Steps may hold the same text at one place only, so a prefix names one place.
-        fresh = [n for n in places if leaf[:n] not in done]
+        shared = next((i for i, (x, y) in enumerate(zip(leaf, last)) if x != y), min(len(leaf), len(last)))
+        last = leaf
+        places = [i + 1 for i, step in enumerate(leaf) if step == wanted]
+        fresh = [n for n in places if n > shared]
         if not fresh:
             continue
-        done.update(leaf[:n] for n in fresh)
+        around = dict(zip(places, [0, *places]))
         steps = [None if s == "[" else "/" + _pointer(s[1:]) if s[0] == "." else "" for s in leaf]
         lists = [0]
         for s in leaf:
             lists.append(lists[-1] + (s == "["))
-        above = {n: next((m for m in reversed(places) if m < n), 0) for n in fresh}
-        at = [0] * (lists[-1] + 1)
+        starts = [0, *(i for i, s in enumerate(leaf) if s == "[")]
+        at, pointers = [0] * (lists[-1] + 1), [""] * (len(leaf) + 1)
         for r, d in zip(rs, ds):
             if r:
                 at[r] += 1
                 at[r + 1 :] = [0] * (lists[-1] - r)
-            for n in fresh:
-                if n <= d and r <= lists[n] and n > 1:
-                    parts, depth, parent = [], 0, ""
-                    for i in range(n):
-                        if i == above[n]:
-                            parent = "".join(parts)
-                        if steps[i] is None:
-                            depth += 1
-                            parts.append(f"/{at[depth]}")
-                        else:
-                            parts.append(steps[i])
-                    out.append(("".join(parts), parent if above[n] else ""))
+            first = starts[r]
+            for i in range(first, min(d, fresh[-1])):
+                pointers[i + 1] = pointers[i] + (f"/{at[lists[i + 1]]}" if steps[i] is None else steps[i])
+            # A place is new where its own list, or one around it, goes on: behind `first`.
+            for n in fresh[bisect_left(fresh, first + 1) : bisect_right(fresh, d)]:
+                if r <= lists[n]:
+                    yield leaf, n, around[n], pointers, at
+
+
+def assemble_objects(columns: Iterable[tuple[tuple[str, ...], tuple[list, list, list]]]) -> list[tuple[str, str]]:
+    """(node_path, parent_path) of each object of a record, from the level sequences alone. The root object is not listed."""
+    return [(pointers[n], pointers[above]) for _, n, above, pointers, _ in _walk(columns, "{") if n > 1]
+
+
+def assemble_rows(columns: Iterable[tuple[tuple[str, ...], tuple[list, list, list]]]) -> list[tuple[str, str, str, str]]:
+    """(table, row_path, parent_table, parent_path) of each element of each list of a record: a table for each repeated place of
+    the schema, its rows linked to those of the repeated place around it; "" is the record."""
+    names: dict[tuple[int, int], str] = {}
+    out, seen = [], None
+    for leaf, n, above, pointers, _ in _walk(columns, "["):
+        if leaf is not seen:
+            seen, names = leaf, {}
+        for end in (n, above):
+            if (0, end) not in names:
+                names[0, end] = "".join("/[]" if s == "[" else "/" + _pointer(s[1:]) if s[0] == "." else "" for s in leaf[:end])
+        out.append((names[0, n], pointers[n], names[0, above], pointers[above]))
     return out
 
 
@@ -289,3 +308,21 @@ def nested_values(recs: DataFrame) -> DataFrame:
         return _each_record(batches, lambda value: assemble_values(stripe_record(value)), _strings(4))
 
     return recs.mapInArrow(run, VALUES).distinct()
+
+
+def nested_rows(recs: DataFrame) -> DataFrame:
+    """A table for each repeated place: source_table, record_id, table, row_path, parent_table, parent_path, one row per list element.
+
+    `table` is the place in the schema, such as /children/[]/types/[]; the parent is the element of the repeated place around.
+    """
+
+    def run(batches):
+        return _each_record(batches, lambda value: assemble_rows(stripe_record(value)), _strings(4))
+
+    return recs.mapInArrow(run, ROWS).distinct()
+
+
+def leaf_statistics(levels: DataFrame) -> DataFrame:
+    """Of the columns that `shred` gives, by leaf path: source_table, leaf_path, records, entries, defined (entries that reach the leaf), repeated (the largest repetition level)."""
+    told = levels.select("source_table", F.array_join("leaf", "").alias("leaf_path"), F.size("r").alias("n"), F.size(F.filter("d", lambda d: d == F.size("leaf"))).alias("full"), F.array_max("r").alias("top"))
+    return told.groupBy("source_table", "leaf_path").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("entries"), F.sum("full").alias("defined"), F.max("top").alias("repeated"))

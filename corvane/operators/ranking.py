@@ -53,17 +53,72 @@ def ranked(blended: DataFrame) -> list[Column]:
     return [F.col("blended").desc(), F.col("lexical").desc(), F.col("witness").desc(), F.col("graph").desc(), F.col("semantic").desc(), F.col("document"), F.col("line")]
 
 
-def roll_up(blended: DataFrame) -> DataFrame:
-    """One row per document: document, score, line (of the best anchor), anchors. Each further anchor adds to what is missing to 1, in rank order, with weight 0.35 by its place, at least 0.05."""
-    anchors = F.array_sort(F.collect_list(F.struct((-F.col("blended")).alias("b"), (-F.col("lexical")).alias("l"), (-F.col("witness")).alias("w"), (-F.col("graph")).alias("g"), (-F.col("semantic")).alias("s"), "line")))
-    folded = blended.groupBy("document").agg(anchors.alias("a"))
-    state = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"))
+def roll_up(blended: DataFrame, weights: Weights = Weights()) -> DataFrame:
+    """One row per document: document, score, lexical, witness, graph, semantic, line and excerpt of its representative, anchors.
 
-    def step(so_far, x):
-        weight = F.when(so_far["n"] == 0, 1.0).otherwise(F.greatest(F.lit(0.05), 0.35 / so_far["n"]))
-        return F.struct((1 - (1 - so_far["score"]) * (1 + weight * x["b"])).alias("score"), (so_far["n"] + 1).alias("n"))
+    In rank order each further anchor adds, channel by channel, to what is missing to 1, with weight 0.35 by its place, at
+    least 0.05; the score blends the channels so reached. The representative is the anchor with text, path or graph evidence, then
+    the most words of two letters or more, then the longest excerpt, then the strongest channel; of equal ones the first in rank.
+    Anchors are numbered by a window and folded by products, so no document's anchors are gathered.
+    """
+    placed = blended.withColumn("n", F.row_number().over(Window.partitionBy("document").orderBy(*ranked(blended))) - 1)
+    weight = F.when(F.col("n") == 0, 1.0).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.35), 0.35 / F.col("n"))))
+    score = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
+    folded = lambda c: F.round(1 - F.product(1 - weight * score(c)), 6).alias(c)
+    excerpt = F.coalesce("excerpt", F.lit(""))
+    told = F.greatest("lexical", "witness", "graph") > 0
+    tier = F.when(F.col("lexical") > 0, 4).when(F.col("witness") > 0, 3).when(F.col("graph") > 0, 2).when(F.col("semantic") > 0, 1).otherwise(0)
+    priority = F.struct(told.cast("int").alias("a"), F.size(F.regexp_extract_all(excerpt, F.lit("[A-Za-z0-9]{2,}"), F.lit(0))).alias("b"), F.octet_length(excerpt).alias("c"), tier.alias("d"), F.greatest(F.round(score("lexical") * 1000), F.round(score("witness") * 1000), F.round(score("graph") * 1000)).alias("e"), (-F.col("n")).alias("f"))
+    rows = placed.groupBy("document").agg(*[folded(c) for c in ("lexical", "witness", "graph", "semantic")], F.max_by(F.struct("line", excerpt.alias("excerpt")), priority).alias("r"), F.count(F.lit(1)).cast("int").alias("anchors"))
+    text = F.when(F.col("witness") == 0, F.col("lexical")).otherwise(weights.text_part * F.col("lexical") + weights.witness_part * F.col("witness"))
+    return rows.select("document", F.round(weights.lexical * text + weights.graph * F.col("graph") + weights.semantic * F.col("semantic"), 6).alias("score"), "lexical", "witness", "graph", "semantic", "r.line", "r.excerpt", "anchors")
+
+
+#: Scores from which text speaks strongly for a document, and up to which a path alone speaks weakly.
+STRONG, WEAK = 0.6, 0.3
 
-    return folded.select("document", F.round(F.aggregate("a", state, step)["score"], 6).alias("score"), F.get("a", F.lit(0))["line"].alias("line"), F.size("a").alias("anchors"))
+
+def guarded(documents: DataFrame, query: str, symbols: DataFrame | None = None) -> DataFrame:
+    """`documents` (of `roll_up`) with what puts them in front, and reasons (at most three), in that order: an exact symbol, the query
+    itself in the excerpt, strong text, a graph neighbour, more than a weak path; then score. `symbols` has document of exact symbols."""
+    marked = documents.withColumn("exact_symbol", F.lit(False)) if symbols is None else documents.join(symbols.select("document").distinct().withColumn("exact_symbol", F.lit(True)), "document", "left").withColumn("exact_symbol", F.coalesce("exact_symbol", F.lit(False)))
+    marks = {"exact_symbol": F.col("exact_symbol"), "exact_text": F.contains(F.lower("excerpt"), F.lit(query.lower())) & (F.col("lexical") > 0), "strong_text": F.col("lexical") >= STRONG, "graph": F.col("graph") > 0, "more_than_path": ~((F.col("lexical") == 0) & (F.col("graph") == 0) & (F.col("witness") < WEAK))}
+    told = marked.withColumns({f"by_{n}": c for n, c in marks.items()})
+    reasons = F.slice(F.array_compact(F.array(*[F.when(F.col(f"by_{n}"), n) for n in marks])), 1, 3)
+    order = F.struct(*[F.col(f"by_{n}").cast("int").alias(n) for n in marks], "score", "lexical", "witness", "graph", "semantic")
+    return told.select(*documents.columns, F.array_join(reasons, ",").alias("reasons"), order.alias("_order"))
+
+
+@dataclass(frozen=True)
+class Gates:
+    """Which channels run for a query, and why not."""
+
+    graph: bool
+    semantic: bool
+    lexical_factor: int
+    notes: tuple[str, ...]
+
+
+def gates(shape: str, lexical_documents: int, limit: int, exact: bool, has_vectors: bool) -> Gates:
+    """A query that looks like code and is met exactly by enough documents needs no graph; where text meets less than half of what
+    is wanted its limit is raised fourfold; without vectors, or for code met exactly, nothing is compared by meaning."""
+    notes = []
+    graph = not (shape == "code" and exact and lexical_documents >= limit)
+    if not graph:
+        notes.append("graph skipped: exact text is enough")
+    factor = 4 if 2 * lexical_documents < limit else 1
+    if factor > 1:
+        notes.append("text widened: few documents")
+    semantic = has_vectors and not (shape == "code" and exact)
+    if not semantic:
+        notes.append("semantic skipped: " + ("no vectors" if not has_vectors else "exact text"))
+    return Gates(graph, semantic, factor, tuple(notes))
+
+
+def channel_counts(evidence: DataFrame, final: DataFrame) -> DataFrame:
+    """How many of the final documents each channel met, and how many it met in all: channel, documents, final."""
+    met = evidence.where("raw_score > 0").select("channel", "document").distinct()
+    return met.join(final.select("document", F.lit(1).alias("kept")), "document", "left").groupBy("channel").agg(F.count(F.lit(1)).alias("documents"), F.count("kept").alias("final"))
 
 
 def bounded_pool(blended: DataFrame, limit: int) -> DataFrame:

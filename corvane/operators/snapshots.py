@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
+from corvane.session import materialise
 from corvane.tables import compact_digest, norm_key, norm_path
 
 
@@ -69,7 +70,7 @@ def snapshot_changes(snapshots: DataFrame, manifest: DataFrame) -> DataFrame:
     snapshot. Only the digest counts. Empty tables give an empty result; columns beyond
     those named are ignored.
     """
-    series = snapshot_series(snapshots, manifest)
+    series = materialise(snapshot_series(snapshots, manifest))
     islands = validity_intervals(manifest, series)
     by_key = Window.partitionBy("worktree", "path").orderBy("start_seq")
     linked = islands.withColumn("before_end", F.lag("end_seq").over(by_key)).withColumn("after_start", F.lead("start_seq").over(by_key))

@@ -6,6 +6,7 @@ Lines are 1-based; columns are byte offsets in the UTF-8 line plus one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,30 @@ def lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return numbered.where((F.col("_line") != "") | (F.col("_pos") + 1 < F.col("_n"))).select(*keys, (F.col("_pos") + 1).alias("line"), F.regexp_replace("_line", "\r$", "").alias("body"))
 
 
+#: Values that a fold gathers before it sets them aside, so that appending stays cheap in lines with very many matches.
+_RUN = 256
+
+
+def _running(parts: Column, kind: str, value: Callable[[Column, Column], Column], width: Callable[[Column], Column]) -> Column:
+    """`value` of the width of all parts before and the part, for each part in turn: one pass that carries the sum."""
+    empty = F.array().cast(f"array<{kind}>")
+    state = F.struct(F.lit(0).alias("sum"), empty.alias("run"), F.array().cast(f"array<array<{kind}>>").alias("full"))
+
+    def step(a: Column, p: Column) -> Column:
+        done = F.size(a["run"]) >= _RUN
+        run = F.array_append(F.when(done, empty).otherwise(a["run"]), value(a["sum"], p))
+        return F.struct((a["sum"] + width(p)).alias("sum"), run.alias("run"), F.when(done, F.array_append(a["full"], a["run"])).otherwise(a["full"]).alias("full"))
+
+    return F.aggregate(parts, state, step, lambda a: F.flatten(F.array_append(a["full"], a["run"])))
+
+
 def literal_columns(body: Column, literal: str) -> Column:
     """Columns of all non-overlapping occurrences, left to right."""
     parts = F.split(body, re.escape(literal) if not re.search(r"\\E", literal) else literal, -1)
     size = len(literal.encode())
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda a, p: a + F.octet_length(p)) + (k - 1) * size + 1)
-    return F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<int>"))
+    # An occurrence begins where the part before it ends; the last part is followed by none.
+    ends = _running(parts, "int", lambda sum_, p: sum_ + F.octet_length(p) + 1, lambda p: F.octet_length(p) + size)
+    return F.slice(ends, F.lit(1), F.size(ends) - 1)
 
 
 def literal_matches(df: DataFrame, keys: list[str], text: str, literal: str) -> DataFrame:
@@ -48,12 +67,10 @@ def regex_matches(df: DataFrame, keys: list[str], text: str, pattern: str) -> Da
         df = df.where(F.contains(text, F.lit(literal)))
     found = lines(df, keys, text).where(F.col("body").rlike(pattern))
     marked = F.regexp_replace(F.translate("body", _OPEN + _CLOSE, _SWAP * 2), f"({pattern})", f"{_OPEN}$1{_CLOSE}")
-    parts = F.split(marked, _OPEN, -1)
-    plain = lambda p: F.translate(p, _CLOSE, "")
-    spots = F.transform(
-        F.sequence(F.lit(2), F.size(parts)),
-        lambda k: F.struct((F.aggregate(F.slice(parts, 1, k - 1), F.lit(0), lambda a, p: a + F.octet_length(plain(p))) + 1).alias("column"), F.substring_index(F.get(parts, k - 1), _CLOSE, 1).alias("matched")),
-    )
+    plain = lambda p: F.octet_length(F.translate(p, _CLOSE, ""))
+    spots = _running(F.split(marked, _OPEN, -1), "struct<column:int,matched:string>", lambda sum_, p: F.struct((sum_ + 1).alias("column"), F.substring_index(p, _CLOSE, 1).alias("matched")), plain)
+    # What stands before the first match is none.
+    spots = F.slice(spots, F.lit(2), F.greatest(F.size(spots) - 1, F.lit(0)))
     return found.select(*keys, "line", F.explode(spots).alias("m")).select(*keys, "line", "m.column", "m.matched")
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one broadcast may hold; larger sets are searched in several passes.
-QUERY_BLOCK = 20_000
+#: Query vectors that one broadcast may hold; larger sets are searched in several passes. Within a pass they are compared `BLOCK` at a time.
+QUERY_BLOCK, BLOCK = 20_000, 512
 
 
 def vector_problem(embedding: Column, dimensions: Column | None = None) -> Column:
@@ -50,23 +50,31 @@ def nearest_to_queries(vectors: DataFrame, queries: DataFrame, k: int, digits: i
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, query = shared.value
-            held: tuple[np.ndarray, np.ndarray] | None = None
+            held_ids = np.zeros((len(query_ids), k), np.int64)
+            held = np.full((len(query_ids), k), -np.inf)
             for batch in batches:
                 if not len(query_ids) or not batch.num_rows:
                     continue
-                vec_ids = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(vec_ids), -1).astype(np.float64)
+                vec_ids = batch.column(0).to_numpy(zero_copy_only=False)
+                in_order = np.argsort(vec_ids, kind="stable")
+                vec_ids = vec_ids[in_order]
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(vec_ids), -1).astype(np.float64)[in_order]
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                score = np.round(query @ v.T, digits)
-                score[query_ids[:, None] == vec_ids[None, :]] = -np.inf
-                names = np.broadcast_to(vec_ids, score.shape)
-                if held is not None:
-                    score, names = np.concatenate([held[1], score], axis=1), np.concatenate([held[0], names], axis=1)
-                order = np.lexsort((names, -score), axis=1)[:, :k]
-                held = np.take_along_axis(names, order, 1), np.take_along_axis(score, order, 1)
-            if held is not None:
-                rows, cols = np.nonzero(np.isfinite(held[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(held[0][rows, cols]), pa.array(held[1][rows, cols])], names=["query_id", "vec_id", "score"])
+                width = min(k + 1, len(vec_ids))
+                for at in range(0, len(query_ids), BLOCK):
+                    rows = slice(at, at + BLOCK)
+                    score = np.round(query[rows] @ v.T, digits)
+                    # One whole number orders by score and then by the smaller id.
+                    key = np.rint(score * 10**digits).astype(np.int64) * len(vec_ids) - np.arange(len(vec_ids))
+                    top = np.argpartition(-key, width - 1, axis=1)[:, :width]
+                    names, value = vec_ids[top], np.take_along_axis(score, top, 1)
+                    value[names == query_ids[rows, None]] = -np.inf
+                    names, value = np.concatenate([held_ids[rows], names], axis=1), np.concatenate([held[rows], value], axis=1)
+                    order = np.lexsort((names, -value), axis=1)[:, :k]
+                    held_ids[rows], held[rows] = np.take_along_axis(names, order, 1), np.take_along_axis(value, order, 1)
+            rows, cols = np.nonzero(np.isfinite(held))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(held_ids[rows, cols]), pa.array(held[rows, cols])], names=["query_id", "vec_id", "score"])
 
         found = vectors.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
         best = found if best is None else best.unionByName(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.nested import nested_objects, nested_values, records
+from corvane.operators.nested import leaf_statistics, nested_objects, nested_rows, nested_values, records, shred
 from corvane.operators.references import orphan_references, orphan_report
 from corvane.operators.snapshots import snapshot_changes, snapshot_series, validity_intervals
 from corvane.tables import load, norm_key, norm_path
@@ -35,6 +35,15 @@ def p5_values(spark: SparkSession, folder: str) -> DataFrame:
     return nested_values(_records(spark, folder))
 
 
+def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return nested_rows(_records(spark, folder))
+
+
+def p5_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of all records with their levels, by leaf path."""
+    return leaf_statistics(shred(_records(spark, folder)))
+
+
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     repository, snapshot, manifest = (load(spark, folder, t) for t in ("repository", "snapshot", "file_manifest"))
     snapshot_key, repository_key, gone = norm_key("snapshot_id"), norm_key("repository_id"), F.col("deleted_at")
@@ -52,7 +61,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(_orphans(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p5_found, p5_values, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p5_found, p5_values, p5_rows, p5_levels, p6_found, p6_report)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -115,3 +124,29 @@ SQL |= {
     "p6_report": f"""WITH {_ORPHANS}
 SELECT table_name, period, count(DISTINCT missing_key) AS missing_keys, count(*) AS referring_rows FROM orphans GROUP BY 1, 2""",
 }
+
+# Walks the values of all payloads. `own` is the place of the nearest object around or of the value itself if it is one, `row` that of the
+# nearest list element, `tab` and `rtab` their places in the schema.
+_POINTER = "replace(replace({0}, '~', '~0'), '/', '~1')"
+_KEPT = "source_table, record_id, ptr, tab, own, row_, rtab"
+_WALK = f"""RECURSIVE raw AS (
+  SELECT 'provenance_event' AS source_table, trace_id || '#' || coalesce(call_index::VARCHAR, '') AS record_id, payload_json AS p FROM provenance_event
+  UNION ALL SELECT 'node_types', grammar, node_types_json FROM node_types),
+once AS (SELECT source_table, record_id, p::JSON AS j FROM raw WHERE p IS NOT NULL AND json_valid(p)),
+twice AS (SELECT source_table, record_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM once),
+walk AS (
+  SELECT DISTINCT source_table, record_id, '' AS ptr, '' AS tab, '' AS own, '' AS around, '' AS row_, '' AS rtab, '' AS prow, '' AS ptab, 0 AS elem, j AS v FROM twice WHERE j IS NOT NULL
+  UNION ALL
+  SELECT source_table, record_id, ptr || step, tab || named, CASE WHEN json_type(w) = 'OBJECT' THEN ptr || step ELSE own END, own,
+    CASE WHEN e = 1 THEN ptr || step ELSE row_ END, CASE WHEN e = 1 THEN tab || named ELSE rtab END, row_, rtab, e, w
+  FROM (
+    SELECT {_KEPT}, '/' || {_POINTER.format('name')} AS step, '/' || {_POINTER.format('name')} AS named, 0 AS e, json_extract(v, '/' || {_POINTER.format('name')}) AS w
+      FROM (SELECT *, unnest(json_keys(v)) AS name FROM walk WHERE json_type(v) = 'OBJECT')
+    UNION ALL
+    SELECT {_KEPT}, '/' || n, '/[]', 1, json_extract(v, '/' || n) FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) AS n FROM walk WHERE json_type(v) = 'ARRAY')))"""
+SQL |= {
+    "p5_found": f"WITH {_WALK} SELECT DISTINCT source_table, record_id, ptr AS node_path, around AS parent_path FROM walk WHERE json_type(v) = 'OBJECT' AND ptr <> ''",
+    "p5_rows": f'WITH {_WALK} SELECT DISTINCT source_table, record_id, rtab AS "table", row_ AS row_path, ptab AS parent_table, prow AS parent_path FROM walk WHERE elem = 1',
+    "p5_values": f"""WITH {_WALK} SELECT DISTINCT source_table, record_id, around AS object_path, substr(ptr, length(around) + 1) AS field,
+  CASE json_type(v) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, v ->> '$' AS value FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
+}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import general, graph, manifest, paths, projections, provenance, ranking, symbols, text, vectors
+from corvane.plans import general, graph, manifest, navigation, paths, projections, provenance, ranking, symbols, text, vectors
 
-_MODULES = (general, text, manifest, paths, projections, vectors, symbols, graph, ranking, provenance)
+_MODULES = (general, text, manifest, navigation, paths, projections, vectors, symbols, navigation, graph, ranking, provenance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

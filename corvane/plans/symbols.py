@@ -102,7 +102,7 @@ _WORD = "CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items
 _SYMBOLS = f"""{_CODE},
 solid AS MATERIALIZED (SELECT file, line, body, length(regexp_extract(body, '^[ \\t]*')) AS indent, NOT regexp_matches(body, '{CLOSER}') AS ends FROM code WHERE regexp_matches(body, '\\S')),
 found AS MATERIALIZED (SELECT file, line, indent, regexp_extract(body, '{DECLARATION}', 1) AS word, regexp_extract(body, '{DECLARATION}', 2) AS named, regexp_extract(body, '{METHOD}', 1) AS method FROM solid WHERE {_DECLARES}),
-stop AS (SELECT f.file, f.line, min(s.line) AS at FROM found f JOIN solid s ON s.file = f.file AND s.line > f.line AND s.indent <= f.indent AND s.ends GROUP BY 1, 2),
+stop AS (SELECT f.file, f.line, min(s.line) AS at FROM found f JOIN solid s ON s.file = f.file AND s.line > f.line AND (s.indent < f.indent OR (s.indent = f.indent AND s.ends)) GROUP BY 1, 2),
 reach AS (SELECT f.file, f.line, max(s.line) AS last FROM found f LEFT JOIN stop t ON t.file = f.file AND t.line = f.line JOIN solid s ON s.file = f.file AND s.line >= f.line AND (t.at IS NULL OR s.line < t.at) GROUP BY 1, 2),
 spans AS MATERIALIZED (SELECT file, CASE WHEN word <> '' THEN {_WORD} ELSE 'method' END AS kind, CASE WHEN word <> '' THEN named ELSE method END AS name, line AS start_line, last::INTEGER AS end_line FROM found JOIN reach USING (file, line)),
 nested AS MATERIALIZED (SELECT d.file, d.kind, d.name, d.start_line, d.end_line, arg_max(c.name, c.start_line) AS container, max(c.start_line) AS parent_start, count(c.name)::INTEGER AS depth, coalesce(string_agg(c.name, '.' ORDER BY c.start_line) || '.', '') || d.name AS canonical

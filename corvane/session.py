@@ -147,3 +147,9 @@ def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(target)
     out._corvane_measured = Measured(seen.get["rows"], seen.get["size"])
     return out
+
+
+def materialise_as(table: DataFrame, view: DataFrame) -> DataFrame:
+    """`view`, a projection of rows of `table`, with what was measured of `table`."""
+    view._corvane_measured = measured(table)
+    return view

@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-from corvane.operators import chunks, graph, manifest, paths, provenance, ranking, symbols, text, vectors
+from corvane.functions import pysyntax
+from corvane.operators import chunks, graph, manifest, navigation, paths, provenance, ranking, symbols, text, vectors
 from pyspark.sql import functions as F
 
 
@@ -81,8 +82,11 @@ def test_paths(spark):
     data = [("r", "src/api/tokenStore.rs"), ("r", "tests/api/token_store_test.rs"), ("r", "tests/tokenStoreTest.rs"), ("r", "bin/app/main.go"), ("r", "bin/app/go.mod"), ("q", "src/api/tokenStore.rs")]
     df = spark.createDataFrame(data, "repository_id string, path string")
     links = paths.test_subject_links(df).collect()
-    assert [(r.test_path, r.subject_path) for r in links] == [("tests/tokenStoreTest.rs", "src/api/tokenStore.rs")]
-    assert [(r.src_path, r.dst_path, r.kind) for r in paths.companions(df).collect()] == [("bin/app/main.go", "bin/app/go.mod", "config")]
+    # Shared terms make a link, an equal stem a stronger one.
+    assert sorted((r.test_path, r.subject_path, r.shared, r.score) for r in links) == [("tests/api/token_store_test.rs", "src/api/tokenStore.rs", 3, 35), ("tests/tokenStoreTest.rs", "src/api/tokenStore.rs", 2, 31)]
+    beside = spark.createDataFrame([("r", p) for p in ("bin/app/server.ts", "bin/app/server.config.ts", "bin/server/package.json", "bin/other/go.mod", "src/server/main.py", "src/server/pyproject.toml")], "repository_id string, path string")
+    got = {(r.src_path, r.dst_path, r.kind): r.score for r in paths.companions(beside).collect()}
+    assert got[("src/server/main.py", "src/server/pyproject.toml", "entrypoint_config")] == 118 and ("bin/app/server.ts", "bin/other/go.mod", "entrypoint_config") not in got
 
 
 def test_nearest_to_queries(spark):
@@ -111,15 +115,33 @@ def test_chunks():
 
 
 def test_symbols(spark, rows):
-    code = spark.createDataFrame([("f", i + 1, b) for i, b in enumerate(["// head", "pub fn a(x) {", "  b(x); other(1)", "}", "fn b(y) {", "  return y", "}"])], "file string, line int, body string")
-    spans = symbols.symbols(code)
-    assert rows(spans) == [("f", "function", "a", 2, 4), ("f", "function", "b", 5, 7)]
+    text_ = "\n".join(["// head", "pub fn a(x) {", "  b(x); other(1)", "}", "fn b(y) {", "  return y", "}"])
+    texts = spark.createDataFrame([("f", text_), ("g", None), ("h", "")], "file string, text string")
+    code = symbols.source_lines(texts)
+    spans = symbols.symbols(texts)
+    assert rows(spans, "file", "kind", "name", "start_line", "end_line") == [("f", "function", "a", 2, 4), ("f", "function", "b", 5, 7)]
     assert rows(symbols.calls(code, spans, declared_only=True)) == [("f", "a", "b", 1)]
     hits = code.where("line in (1, 3, 6)").select("file", "line")
     assert rows(symbols.enclosing_symbol(hits, spans), "line", "name") == [(1, None), (3, "a"), (6, "b")]
     assert rows(symbols.symbol_at_or_before(hits, spans), "line", "name", "distance") == [(1, None, -1), (3, "a", 1), (6, "b", 1)]
     assert rows(symbols.references(code, spans)) == [("b", 1, 1)]
-    assert rows(symbols.symbol_rank(spans, "A"), "name", "rank") == [("a", 1)]
+    assert rows(symbols.symbol_rank(spans, "A"), "name", "rank") == [("a", 4)]
+
+
+def test_nested_symbols(spark, rows):
+    text_ = "\n".join(["class Store:", "    def load(self):", "        if x:", "            return open(path)", "", "    @wrapped", "    def save(self):", "        def inner(y):", "            return 1", "        return inner(2)", "", "VALUE = 1", "impl<T> Table {", "    pub fn load(", "        x: i32", "    ) -> T {", "        helper(x)", "    }", "}", "func (r *Reader) Next() int {", "  return 1", "}"])
+    texts = spark.createDataFrame([("f", text_)], "file string, text string")
+    spans = symbols.symbols(texts)
+    want = [("Store", 1, 10, None, "Store"), ("load", 2, 4, "Store", "Store.load"), ("save", 7, 10, "Store", "Store.save"), ("inner", 8, 9, "save", "Store.save.inner"), ("Table", 13, 19, None, "Table"), ("load", 14, 18, "Table", "Table.load"), ("Next", 20, 22, None, "Next")]
+    assert rows(spans, "name", "start_line", "end_line", "container", "canonical") == sorted(want, key=repr)
+    tree = rows(symbols.outline_rows(spans), "place", "parent_place", "depth", "name")
+    assert tree == [(1, 0, 0, "Store"), (2, 1, 1, "load"), (3, 1, 1, "save"), (4, 3, 2, "inner"), (5, 0, 0, "Table"), (6, 5, 1, "load"), (7, 0, 0, "Next")]
+    hits = spark.createDataFrame([("f", n) for n in (4, 9, 10, 12, 17)], "file string, line int")
+    assert rows(symbols.enclosing_symbol(hits, spans), "line", "name") == [(10, "save"), (12, None), (17, "load"), (4, "load"), (9, "inner")]
+    assert rows(symbols.symbol_at_or_before(hits, spans), "line", "name", "inside") == [(10, "save", True), (12, "inner", False), (17, "load", True), (4, "load", True), (9, "inner", True)]
+    assert rows(symbols.calls(symbols.source_lines(texts), spans), "caller", "callee") == [("load", "helper"), ("load", "open"), ("save", "inner")]
+    assert rows(symbols.symbol_rank(spans, "store.load"), "canonical", "rank") == [("Store.load", 1)]
+    assert rows(symbols.symbol_rank(spans, "load"), "canonical", "rank") == [("Store.load", 3), ("Table.load", 3)]
 
 
 def test_graph(spark, rows):
@@ -156,9 +178,10 @@ def test_fusion(spark, rows):
     blended = ranking.blend(ranking.normalise(df), ranking.Weights(lexical=1.0, semantic=0.0))
     assert rows(blended, "document", "line", "blended", "sources", "excerpt") == [(1, 10, 0.944444, "lexical,semantic", "a b"), (1, 30, 0.902778, "lexical", "c"), (2, 20, 1.0, "lexical", "d")]
     cols = "document long, line int, lexical double, witness double, graph double, semantic double, blended double"
-    anchors = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0, 0.68), (1, 2, 0.0, 0.0, 0.0, 0.0, 0.65), (1, 3, 0.0, 0.0, 0.0, 0.0, 0.5)], cols)
-    got = ranking.roll_up(anchors).collect()[0]
-    assert (round(got.score, 5), got.line, got.anchors) == (0.77443, 1, 3)
+    anchors = spark.createDataFrame([(1, 1, 0.68, 0.0, 0.0, 0.0, 0.68, "a"), (1, 2, 0.65, 0.0, 0.0, 0.2, 0.65, "more words here"), (1, 3, 0.5, 0.0, 0.0, 0.0, 0.5, None)], cols + ", excerpt string")
+    got = ranking.roll_up(anchors, ranking.Weights(lexical=1.0, semantic=0.0)).collect()[0]
+    # Channels add up by themselves, and the anchor that says most represents the document.
+    assert (round(got.score, 5), got.line, got.anchors, got.semantic) == (0.77443, 2, 3, 0.07)
     pool = spark.createDataFrame([(d, i, 0.0, 0.0, 0.0, 0.0, 1.0 - d / 10) for d in range(6) for i in range(3)], cols)
     kept = ranking.bounded_pool(pool, 8)
     assert kept.count() == 10 and rows(kept.where("reserve"), "document") == [(3,), (4,)]
@@ -191,3 +214,56 @@ def test_provenance(spark, rows):
     groups = spark.createDataFrame([("g", "src/a.rs", False), ("h", "src/", True), ("i", "x", False)], "group_id string, expected string, is_prefix boolean")
     results = spark.createDataFrame([("src/a.rs",), ("src/b.rs",)], "path string")
     assert rows(provenance.group_matches(groups, results)) == [("g", True, False, True), ("h", False, True, False), ("i", False, False, False)]
+
+
+def test_navigation(spark, rows):
+    a = "class Base:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n"
+    b = "class Child(Base):\n    def go(self):\n        return helper(2)\n"
+    texts = spark.createDataFrame([("a.py", a), ("b.py", b)], "file string, text string")
+    spans, code = symbols.symbols(texts), symbols.source_lines(texts)
+    index = navigation.text_index(code, spans)
+    uses = navigation.definitions_of_uses(index["occurrences"], index["symbols"])
+    assert rows(uses, "path", "start_line", "display_name", "defined_in", "defined_at", "same_file") == [("a.py", 3, "helper", "a.py", 5, True), ("b.py", 1, "Base", "a.py", 1, False), ("b.py", 3, "helper", "a.py", 5, False)]
+    assert navigation.nearest_references(uses, 1).where("display_name = 'helper'").collect()[0].path == "a.py"
+    # The place in a name, behind it, before anything in its line, and before all.
+    places = spark.createDataFrame([("a.py", 3, 17), ("a.py", 3, 40), ("a.py", 6, None), ("b.py", 1, 3), ("z.py", 1, 1)], "path string, line int, column int")
+    got = rows(navigation.symbol_at(index["occurrences"], index["symbols"], places).withColumn("name", navigation.identifier(F.regexp_replace("symbol", "@.*", ""))), "path", "line", "name", "contained")
+    assert got == [("a.py", 3, "helper", False), ("a.py", 3, "helper", True), ("a.py", 6, "helper", False), ("b.py", 1, None, None), ("z.py", 1, None, None)]
+    ranks = navigation.name_rank(index["symbols"], "HELPER", "base")
+    assert rows(ranks, "display_name", "rank") == [("Base", 7), ("helper", 3)]
+    edges = navigation.heritage(code, spans)
+    assert rows(edges) == [("b.py", "Child", 1, "Base", "extends")]
+    more = spark.createDataFrame([("c", 1, "impl<T> Shape for Square<T> {"), ("c", 2, "class A extends B implements C {")], "file string, line int, body string")
+    heads = spark.createDataFrame([("c", "Square", 1), ("c", "A", 2)], "file string, name string, start_line int")
+    assert rows(navigation.heritage(more, heads), "name", "base", "kind") == [("A", "B", "extends"), ("A", "C", "implements"), ("Square", "Shape", "implements")]
+    known = index["symbols"].select("symbol", "display_name")
+    relationships = edges.join(known.toDF("from_symbol", "name"), "name").join(known.toDF("to_symbol", "base"), "base").select("from_symbol", "to_symbol", "kind")
+    assert rows(navigation.implementations(relationships, index["symbols"], index["occurrences"]), "display_name", "path", "kind") == [("Child", "b.py", "extends")]
+    asked = spark.createDataFrame([("helper",), ("go",), ("nowhere",)], "name string")
+    exact = navigation.definitions(index["occurrences"], index["symbols"]).where("display_name = 'helper'")
+    assert rows(navigation.go_to_definition(exact, spans, asked)) == [("go", "b.py", 2, "heuristic"), ("helper", "a.py", 5, "precise"), ("nowhere", None, None, "unavailable")]
+
+
+def test_python_structure(spark, rows):
+    text_ = "def f(a):\n    return g(a)\n\nclass C:\n    def m(self):\n        return g(1)\n"
+    df = spark.createDataFrame([("a.py", text_), ("b.py", "not python ("), ("c.py", None)], "file string, text string")
+    assert rows(pysyntax.search_structural(df, F.col("file"), F.col("text"), "Call", "g", "ClassDef"), "file", "line", "column") == [("a.py", 6, 16)]
+    stack = pysyntax.inspect_syntax_tree(df, F.col("file"), F.col("text"), F.lit(6), F.lit(16))
+    assert [r.kind for r in stack.orderBy("depth").collect()] == ["ClassDef", "FunctionDef", "Return", "Call", "Name"]
+    assert {r.kind: r.nodes for r in pysyntax.node_counts(df, F.col("text")).collect()}["Call"] == 2
+
+
+def test_exact_pairs_equal_all_pairs(spark, rows):
+    # Common terms are worked out by signature; the result is that of comparing every row with every other.
+    rng = random.Random(7)
+    words = ["core", "item", "view", "alpha", "beta", "gamma", "delta"]
+    make = lambda side: [("g", f"{side}{i:03}", sorted({words[0], *rng.sample(words, rng.randrange(1, 4)), f"r{rng.randrange(40)}"}), rng.choice(["s1", "s2", f"t{i}"]), rng.randrange(2)) for i in range(60)]
+    left, right = make("l"), make("r")
+    frame = lambda data: spark.createDataFrame(data, "g string, path string, terms array<string>, stem string, k int").withColumn("traits", F.struct("k"))
+    score = lambda shared, same, a, b: shared * 10 + same.cast("int") * 6 + (F.col(f"{a}.k") == F.col(f"{b}.k")).cast("int")
+    got = paths.closest_pairs(frame(left), frame(right), ["g"], score, lambda a, b: F.lit(True), 4, common=8)
+    want = []
+    for _, p, terms, stem, k in left:
+        scored = [(-(10 * len(set(terms) & set(t)) + 6 * (stem == s) + (k == kk)), q) for _, q, t, s, kk in right if set(terms) & set(t) or stem == s]
+        want += [(p, q, -n) for n, q in sorted(scored)[:4]]
+    assert rows(got, "left_path", "right_path", "score") == sorted(want, key=repr)
