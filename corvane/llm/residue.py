@@ -195,11 +195,10 @@ _STATUS = re.compile(r"(?<![\w.-])[45]\d\d(?![\w-]|\.\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words joined as in names of variables; two blanks where a word was taken out.
 _JOINED = re.compile(r"(?<![\w./$-])[A-Za-z]+(?:_[A-Za-z]+)+(?![\w./(-])|(?<![\w./$-])(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+)+(?![\w./(-])")
-#: Words and single signs, and what is masked before they are cut: words with digits.
-_TOKEN, _MASKED = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w*\d\w*")
-#: Where the segments that are aligned end: at sentences and lines.
-_SEGMENT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|[\r\n\x0b\x0c\x85\u2028\u2029]+")
-_FIRST = re.compile(r"^[^\w]+")
+#: Words and single signs, and what is masked before they are cut: words with digits, for which a 0 stands.
+_TOKEN, _MASKED = re.compile(r"\w+|[^\w\s]"), re.compile(r"\b[^\W\d]*+\d\w*")
+#: Where the sentences of a line end.
+_ENDS = re.compile(r"([.!?][\"')\]]*)\s+")
 _HUMP = re.compile(r"[a-z][A-Z]|[A-Za-z]_[A-Za-z]")
 _GAP_SIGNS = ("  ", " ,", " !", " .")
 _GAP = re.compile(r"(?<=[A-Za-z:,])  (?=[A-Za-z,.])|(?<=[A-Za-z]) (?=[,!.](?:\s|$))")
@@ -347,7 +346,21 @@ def finest(line: str) -> Iterator[str]:
 
 def words_of(segment: str) -> list[str]:
     """Words and signs of a segment in lower case, words with digits masked, without signs that lead it."""
-    return _TOKEN.findall(_MASKED.sub("#", _FIRST.sub("", segment)).lower())
+    return _without_lead(_TOKEN.findall(_MASKED.sub("0", segment).lower()))
+
+
+def _without_lead(words: list[str]) -> list[str]:
+    if words and not (words[0][0].isalnum() or words[0][0] == "_"):
+        first = next((i for i, w in enumerate(words) if w[0].isalnum() or w[0] == "_"), len(words))
+        return words[first:]
+    return words
+
+
+def _segments_of(text: str) -> list[str]:
+    """The sentences of all lines."""
+    if "。" in text or "！" in text or "？" in text:
+        text = text.replace("。", "。\n").replace("！", "！\n").replace("？", "？\n")
+    return _ENDS.sub(r"\1\n", text).splitlines()
 
 
 def _slots(segment: str, gaps: bool) -> Iterator[tuple[str, str, str]]:
@@ -423,26 +436,45 @@ def _filter(slots: DataFrame, value: Column) -> bytes:
     return bits.tobytes()
 
 
-def aligned(text: str, lefts: Callable[[str], bool], pairs: Callable[[str], bool]) -> Iterator[tuple[str, str, str, str]]:
+class _Filter:
+    """Tells whether a text may be among those of a filter; remembers what it told of the last many."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits, self.told = bits, {}
+
+    def ask(self, value: str) -> bool:
+        import xxhash
+
+        if len(self.told) > 500_000:
+            self.told.clear()
+        out = self.told[value] = bool(self.bits[xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 42) & (FILTER_BITS - 1)])
+        return out
+
+
+def aligned(text: str, lefts: _Filter, pairs: _Filter) -> Iterator[tuple[str, str, str, str]]:
     """(two words before, two behind, fill, words near by) of all places of a text whose surroundings may be those of slots."""
-    for segment in _SEGMENT.split(text):
-        segment = _FIRST.sub("", segment)
-        low = _TOKEN.findall(_MASKED.sub("#", segment).lower())
+    known, ask = lefts.told, lefts.ask
+    raws: list[str] | None = None
+    lows = _segments_of(_MASKED.sub("0", text).lower())
+    for at, segment in enumerate(lows):
+        low = _without_lead(_TOKEN.findall(segment))
         if len(low) < 2:
             continue
-        raw = None
         one, two = "^", "^"
         for i, word in enumerate(low):
-            left = one + " " + two
+            left = f"{one} {two}"
             one, two = two, word
-            if not lefts(left):
+            may = known.get(left)
+            if not (ask(left) if may is None else may):
                 continue
             for n in range(1, min(FILL_WORDS, len(low) - i) + 1):
                 right = " ".join((low[i + n : i + n + 2] + ["$", "$"])[:2])
-                if pairs(left + "\t" + right):
-                    if raw is None:
-                        raw = _TOKEN.findall(segment)
-                        raw = raw if len(raw) == len(low) else low
+                pair = left + "\t" + right
+                may = pairs.told.get(pair)
+                if pairs.ask(pair) if may is None else may:
+                    raws = _segments_of(text) if raws is None else raws
+                    raw = _without_lead(_TOKEN.findall(raws[at])) if len(raws) == len(lows) else low
+                    raw = raw if len(raw) == len(low) else low
                     yield left, right, " ".join(raw[i : i + n]), " ".join(low[max(0, i - NEAR) : i] + low[i + n : i + n + NEAR])
 
 
@@ -459,22 +491,8 @@ def record_slots(slots: DataFrame, df: DataFrame, doc_id: Column, text: Column,
     context = df.sparkSession.sparkContext
     known = context.broadcast((_filter(keyed, F.col("left")), _filter(keyed, F.concat_ws("\t", "left", "right"))))
 
-    def tester(bits: bytes) -> Callable[[str], bool]:
-        import xxhash
-
-        told: dict[str, bool] = {}
-
-        def test(value: str) -> bool:
-            if (out := told.get(value)) is None:
-                if len(told) > 200_000:
-                    told.clear()
-                out = told[value] = bool(bits[xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 42) & (FILTER_BITS - 1)])
-            return out
-
-        return test
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lefts, pairs = (tester(bits) for bits in known.value)
+        lefts, pairs = map(_Filter, known.value)
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(1)):
