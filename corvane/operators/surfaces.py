@@ -1,4 +1,4 @@
-"""Surfaces of a repository: what kind of file a path names, as some sixty conditions over one string.
+"""Surfaces of a repository: what kind of file a path names, as over fifty conditions over one string.
 
 Each condition is written once against a vocabulary (`Place`); plans render the same vocabulary in SQL. Conditions
 come in stages: later ones name earlier ones, so nothing is worked out twice in a row.

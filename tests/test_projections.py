@@ -11,7 +11,7 @@ def test_bundle_can_be_published(spark, tmp_path, rows):
     version = sinks.publish(tables, str(tmp_path / "v"), "s1")
     assert version.startswith("s1-") and sinks.read_head(spark, str(tmp_path / "v"), "path_witness").count() == 5
     assert rows(tables["entrypoint_surface"], "path") == [("bin/app/main.go",)]
-    assert rows(tables["path_relation"], "src_path", "dst_path", "kind") == [("bin/app/main.go", "bin/app/go.mod", "config"), ("tests/api/store_test.rs", "src/api/store.rs", "subject")]
+    assert rows(tables["path_relation"], "src_path", "dst_path", "kind") == [("bin/app/main.go", "bin/app/go.mod", "companion_surface"), ("bin/app/main.go", "bin/app/go.mod", "entrypoint_config"), ("tests/api/store_test.rs", "src/api/store.rs", "subject")]
     boosts = op.overlay_boosts(tables["test_subject"], tables["path_relation"].where("kind <> 'subject'"))
     assert rows(boosts, "path", "sources") == [("bin/app/go.mod", "config"), ("src/api/store.rs", "test"), ("tests/api/store_test.rs", "subject")]
 
