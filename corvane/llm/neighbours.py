@@ -35,7 +35,7 @@ class IndexSettings:
     sample: int = 100_000
     total_sample: int = 400_000
     groups: int = 4_000
-    least_rows: int = 1_024
+    least_rows: int = 2_048
     list_size: int = 128
     block: int = 32_768
     inner: int = 8_192

@@ -72,7 +72,7 @@ def test_one_direction_of_many_lengths(spark):
     centres = rng.normal(size=(50, 16))
     points = [way * rng.uniform(0.1, 40) if i % 5 == 0 else centres[i % 50] + 0.25 * rng.normal(size=16) for i in range(2500)]
     vectors = {i: np.asarray(v, np.float32).tolist() for i, v in enumerate(points)}
-    settings = IndexSettings(list_size=64)
+    settings = IndexSettings(list_size=64, least_rows=1_000)
     got = as_lists(find(spark, [(i, "m", v, 16, "x") for i, v in vectors.items()], settings=settings))
     want = brute(vectors, 5, -1.0)
     assert all(got[i] == want[i] for i in vectors if i % 5 == 0)
