@@ -3,6 +3,7 @@
 import re
 import re._parser as parser
 
+import heldout
 import pytest
 
 from corvane.llm import residue
@@ -120,3 +121,11 @@ def test_every_saying_has_a_trigger():
             for text in met:
                 assert kind in residue._hints(text.lower()), text
     assert tried > 500
+
+
+def test_unseen_wordings(spark):
+    data = heldout.records()
+    df = spark.createDataFrame(data, "doc_id long, text string, residue boolean")
+    got = {r.doc_id for r in find_residue(df, F.col("doc_id"), F.col("text")).collect()}
+    want = {i for i, _, case in data if case}
+    assert len(got & want) >= 0.88 * len(want) and len(got & want) >= 0.94 * len(got)
