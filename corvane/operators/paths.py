@@ -19,7 +19,7 @@ ROLES = ("src", "tests", "test", "pages", "routes", "api", "server", "cli", "bin
 #: Classes whose files no test is about.
 NO_SUBJECTS = ("documentation", "readme", "fixtures", "benchmark_docs", "specs")
 #: Rows of one term in a group beyond which its pairs are worked out by signature.
-COMMON = 64
+COMMON = 1_024
 
 
 def ascii_lower(col: Column) -> Column:
@@ -124,10 +124,20 @@ def closest_pairs(left: DataFrame, right: DataFrame, group: list[str], score: Ca
         told = told.withColumn("extra", F.when(F.col("same"), (~F.array_contains(both, F.lower(stem))).cast("int")).otherwise(0))
         return told.where((F.col("shared") > 0) | F.col("same")).where(fits("l_traits", "r_traits")).withColumn("score", score(F.col("shared"), F.col("same"), "l_traits", "r_traits"))
 
-    rare = lambda name: split[name].select("*", F.explode(F.array_except(f"{name}_items", f"{name}_hot")).alias("item")).drop(f"{name}_hot")
-    met = rare("l").join(rare("r"), [*group, "item"]).where("l_path <> r_path")
-    near = scored(met, "l_items", "r_items")
-    by_rare = near.groupBy(*group, "l_path", "r_path").agg(F.max("shared").alias("shared"), F.max("score").alias("score"))
+    # Shared rare items are counted over pairs of numbers; what else tells of a pair is looked up once it is formed.
+    rare = lambda name: split[name].select(*group, F.xxhash64(*group, f"{name}_path").alias(f"{name}_id"), F.explode(F.array_except(f"{name}_items", f"{name}_hot")).alias("item"))
+    stem_too = F.col("item").startswith("=")
+    counted = rare("l").join(rare("r"), [*group, "item"]).groupBy("l_id", "r_id").agg(F.sum(F.when(stem_too, 0).otherwise(1)).cast("int").alias("shared"), F.max(F.when(stem_too, F.substring("item", 2, 2_147_483_647))).alias("stem"))
+    told = {n: materialise(split[n].select(F.xxhash64(*group, f"{n}_path").alias(f"{n}_id"), *(group if n == "l" else []), f"{n}_path", f"{n}_items", f"{n}_hot", f"{n}_traits")) for n in split}
+    met = lookup_join(lookup_join(counted, told["l"], ["l_id"], salt_on=["r_id"]), told["r"], ["r_id"], salt_on=["l_id"]).where("l_path <> r_path")
+    common_items = F.when((F.size("l_hot") > 0) & (F.size("r_hot") > 0), F.array_intersect("l_hot", "r_hot")).otherwise(F.array().cast("array<string>"))
+    met = met.withColumn("both", common_items).withColumn("hot_stem", F.get(F.filter("both", lambda i: i.startswith("=")), F.lit(0)))
+    met = met.withColumn("stem", F.coalesce("stem", F.substring("hot_stem", 2, 2_147_483_647))).withColumn("same", F.col("stem").isNotNull())
+    met = met.withColumn("shared", F.col("shared") + F.size("both") - F.col("hot_stem").isNotNull().cast("int"))
+    met = met.withColumn("extra", F.when(F.col("same"), (~(F.array_contains("l_items", F.lower("stem")) & F.array_contains("r_items", F.lower("stem")))).cast("int")).otherwise(0))
+    near = met.where((F.col("shared") > 0) | F.col("same")).where(fits("l_traits", "r_traits")).withColumn("score", score(F.col("shared"), F.col("same"), "l_traits", "r_traits"))
+    best_rare = Window.partitionBy("l_id").orderBy(F.col("score").desc(), "r_path")
+    by_rare = near.withColumn("rn", F.row_number().over(best_rare)).where(F.col("rn") <= k).select(*group, "l_path", "r_path", "shared", "score")
     kinds = {n: [*group, f"{n}_hot", f"{n}_traits"] for n in split}
     w = Window.partitionBy(*group, "r_hot", "r_traits").orderBy("r_path")
     least = split["r"].where(F.size("r_hot") > 0).select(*kinds["r"], "r_path").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn")
@@ -157,7 +167,7 @@ def test_subject_links(paths: DataFrame, per_test: int = 6, per_subject: int = 6
     rows = with_surfaces(paths.select("repository_id", "path"), "language", "path_class", "source_class", "is_test_support", "is_test_harness")
     signal = file_name(F.col("path")).rlike(r"^test_|_test\.|Test\.|\.spec\.|\.test\.")
     rows = with_facts(rows, terms=path_terms(F.col("path")), stem=test_stem(F.col("path")), test=(F.col("source_class") == "tests") | F.col("is_test_support") | F.col("is_test_harness") | signal)
-    rows = rows.withColumn("traits", F.struct("language", "path_class"))
+    rows = materialise(rows.withColumn("traits", F.struct("language", "path_class")).select("repository_id", "path", "terms", "stem", "test", "source_class", "traits"))
     tests, subjects = rows.where("test"), rows.where(~F.col("test") & ~F.col("source_class").isin(*NO_SUBJECTS))
 
     def fits(a: str, b: str) -> Column:

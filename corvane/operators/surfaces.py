@@ -6,6 +6,8 @@ come in stages: later ones name earlier ones, so nothing is worked out twice in
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 from typing import Any
 
@@ -70,35 +72,51 @@ def parts(low: Column, cased: Column) -> dict[str, Column]:
     return {"s_name": name, "s_stem": cut(name), "s_ext": F.regexp_extract(name, r".\.([^.]+)$", 1), "s_steps": F.concat(F.lit("/"), low, F.lit("/")), "s_words": words(cut(own)), "s_all_words": words(low)}
 
 
+class Text(str):
+    """A condition as text, joined as conditions are."""
+
+    def __and__(self, other: str) -> Text:
+        return Text(f"({self} AND {other})")
+
+    def __or__(self, other: str) -> Text:
+        return Text(f"({self} OR {other})")
+
+    def __invert__(self) -> Text:
+        return Text(f"(NOT {self})")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 class Place:
-    """The vocabulary over the columns of `facts` and `parts`."""
+    """The vocabulary over the columns of `facts` and `parts`, as text of Spark; other dialects name two functions otherwise."""
 
-    def ref(self, name: str) -> Any:
-        return F.col(name)
+    STARTS, ENDS = "startswith", "endswith"
 
-    def _any(self, tests: list) -> Any:
+    def ref(self, name: str) -> Text:
+        return Text(name)
+
+    def _any(self, tests: list) -> Text:
         return reduce(lambda a, b: a | b, tests)
 
-    def _starts(self, column: str, text: str) -> Any:
-        return F.col(column).startswith(text)
+    def _starts(self, column: str, text: str) -> Text:
+        return Text(f"{self.STARTS}({column}, {_quoted(text)})")
 
-    def _ends(self, column: str, text: str) -> Any:
-        return F.col(column).endswith(text)
+    def _ends(self, column: str, text: str) -> Text:
+        return Text(f"{self.ENDS}({column}, {_quoted(text)})")
 
-    def _has(self, column: str, text: str) -> Any:
-        return F.col(column).contains(text)
+    def _has(self, column: str, text: str) -> Text:
+        return Text(f"contains({column}, {_quoted(text)})")
 
-    def _among(self, column: str, values: tuple[str, ...]) -> Any:
-        return F.col(column).isin(*values)
+    def _among(self, column: str, values: tuple[str, ...]) -> Text:
+        return Text(f"({column} IN ({', '.join(map(_quoted, values))}))")
 
-    def choose(self, cases: list[tuple[Any, str]], otherwise: str | None) -> Any:
-        out = F.when(*cases[0])
-        for test, value in cases[1:]:
-            out = out.when(test, value)
-        return out.otherwise(otherwise) if otherwise is not None else out
+    def choose(self, cases: list[tuple[Any, str]], otherwise: str | None) -> Text:
+        return Text("CASE " + " ".join(f"WHEN {c} THEN {_quoted(v)}" for c, v in cases) + (f" ELSE {_quoted(otherwise)}" if otherwise is not None else "") + " END")
 
-    def known(self, name: str) -> Any:
-        return F.col(name).isNotNull()
+    def known(self, name: str) -> Text:
+        return Text(f"({name} IS NOT NULL)")
 
     # The words below are made of those above.
     def path(self, *values: str, column: str = "s_low") -> Any:
@@ -264,29 +282,20 @@ STAGES = (stage_one, stage_two, stage_three, stage_four)
 PARTS = ("s_path", "s_low", "s_name", "s_stem", "s_ext", "s_steps", "s_words", "s_all_words")
 
 
-class _Unsaid:
-    """A condition of which only the name matters."""
-
-    def __and__(self, other: Any) -> _Unsaid:
-        return self
-
-    __or__ = __and__
-
-    def __invert__(self) -> _Unsaid:
-        return self
-
-
-class _Names(Place):
-    def ref(self, name: str) -> Any:
-        return _Unsaid()
-
-    _starts = _ends = _has = _among = choose = lambda self, *values: _Unsaid()
-    known = ref
-
-
 def names() -> list[str]:
     """All surfaces, with language, path_class and source_class among them; needs no session."""
-    return [n for stage in STAGES for n in stage(_Names())]
+    return [n for stage in STAGES for n in stage(Place())]
+
+
+def needed(wanted: Iterable[str]) -> list[dict[str, Text]]:
+    """Of each stage the conditions that `wanted` are made of."""
+    stages, left = [stage(Place()) for stage in STAGES], set(wanted)
+    out: list[dict[str, Text]] = []
+    for stage in reversed(stages):
+        kept = {n: c for n, c in stage.items() if n in left}
+        left |= {word for c in kept.values() for word in re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", c))}
+        out.insert(0, kept)
+    return out
 
 
 def with_facts(paths: DataFrame, **columns: Column) -> DataFrame:
@@ -300,7 +309,7 @@ def with_surfaces(paths: DataFrame, *wanted: str, path: str = "path") -> DataFra
     kept = paths.columns
     out = with_facts(paths, **facts(F.col(path)))
     out = with_facts(out, **parts(F.col("s_low"), F.col("s_path")))
-    place = Place()
-    for stage in STAGES:
-        out = with_facts(out, **stage(place))
+    for stage in needed(wanted or names()):
+        if stage:
+            out = with_facts(out, **{n: F.expr(c) for n, c in stage.items()})
     return out.select(*kept, *(wanted or names()))

@@ -70,46 +70,10 @@ _PATHS = f"paths AS (SELECT DISTINCT {_path('path')} AS path FROM file_manifest
 _REPO_PATHS = f"paths AS (SELECT DISTINCT {_key('repository_id')} AS repository_id, {_path('path')} AS path FROM file_manifest WHERE path IS NOT NULL AND repository_id IS NOT NULL)"
 
 
-def _q(text):
-    return "'" + text.replace("'", "''") + "'"
-
-
-class Sql(str):
-    """A condition in SQL that is joined as columns are."""
-
-    def __and__(self, other):
-        return Sql(f"({self} AND {other})")
-
-    def __or__(self, other):
-        return Sql(f"({self} OR {other})")
-
-    def __invert__(self):
-        return Sql(f"(NOT {self})")
-
-
 class SqlPlace(Place):
-    """The vocabulary of surfaces in SQL."""
-
-    def ref(self, name):
-        return Sql(name)
-
-    def _starts(self, column, text):
-        return Sql(f"starts_with({column}, {_q(text)})")
-
-    def _ends(self, column, text):
-        return Sql(f"ends_with({column}, {_q(text)})")
-
-    def _has(self, column, text):
-        return Sql(f"contains({column}, {_q(text)})")
-
-    def _among(self, column, values):
-        return Sql(f"({column} IN ({', '.join(map(_q, values))}))")
-
-    def choose(self, cases, otherwise):
-        return Sql("CASE " + " ".join(f"WHEN {c} THEN {_q(v)}" for c, v in cases) + (f" ELSE {_q(otherwise)}" if otherwise is not None else "") + " END")
+    """The vocabulary of surfaces in the other dialect."""
 
-    def known(self, name):
-        return Sql(f"({name} IS NOT NULL)")
+    STARTS, ENDS = "starts_with", "ends_with"
 
 
 def surfaces_sql(table, path="path"):
