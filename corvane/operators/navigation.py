@@ -73,7 +73,7 @@ def symbol_at(occurrences: DataFrame, symbols: DataFrame, places: DataFrame) ->
     best = met.groupBy("path", "line", "column").agg(F.min(order).alias("o")).select("path", "line", F.col("column").alias("_column"), "o.symbol", (F.col("o.outside") == 0).alias("contained"))
     left, right = places.alias("p"), best.alias("b")
     same = (F.col("p.path") == F.col("b.path")) & (F.col("p.line") == F.col("b.line")) & F.col("p.column").eqNullSafe(F.col("b._column"))
-    return left.join(right, same, "left").select("p.*", "b.symbol", "b.contained")
+    return left.join(right, same, "left").select("p.*", "b.symbol", F.coalesce("b.contained", F.lit(False)).alias("contained"))
 
 
 def definitions(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def definitions_of_uses(occurrences: DataFrame, symbols: DataFrame) -> DataFrame
 
 
 def go_to_definition(precise: DataFrame, heuristic: DataFrame, queries: DataFrame) -> DataFrame:
-    """Where names are defined, by the first source that knows: queries (name) with path, line, source (precise, heuristic or unavailable).
+    """Where names are defined, by the first source that knows: queries (name) with path, line (-1 where unknown), source (precise, heuristic or unavailable).
 
     precise: `definitions` of an index; heuristic: `symbols` of texts. Of several the least path and line counts.
     """
@@ -99,7 +99,7 @@ def go_to_definition(precise: DataFrame, heuristic: DataFrame, queries: DataFram
     met = queries.select("name").distinct().join(exact, "name", "left").join(told, "name", "left")
     best = F.coalesce("exact", "told")
     source = F.when(F.col("exact").isNotNull(), "precise").when(F.col("told").isNotNull(), "heuristic").otherwise("unavailable")
-    return met.select("name", best["path"].alias("path"), best["line"].alias("line"), source.alias("source"))
+    return met.select("name", best["path"].alias("path"), F.coalesce(best["line"], F.lit(-1)).alias("line"), source.alias("source"))
 
 
 def implementations(relationships: DataFrame, symbols: DataFrame, occurrences: DataFrame, kinds: tuple[str, ...] = ("implementation", "type_definition", "implements", "extends")) -> DataFrame:

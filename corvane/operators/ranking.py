@@ -64,14 +64,14 @@ def roll_up(blended: DataFrame, weights: Weights = Weights()) -> DataFrame:
     placed = blended.withColumn("n", F.row_number().over(Window.partitionBy("document").orderBy(*ranked(blended))) - 1)
     weight = F.when(F.col("n") == 0, 1.0).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.35), 0.35 / F.col("n"))))
     score = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
-    folded = lambda c: F.round(1 - F.product(1 - weight * score(c)), 6).alias(c)
+    folded = lambda c: (1 - F.product(1 - weight * score(c))).alias(c)
     excerpt = F.coalesce("excerpt", F.lit(""))
     told = F.greatest("lexical", "witness", "graph") > 0
     tier = F.when(F.col("lexical") > 0, 4).when(F.col("witness") > 0, 3).when(F.col("graph") > 0, 2).when(F.col("semantic") > 0, 1).otherwise(0)
     priority = F.struct(told.cast("int").alias("a"), F.size(F.regexp_extract_all(excerpt, F.lit("[A-Za-z0-9]{2,}"), F.lit(0))).alias("b"), F.octet_length(excerpt).alias("c"), tier.alias("d"), F.greatest(F.round(score("lexical") * 1000), F.round(score("witness") * 1000), F.round(score("graph") * 1000)).alias("e"), (-F.col("n")).alias("f"))
     rows = placed.groupBy("document").agg(*[folded(c) for c in ("lexical", "witness", "graph", "semantic")], F.max_by(F.struct("line", excerpt.alias("excerpt")), priority).alias("r"), F.count(F.lit(1)).cast("int").alias("anchors"))
     text = F.when(F.col("witness") == 0, F.col("lexical")).otherwise(weights.text_part * F.col("lexical") + weights.witness_part * F.col("witness"))
-    return rows.select("document", F.round(weights.lexical * text + weights.graph * F.col("graph") + weights.semantic * F.col("semantic"), 6).alias("score"), "lexical", "witness", "graph", "semantic", "r.line", "r.excerpt", "anchors")
+    return rows.select("document", F.round(weights.lexical * text + weights.graph * F.col("graph") + weights.semantic * F.col("semantic"), 6).alias("score"), *[F.round(c, 6).alias(c) for c in ("lexical", "witness", "graph", "semantic")], "r.line", "r.excerpt", "anchors")
 
 
 #: Scores from which text speaks strongly for a document, and up to which a path alone speaks weakly.

@@ -61,9 +61,9 @@ SQL = {
     "symbol_at_location": f"""WITH {_INDEX}, places AS (SELECT file AS path, line FROM code WHERE contains(body, 'return')),
 met AS (SELECT p.path, p.line, o.symbol, NOT (o.line = p.line AND 12 < o.end_col) AS outside, p.line - o.line AS lines, CASE WHEN p.line = o.line THEN 12 - o.col ELSE 0 END AS columns_, o.line AS oline, o.col AS ocol FROM places p JOIN occurrences o ON o.path = p.path AND o.line <= p.line AND (o.line < p.line OR o.col <= 12)),
 best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY outside, lines, columns_, oline DESC, ocol DESC, symbol) = 1)
-SELECT p.path, p.line, 12 AS "column", b.symbol, NOT b.outside AS contained FROM places p LEFT JOIN best b USING (path, line)""",
+SELECT p.path, p.line, 12 AS "column", b.symbol, coalesce(NOT b.outside, false) AS contained FROM places p LEFT JOIN best b USING (path, line)""",
     "go_to_definition": f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT callee AS name FROM ({SYMBOL_SQL['call_edges']})),
 first AS (SELECT name, file AS path, start_line AS line, kind, row_number() OVER (PARTITION BY name, kind <> 'method' ORDER BY file, start_line) AS n FROM spans)
-SELECT a.name, coalesce(e.path, t.path) AS path, coalesce(e.line, t.line) AS line, CASE WHEN e.path IS NOT NULL THEN 'precise' WHEN t.path IS NOT NULL THEN 'heuristic' ELSE 'unavailable' END AS source
+SELECT a.name, coalesce(e.path, t.path) AS path, coalesce(e.line, t.line, -1)::INTEGER AS line, CASE WHEN e.path IS NOT NULL THEN 'precise' WHEN t.path IS NOT NULL THEN 'heuristic' ELSE 'unavailable' END AS source
 FROM asked a LEFT JOIN (SELECT * FROM first WHERE n = 1 AND kind <> 'method') e ON e.name = a.name LEFT JOIN (SELECT * FROM first WHERE n = 1 AND kind = 'method') t ON t.name = a.name""",
 }

@@ -121,13 +121,13 @@ best AS (SELECT document, line, coalesce(max(score) FILTER (channel = 'lexical')
   arg_max(excerpt, (CASE channel WHEN 'lexical' THEN 4 WHEN 'witness' THEN 3 WHEN 'graph' THEN 2 ELSE 1 END, len(string_split(excerpt, ' ')), excerpt)) AS excerpt FROM scored GROUP BY 1, 2),
 blended AS (SELECT document, line, lexical, witness, graph, semantic, sources, round(0.5::DOUBLE * CASE WHEN witness = 0 THEN lexical ELSE 0.7::DOUBLE * lexical + 0.3::DOUBLE * witness END + 0.3::DOUBLE * graph + 0.2::DOUBLE * semantic, 6) AS blended, excerpt FROM best)"""
 _ORDER = "blended DESC, lexical DESC, witness DESC, graph DESC, semantic DESC, document, line"
-_FOLD = lambda c: f"round(1 - product(1 - w * {c}), 6) AS {c}"
+_FOLD = lambda c: f"1 - product(1 - w * {c}) AS {c}"
 _ROLL = f"""{_BLEND},
 placed AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY {_ORDER}) - 1 AS n FROM blended),
 weighed AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, least(0.35::DOUBLE, 0.35::DOUBLE / n)) END AS w,
   ((greatest(lexical, witness, graph) > 0)::INTEGER, len(regexp_extract_all(excerpt, '[A-Za-z0-9]{{2,}}')), strlen(excerpt), CASE WHEN lexical > 0 THEN 4 WHEN witness > 0 THEN 3 WHEN graph > 0 THEN 2 WHEN semantic > 0 THEN 1 ELSE 0 END, greatest(round(lexical * 1000), round(witness * 1000), round(graph * 1000)), -n) AS priority FROM placed),
 folded AS (SELECT document, {_FOLD('lexical')}, {_FOLD('witness')}, {_FOLD('graph')}, {_FOLD('semantic')}, arg_max(line, priority) AS line, arg_max(excerpt, priority) AS excerpt, count(*)::INTEGER AS anchors FROM weighed GROUP BY 1),
-rolled AS (SELECT document, round(0.5::DOUBLE * CASE WHEN witness = 0 THEN lexical ELSE 0.7::DOUBLE * lexical + 0.3::DOUBLE * witness END + 0.3::DOUBLE * graph + 0.2::DOUBLE * semantic, 6) AS score, lexical, witness, graph, semantic, line, excerpt, anchors FROM folded)"""
+rolled AS (SELECT document, round(0.5::DOUBLE * CASE WHEN witness = 0 THEN lexical ELSE 0.7::DOUBLE * lexical + 0.3::DOUBLE * witness END + 0.3::DOUBLE * graph + 0.2::DOUBLE * semantic, 6) AS score, round(lexical, 6) AS lexical, round(witness, 6) AS witness, round(graph, 6) AS graph, round(semantic, 6) AS semantic, line, excerpt, anchors FROM folded)"""
 _MARKS = {"exact_text": f"contains(lower(excerpt), {search.LITERAL.lower()!r}) AND lexical > 0", "strong_text": f"lexical >= {op.STRONG}", "graph": "graph > 0", "more_than_path": f"NOT (lexical = 0 AND graph = 0 AND witness < {op.WEAK})"}
 _GUARDED = f"marked AS (SELECT *, {', '.join(f'({c}) AS by_{n}' for n, c in _MARKS.items())} FROM rolled), guarded AS (SELECT *, array_to_string(list_filter([{', '.join(f'CASE WHEN by_{n} THEN {n!r} END' for n in _MARKS)}], lambda x: x IS NOT NULL)[1:3], ',') AS reasons FROM marked)"
 _FIRED = ", ".join("CASE WHEN " + (" AND ".join([*(x for x in r.all_of), *([f"({' OR '.join(x for x in r.any_of)})"] if r.any_of else []), *(f"NOT {x}" for x in r.none_of)])) + f" THEN '{r.id}' END" for r in RULES)

@@ -228,7 +228,7 @@ def test_navigation(spark, rows):
     # The place in a name, behind it, before anything in its line, and before all.
     places = spark.createDataFrame([("a.py", 3, 17), ("a.py", 3, 40), ("a.py", 6, None), ("b.py", 1, 3), ("z.py", 1, 1)], "path string, line int, column int")
     got = rows(navigation.symbol_at(index["occurrences"], index["symbols"], places).withColumn("name", navigation.identifier(F.regexp_replace("symbol", "@.*", ""))), "path", "line", "name", "contained")
-    assert got == [("a.py", 3, "helper", False), ("a.py", 3, "helper", True), ("a.py", 6, "helper", False), ("b.py", 1, None, None), ("z.py", 1, None, None)]
+    assert got == [("a.py", 3, "helper", False), ("a.py", 3, "helper", True), ("a.py", 6, "helper", False), ("b.py", 1, None, False), ("z.py", 1, None, False)]
     ranks = navigation.name_rank(index["symbols"], "HELPER", "base")
     assert rows(ranks, "display_name", "rank") == [("Base", 7), ("helper", 3)]
     edges = navigation.heritage(code, spans)
@@ -241,7 +241,7 @@ def test_navigation(spark, rows):
     assert rows(navigation.implementations(relationships, index["symbols"], index["occurrences"]), "display_name", "path", "kind") == [("Child", "b.py", "extends")]
     asked = spark.createDataFrame([("helper",), ("go",), ("nowhere",)], "name string")
     exact = navigation.definitions(index["occurrences"], index["symbols"]).where("display_name = 'helper'")
-    assert rows(navigation.go_to_definition(exact, spans, asked)) == [("go", "b.py", 2, "heuristic"), ("helper", "a.py", 5, "precise"), ("nowhere", None, None, "unavailable")]
+    assert rows(navigation.go_to_definition(exact, spans, asked)) == [("go", "b.py", 2, "heuristic"), ("helper", "a.py", 5, "precise"), ("nowhere", None, -1, "unavailable")]
 
 
 def test_python_structure(spark, rows):

@@ -83,7 +83,7 @@ def test_tools(spark, rows):
     with pytest.raises(ValueError):
         corpus.search_text(" ")
     assert rows(corpus.search_symbol("VALIDATE"), "name", "rank") == [("validate", 4)]
-    assert rows(corpus.document_symbols("src/checkout.rs"), "name", "start_line", "end_line") == [("handle_checkout", 1, 5), ("validate", 6, 8)]
+    assert rows(corpus.document_symbols("src/checkout.rs"), "name", "start_line", "end_line") == [("handle_checkout", 1, 4), ("validate", 6, 8)]
     assert rows(corpus.find_references("handle_checkout"), "line", "is_definition") == [(1, False), (1, True), (2, False)]
     assert rows(corpus.go_to_definition("validate"), "file", "start_line") == [("r1:src/checkout.rs", 6)]
     assert rows(corpus.outgoing_calls("handle_checkout"), "callee") == [("render",), ("validate",)]
