@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.joins import lookup_join
+from corvane.operators.surfaces import with_facts
 from corvane.operators.symbols import WORD
 
 #: What a declaration line says it is derived from: a base, an interface, a trait.
@@ -18,8 +19,8 @@ HERITAGE = (("extends", r"\bextends\s+([A-Za-z_][A-Za-z0-9_]*)"), ("implements",
 
 
 def identifier(symbol: Column) -> Column:
-    """The last name in a symbol's spelling, whatever signs end it."""
-    return F.regexp_extract(symbol, r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
+    """The last name in a symbol's spelling, whatever signs end it. It is read from the end, as a search for it would try every letter of every name before."""
+    return F.reverse(F.regexp_extract(F.reverse(symbol), r"^[^A-Za-z0-9_]*([A-Za-z0-9_]+)", 1))
 
 
 def symbol_name(path: Column, canonical: Column, line: Column) -> Column:
@@ -49,12 +50,13 @@ def text_index(code: DataFrame, spans: DataFrame) -> dict[str, DataFrame]:
 
 def name_rank(symbols: DataFrame, query: str, fallback: str | None = None) -> DataFrame:
     """Symbols that answer a query, with rank: 0 the symbol itself, 1 and 2 its display name and last name, 3 and 4 these whatever case, 5 to 8 likewise for the fallback name."""
-    shown, tail = F.col("display_name"), F.coalesce(F.nullif(identifier(F.col("symbol")), F.lit("")), F.col("symbol"))
+    told = with_facts(symbols, _tail=F.coalesce(F.nullif(identifier(F.col("symbol")), F.lit("")), F.col("symbol")))
+    shown, tail = F.col("display_name"), F.col("_tail")
     rank = F.when(F.col("symbol") == query, 0)
     for i, name in enumerate((query, fallback or query)):
         low = name.lower()
         rank = rank.when(shown == name, 4 * i + 1).when(tail == name, 4 * i + 2).when(F.lower(shown) == low, 4 * i + 3).when(F.lower(tail) == low, 4 * i + 4)
-    return symbols.withColumn("rank", rank).where("rank is not null")
+    return told.withColumn("rank", rank).where("rank is not null").drop("_tail")
 
 
 def symbol_at(occurrences: DataFrame, symbols: DataFrame, places: DataFrame) -> DataFrame:

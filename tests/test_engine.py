@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -216,6 +217,19 @@ def test_provenance(spark, rows):
     assert rows(provenance.group_matches(groups, results)) == [("g", True, False, True), ("h", False, True, False), ("i", False, False, False)]
 
 
+def test_last_names_are_read_from_the_end(spark, rows):
+    told = {"text a#b.c_1@12.": "12", "a b": "b", "...": "", "": "", "x\n": "x", "naïve()": "ve", "é": "", "_": "_", None: None}
+    df = spark.createDataFrame([(k,) for k in told], "symbol string")
+    assert {r.symbol: r.n for r in df.select("symbol", navigation.identifier(F.col("symbol")).alias("n")).collect()} == told
+    # A search that starts anew at every letter takes minutes for this.
+    long = spark.createDataFrame([("p", "a" * 60_000 + "é" * 3 + "b", "shown", "k"), ("p", "x#other@", "shown", "k")], "path string, symbol string, display_name string, kind string")
+    began = time.monotonic()
+    assert rows(navigation.name_rank(long, "OTHER", "B"), "display_name", "rank") == [("shown", 4), ("shown", 8)]
+    assert time.monotonic() - began < 20
+    plan = navigation.name_rank(long, "OTHER", "B")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
 def test_navigation(spark, rows):
     a = "class Base:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n"
     b = "class Child(Base):\n    def go(self):\n        return helper(2)\n"
