@@ -281,3 +281,32 @@ def test_exact_pairs_equal_all_pairs(spark, rows):
         scored = [(-(10 * len(set(terms) & set(t)) + 6 * (stem == s) + (k == kk)), q) for _, q, t, s, kk in right if set(terms) & set(t) or stem == s]
         want += [(p, q, -n) for n, q in sorted(scored)[:4]]
     assert rows(got, "left_path", "right_path", "score") == sorted(want, key=repr)
+
+
+def _pairs_case(spark, seed, n, words):
+    rng = random.Random(seed)
+    make = lambda: [(rng.choice("gh"), f"p{i:03}", rng.sample(words, rng.randrange(0, 6)), rng.choice(["", "s1", "Beta", "beta", f"t{i}"]), rng.randrange(2)) for i in rng.sample(range(n * 2), n)]
+    left, right = make(), make()
+    frame = lambda data: spark.createDataFrame(data, "g string, path string, terms array<string>, stem string, k int").withColumn("traits", F.struct("k"))
+    return left, right, frame(left), frame(right)
+
+
+@pytest.mark.parametrize("listed", [512, 8, 0])
+def test_pairs_by_sets_equal_all_pairs(spark, rows, monkeypatch, listed):
+    # Rows share paths with the other side, some have no items; rows with many items are set apart where `listed` says so.
+    words = ["alpha", "beta", "gamma", "delta", "x1", "x2", "x3"]
+    left, right, one, two = _pairs_case(spark, 11, 70, words)
+    score = lambda shared, same, a, b: F.least(shared + F.col("extra"), F.lit(3)) * 12 + same.cast("int") * 18 + (F.col(f"{a}.k") == F.col(f"{b}.k")).cast("int") * 6
+    by_items, asked = paths._pairs_by_items, []
+    monkeypatch.setattr(paths, "_pairs_by_items", lambda *a: asked.append(1) or by_items(*a))
+    got = rows(paths.closest_pairs(one, two, ["g"], score, lambda a, b: F.lit(True), 4, listed=listed), "g", "left_path", "right_path", "shared", "score")
+    want = []
+    for g, p, terms, stem, k in left:
+        scored = []
+        for h, q, t, s, kk in right:
+            both, same = set(terms) & set(t), stem == s != ""
+            if g == h and p != q and (both or same):
+                scored.append((-(12 * min(len(both) + (same and stem.lower() not in both), 3) + 18 * same + 6 * (k == kk)), q, len(both)))
+        want += [(g, p, q, n, -v) for v, q, n in sorted(scored)[:4]]
+    assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in sorted(want, key=repr)]
+    assert bool(asked) == (listed < 512)
