@@ -310,3 +310,16 @@ def test_pairs_by_sets_equal_all_pairs(spark, rows, monkeypatch, listed):
         want += [(g, p, q, n, -v) for v, q, n in sorted(scored)[:4]]
     assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in sorted(want, key=repr)]
     assert bool(asked) == (listed < 512)
+
+
+def test_pairs_by_equal_stems_alone(spark, rows, monkeypatch):
+    # A score that asks for nothing but equal stems needs sets of one item, however many items rows have.
+    monkeypatch.setattr(paths, "_pairs_by_items", None)
+    left, right, one, two = _pairs_case(spark, 5, 60, [f"w{i}" for i in range(9)])
+    longer = lambda df: df.withColumn("terms", F.when(F.col("k") == 1, F.concat("terms", F.array(*[F.lit(f"y{i}") for i in range(25)]))).otherwise(F.col("terms"))).withColumn("traits", F.struct(F.lit(0).alias("none")))
+    got = rows(paths.closest_pairs(longer(one), longer(two), ["g"], lambda shared, same, a, b: same.cast("int") * 20 + 80, lambda a, b: F.lit(True), 3, single=True), "g", "left_path", "right_path", "score")
+    want = []
+    for g, p, terms, stem, k in left:
+        scored = [(-(80 + 20 * (stem == s != "")), q) for h, q, t, s, kk in right if g == h and p != q and (set(terms) & set(t) or k == kk == 1 or stem == s != "")]
+        want += [(g, p, q, -v) for v, q in sorted(scored)[:3]]
+    assert got == sorted(want, key=repr)
