@@ -323,3 +323,12 @@ def test_pairs_by_equal_stems_alone(spark, rows, monkeypatch):
         scored = [(-(80 + 20 * (stem == s != "")), q) for h, q, t, s, kk in right if g == h and p != q and (set(terms) & set(t) or k == kk == 1 or stem == s != "")]
         want += [(g, p, q, -v) for v, q in sorted(scored)[:3]]
     assert got == sorted(want, key=repr)
+
+
+def test_pairs_by_equal_stems_of_rows_with_any_number_of_items(spark, rows):
+    # Rows of more items than an integer has bits meet too, by their first term, their last and their stem.
+    many = [f"w{i}" for i in range(70)]
+    frame = lambda data: spark.createDataFrame([("g", *r) for r in data], "g string, path string, terms array<string>, stem string").withColumn("traits", F.struct(F.lit(0).alias("none")))
+    left, right = frame([("a", many, "s"), ("b", ["x"], "t")]), frame([("c", ["w0"], ""), ("d", ["w69"], ""), ("e", ["y"], "s"), ("f", [*many, "x"], "t")])
+    got = paths.closest_pairs(left, right, ["g"], lambda shared, same, a, b: same.cast("int") * 20 + 80, lambda a, b: F.lit(True), 8, single=True)
+    assert rows(got, "left_path", "right_path", "score") == [("a", "c", 80), ("a", "d", 80), ("a", "e", 100), ("a", "f", 80), ("b", "f", 100)]
