@@ -332,3 +332,24 @@ def test_pairs_by_equal_stems_of_rows_with_any_number_of_items(spark, rows):
     left, right = frame([("a", many, "s"), ("b", ["x"], "t")]), frame([("c", ["w0"], ""), ("d", ["w69"], ""), ("e", ["y"], "s"), ("f", [*many, "x"], "t")])
     got = paths.closest_pairs(left, right, ["g"], lambda shared, same, a, b: same.cast("int") * 20 + 80, lambda a, b: F.lit(True), 8, single=True)
     assert rows(got, "left_path", "right_path", "score") == [("a", "c", 80), ("a", "d", 80), ("a", "e", 100), ("a", "f", 80), ("b", "f", 100)]
+
+
+def _broadcasts(df):
+    """Of each side that a plan broadcasts the lines below it."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            out.append([])
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line):
+                    break
+                out[-1].append(below)
+    return out
+
+
+def test_links_broadcast_no_listed_sets(spark):
+    # What lists the sets of small files is not small; before, the sets of all tests went to the driver.
+    files = spark.createDataFrame([("r", f"{d}/item_{i}{e}") for i in range(4) for d, e in (("src/api", ".rs"), ("tests/api", "_test.rs"))], "repository_id string, path string")
+    found = _broadcasts(paths.test_subject_links(files))
+    assert found and all("_words" in below[-1] and not any("Generate" in line for line in below) for below in found)
